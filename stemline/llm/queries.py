@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemline.llm import attribution, bpe, packing, secrets, sharding
+from stemline.llm import attribution, bpe, crosspolytope, minhash, packing, secrets, sharding, suffixes
 from stemline.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.digest(attribution.count_tokens(table(spark, sf_dir, "documents")))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.strip(table(spark, sf_dir, "documents")))
+
+
 def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -32,8 +40,12 @@ def op9_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op10_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.cluster(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_attribution, op5_trigram_secrets, op6_best_fit_packing, op7_jump_sharding, op9_forced_boundary_bpe)
+    for f in (op1_token_attribution, op2_cross_polytope, op3_suffix_repeats, op5_trigram_secrets, op6_best_fit_packing, op7_jump_sharding, op9_forced_boundary_bpe, op10_odd_sketch_minhash)
 }
 ORACLE_SQL: dict[str, str] = {}
