@@ -9,7 +9,7 @@
    the full sets confirm it.  First each class is tried with the partner that shares most
    bands with it, then with its other buckets' leaders where still apart.
 4. A bucket that after this still spans several components is compared across components, all
-   of it: links are lost only where no band collides, which for the threshold itself has the
+   of it, by longer odd sketches of its members before their sets: links are lost only where no band collides, which for the threshold itself has the
    probability (1 - threshold**rows)**bands, 2e-5 by default, and vanishes above it.
 
 Defined results: null or empty texts, and texts without words, have empty sets and link with
@@ -33,6 +33,8 @@ from stemline.llm.components import components
 from stemline.llm.scratch import cut
 
 WIDTH, BANDS, ROWS, BITS = 5, 40, 5, 512
+#: Samples and bits of the sketches that are made only of what large buckets leave apart.
+FINE, FINE_BITS = 2048, 4096
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +71,14 @@ def estimate(xor_bits: float, n_samples: int, bits: int = BITS) -> float:
     return 1 + bits / (4 * n_samples) * math.log(max(1 - 2 * xor_bits / bits, 1e-9))
 
 
-def most_bits(threshold: float, n_samples: int, bits: int = BITS) -> int:
-    """The most differing bits that a pair at the threshold shows but once in millions: mean plus six deviations."""
-    differing = n_samples * (1 - threshold)
-    differing += 6 * math.sqrt(n_samples * threshold * (1 - threshold))
-    mean = bits / 2 * (1 - math.exp(-4 * differing / bits))
-    return min(bits, math.ceil(mean + 3 * math.sqrt(bits) / 2))
+def most_bits(threshold: float, n_samples: int, bits: int = BITS, deviations: float = 6) -> int:
+    """The most differing bits that a pair at the threshold shows, but once in hundreds of millions.
+
+    The deviation is that of the number of differing samples and that of where they fall."""
+    d = n_samples * (1 - threshold)
+    mean, slope = bits / 2 * (1 - math.exp(-4 * d / bits)), 2 * math.exp(-4 * d / bits)
+    variance = slope**2 * n_samples * threshold * (1 - threshold) + bits / 4 * (1 - math.exp(-8 * d / bits))
+    return min(bits, math.ceil(mean + deviations * math.sqrt(variance)))
 
 
 def _fold(found: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
@@ -130,6 +134,22 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set binary")
 
 
+def _fine(sets: DataFrame) -> DataFrame:
+    """(id, fine array<long>): long odd sketches of (id, set), which tell similarities apart to some hundredths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                data, offsets = textvec.raw(part.column(1))
+                found = np.frombuffer(data.tobytes(), np.uint64)
+                odd = odd_sketch(samples(found, offsets // 8, FINE), FINE_BITS)
+                ends = pa.array(np.arange(len(part) + 1) * odd.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(odd.view(np.int64).ravel()))], names=["id", "fine"])
+
+    return sets.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, fine array<long>")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -190,9 +210,14 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
 
     rooted = buckets.join(roots, "id", "left").select("band", "code", "id", F.coalesce("root", "id").alias("root"))
     split = rooted.groupBy("band", "code").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "code")
-    rest = cut(rooted.join(split, ["band", "code"]).join(reps.select("id", "n_shingles", "odd"), "id"))
-    one = lambda x: rest.select("band", "code", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
-    left = one("a").join(one("b"), ["band", "code"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+    rest = rooted.join(split, ["band", "code"])
+    fine = cut(_fine(sets.join(rest.select("id").distinct(), "id", "left_semi")))
+    rest = cut(rest.join(reps.select("id", "n_shingles", "bands", "odd"), "id").join(fine, "id"))
+    one = lambda x: rest.select("band", "code", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("odd").alias(f"o{x}"), F.col("fine").alias(f"f{x}"), F.col("bands").alias(f"c{x}"))
+    finely = sum((F.bit_count(F.col("fa")[w].bitwiseXOR(F.col("fb")[w])) for w in range(FINE_BITS // 64)), F.lit(0)) <= most_bits(percent / 100, FINE, FINE_BITS)
+    # a pair is made in the first band that it shares, not in all
+    first = F.array_position(F.zip_with("ca", "cb", lambda p, q: p == q), True) - 1 == F.col("band")
+    left = one("a").join(one("b"), ["band", "code"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits & finely & first).select("a", "b").distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.unionByName(_confirm(cut(left.join(tried, ["a", "b"], "left_anti")), sets, percent))
     roots = components(links)
