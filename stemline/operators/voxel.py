@@ -63,7 +63,7 @@ def smooth(voxels: DataFrame, sigma: float, by: str = "plot", value: str = "n")
 
 def label_points(voxelised: DataFrame, labels: DataFrame, by: str = "plot") -> DataFrame:
     """``voxelised`` points with the ``instance_id`` of their voxel, 0 where it has none."""
-    return voxelised.join(labels.select(by, "vi", "vj", "vk", "label"), [by, "vi", "vj", "vk"], "left").withColumn("instance_id", F.coalesce("label", F.lit(0))).drop("label")
+    return voxelised.join(labels.select(by, "vi", "vj", "vk", F.col("label").alias("_label")), [by, "vi", "vj", "vk"], "left").withColumn("instance_id", F.coalesce("_label", F.lit(0))).drop("_label")
 
 
 def drop_small(points: DataFrame, least: int, by: str = "plot", instance: str = "instance_id") -> DataFrame:
