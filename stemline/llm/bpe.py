@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 # Fixed value: the pattern by which this family of vocabularies splits words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -71,7 +71,8 @@ class Encoder:
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         letter = byte_letters()
-        byte = {c: b for b, c in letter.items()}
+        self.byte = byte = {c: b for b, c in letter.items()}
+        self.path, self.library = path, None
         raw = lambda token: bytes(byte[c] for c in token.removesuffix(END)) + MARK * token.endswith(END)
         # a merge's rank is the rank of what it makes; a byte and the mark of a word's end merge before all else
         order = [*letter.values(), *[c + END for c in letter.values()], *[a + b for a, b in pairs]]
@@ -99,15 +100,22 @@ class Encoder:
         ids = self.id_of
         return [ids[r] for r in self.merges(part + MARK if last else part)]
 
+    def words(self, text: str) -> list[bytes]:
+        """The normalised words of a text.  Where letters are not of the Latin blocks, whose classes all Unicode
+        versions agree on, the vocabulary file's own normaliser and splitter decide."""
+        if text.isascii():
+            return [text.lower().encode()] if text.isalpha() else [w.encode() for w in WORD.findall(text.lower())]
+        if max(text) < "\u0250":
+            return [w.encode() for w in WORD.findall("".join(c.lower() for c in text))]
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.byte[c] for c in w) for w, _ in found]
+
     def plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens: normalise, split into words, cut, encode, concatenate."""
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
         ids: list[int] = []
-        for word in [text] if text.isascii() and text.isalpha() else WORD.findall(text):
-            word = word.encode()
+        for word in self.words(text):
             at = self.cuts(word)
             if len(at) == 2:
                 ids += self.fragment(word, True)
