@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemline.llm import attribution, bpe, crosspolytope, language, minhash, packing, quality, secrets, sharding, suffixes
+from stemline.llm import attribution, bpe, crosspolytope, language, minhash, oracles, packing, quality, secrets, sharding, suffixes
 from stemline.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,6 @@ QUERIES: dict[str, Query] = {
         op6_best_fit_packing, op7_jump_sharding, op8_byte_gru_language, op9_forced_boundary_bpe, op10_odd_sketch_minhash,
     )
 }
-#: No operator of this list can be put in SQL that DuckDB runs: vocabularies, trained weights, 64-bit wrapping
-#: arithmetic or CRC sums stand against it.  tests/llm holds a brute-force version of each.
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can't express (vocabularies, trained weights, CRC sums over wrapping arithmetic, byte strings of whole
+#: corpora at useful speed) is held against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
