@@ -113,3 +113,8 @@ def subset(df: DataFrame, columns: list[str]) -> DataFrame:
 def first_row(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The first row with a key, or none."""
     return df.where(F.col(key) == value).orderBy(order).limit(1)
+
+
+def plots_like(rows: DataFrame, part: str, plot: str = "plot") -> DataFrame:
+    """Rows whose plot name holds a string."""
+    return rows.where(F.contains(F.col(plot), F.lit(part)))

@@ -103,6 +103,17 @@ def farthest_points(points: DataFrame, n: int, axes: tuple[str, ...] = ("x", "y"
     return points.select(by, key, *axes).groupBy(by).applyInPandas(one, kind)
 
 
+def sample_and_group(points: DataFrame, n_centres: int, radius: float, n: int, axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id", seed: int = 42) -> DataFrame:
+    """(by, key, members): farthest points as centres, each with its first n points within the radius."""
+    centres = points.join(farthest_points(points, n_centres, axes, by, key, seed).select(by, key), [by, key])
+    return ball_query(centres, points, radius, n, axes, by, key)
+
+
+def group_all(points: DataFrame, by: str = "plot", key: str = "point_id") -> DataFrame:
+    """(by, members): one group of all points of a sampled block, in id order."""
+    return points.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("members"))
+
+
 def tiles(points: DataFrame, size: float, halo: float, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, by: str = "plot") -> DataFrame:
     """Run ``kernel`` on square tiles; its input has ``own``, False for the halo's points, whose rows it must not return."""
     reach = lambda a: F.sequence(F.floor((F.col(a) - halo) / size), F.floor((F.col(a) + halo) / size))

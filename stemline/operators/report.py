@@ -156,6 +156,17 @@ def importances(model_importances: list[float], names: list[str], spark) -> Data
     return spark.createDataFrame(list(zip(names, map(float, model_importances), strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def rough_density(rows: DataFrame, n: str, area: float = 30_000.0, site: str = "institution") -> DataFrame:
+    """Points of each site over an assumed area."""
+    return rows.groupBy(site).agg((F.sum(n) / F.lit(area)).alias("density"), F.sum(n).alias("n"))
+
+
+def verdict(p: Column, mean_diff: Column) -> Column:
+    """What a comparison's p value and mean difference say."""
+    way = F.when(mean_diff > 0, "second is higher").when(mean_diff < 0, "first is higher").otherwise("no difference")
+    return F.when(p < 0.05, F.concat(F.lit("significant: "), way)).when(p < 0.10, F.concat(F.lit("marginal: "), way)).otherwise(F.concat(F.lit("not significant: "), way))
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.10, "*").otherwise("")
 
