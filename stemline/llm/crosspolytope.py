@@ -146,5 +146,5 @@ def cluster(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", lab
     )
     component = F.coalesce("root", "id")
     return rows.join(named, ["label", "vec"], "left").select(
-        F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept")
+        F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")
     )

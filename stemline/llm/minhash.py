@@ -14,7 +14,8 @@
 
 Defined results: null or empty texts, and texts without words, have empty sets and link with
 nothing; fewer words than a shingle are one shingle; equal texts share a component, and
-of repeated keys each row is reported; an empty table gives no rows; other columns pass
+of repeated rows each is reported (a key names one text); rows with a null key link with nothing
+but equal texts; an empty table gives no rows; other columns pass
 ``deduplicate`` untouched.
 """
 
@@ -175,7 +176,6 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     sketched = cut(sketch(docs, key, text, width, bands, rows))
     nonempty = sketched.where("n_shingles > 0")
     classes = cut(nonempty.groupBy("fp").agg(F.min("id").alias("rep")))
-    # repeated keys: one row may stand for them, their sets are equal or they are linked below through their key
     reps = cut(nonempty.join(classes, (nonempty["fp"] == classes["fp"]) & (nonempty["id"] == classes["rep"])).select("id", "n_shingles", "bands", "odd").dropDuplicates(["id"]))
 
     members = reps.select("id", F.posexplode("bands").alias("band", "code"))
@@ -225,7 +225,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     full = sketched.select(F.col("id"), "n_shingles", "fp").join(classes, "fp", "left").drop("fp")
     named = full.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep", "id")
-    return named.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return named.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:

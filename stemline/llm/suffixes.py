@@ -336,8 +336,8 @@ def digest(stripped: DataFrame, key: str = "doc_id") -> DataFrame:
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text``; where a cut splits a character, its bytes go too."""
     named = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    spans = _spans(named, length, GRAM, HOT, BLOCK).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
-    joined = docs.join(spans, docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_h")), "left").drop("_id", "_h")
+    spans = _spans(named, length, GRAM, HOT, BLOCK).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans, docs[key].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__h")), "left").drop("__id", "__h")
 
     @F.pandas_udf("string")
     def cut_out(texts, cuts):  # noqa: ANN001, ANN202
@@ -352,5 +352,5 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
         return pd.Series([one(a, b) for a, b in zip(texts, cuts, strict=True)], dtype=object)
 
-    fresh = F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col("spans")))
-    return joined.withColumn(text, fresh).drop("spans")
+    fresh = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col("__spans")))
+    return joined.withColumn(text, fresh).drop("__spans")

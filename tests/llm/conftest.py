@@ -10,9 +10,9 @@ EDGES = [
 
 @pytest.fixture
 def edges(spark):
-    rows = [(i, t, "en", "s", 0 if t is None else len(t), i, "k") for i, t in enumerate(EDGES)]
+    rows = [(i, t, "en", "s", 0 if t is None else len(t), i, "k", "x", "y", 1) for i, t in enumerate(EDGES)]
     # extra columns whose names clash with those that operators use inside
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id int, key string")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id int, key string, found string, spans string, hits int")
 
 
 @pytest.fixture
