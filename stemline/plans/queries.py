@@ -584,3 +584,56 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
 def geometric_features(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).select("plot", "point_id", (F.col("x") / 20).alias("x"), (F.col("y") / 5).alias("y"), (F.col("z") / 50).alias("z"))
     return features.extract(p.withColumn("hag", F.col("z")).withColumn("intensity", F.col("z") / 20))
+
+
+@query(f"{M} SELECT plot, 'both' AS side FROM (SELECT plot FROM m WHERE method = '1-URGENT' AND f1 > 0.33 INTERSECT SELECT plot FROM m WHERE method = '2-HIGH' AND f1 > 0.33) UNION ALL SELECT plot, 'first' FROM (SELECT plot FROM m WHERE method = '1-URGENT' AND f1 > 0.33 EXCEPT SELECT plot FROM m WHERE method = '2-HIGH' AND f1 > 0.33)")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics(spark, d).where("f1 > 0.33")
+    a, b = (m.where(F.col("method") == x).select("plot") for x in PRIORITIES[:2])
+    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.exceptAll(b).withColumn("side", F.lit("first")))
+
+
+@query(f"{M} SELECT DISTINCT plot FROM m WHERE plot NOT IN (SELECT plot FROM m WHERE method = '3-MEDIUM' AND f1 > 0.33)")
+def plots_to_resume(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics(spark, d)
+    return tables.missing_plots(m.select("plot").distinct(), m.where("f1 > 0.33"), "3-MEDIUM")
+
+
+@query(f"{M} SELECT method, ROUND(f1, 6) AS mean_f1 FROM m WHERE plot = 'NATION_1' AND method <> '2-HIGH' UNION ALL SELECT method, ROUND(recall, 6) FROM m WHERE plot = 'NATION_1' AND method = '2-HIGH'")
+def best_params_upsert(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics(spark, d).where("plot = 'NATION_1'")
+    return rounded(tables.upsert_best(m.select("method", F.col("f1").alias("mean_f1")), m.where("method = '2-HIGH'").select("method", F.col("recall").alias("mean_f1"))), "mean_f1")
+
+
+@query(f"{P} SELECT plot, CAST(LEAST(1000, GREATEST(50, FLOOR(3 * COUNT(*) / 64))) AS INT) AS passes FROM p GROUP BY plot")
+def inference_passes(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).groupBy("plot").agg(F.count("*").alias("n")).select("plot", sampling.passes(F.col("n"), 64).alias("passes"))
+
+
+@query(
+    f"""{P}, c AS (SELECT plot, AVG(x) AS mx, AVG(y) AS my, AVG(z) AS mz FROM p GROUP BY plot), q AS (SELECT p.plot, point_id, x - mx AS x, y - my AS y, z - mz AS z FROM p JOIN c ON p.plot = c.plot),
+f AS (SELECT plot, MAX(SQRT(x * x + y * y + z * z)) AS far FROM q GROUP BY plot) SELECT q.plot, point_id, ROUND(x / (far + 1e-8), 6) + 0.0 AS x, ROUND(y / (far + 1e-8), 6) + 0.0 AS y, ROUND(z / (far + 1e-8), 6) + 0.0 AS z FROM q JOIN f ON q.plot = f.plot"""
+)
+def normalised_blocks(spark: SparkSession, d: str) -> DataFrame:
+    b = sampling.block_normalised(points(spark, d)).select("plot", "point_id", "x", "y", "z")
+    return b.withColumns({a: F.round(F.col(a), 6) + 0.0 for a in ("x", "y", "z")})
+
+
+@query(
+    f"""{M}, u AS (SELECT plot, method, metric, value FROM (SELECT plot, method, f1, recall FROM m) UNPIVOT (value FOR metric IN (f1, recall))), c AS (SELECT UNNEST(['1-URGENT', '3-MEDIUM']) AS method_a, UNNEST(['2-HIGH', '5-LOW']) AS method_b)
+SELECT method_a || ' -> ' || method_b AS comparison, a.metric, COUNT(*) AS n_plots, CAST(SUM(CASE WHEN b.value <> a.value THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero_pairs, ROUND(AVG(b.value - a.value), 6) + 0.0 AS mean_diff, ROUND(STDDEV_SAMP(b.value - a.value), 6) AS std_diff
+FROM c JOIN u a ON a.method = method_a JOIN u b ON b.method = method_b AND a.plot = b.plot AND a.metric = b.metric GROUP BY ALL"""
+)
+def paired_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = stats.all_pairs(metrics(spark, d), ["f1", "recall"], (("1-URGENT", "2-HIGH"), ("3-MEDIUM", "5-LOW")))
+    return rows.groupBy("comparison", "metric").agg(
+        F.count("*").alias("n_plots"), F.count_if(F.col("d") != 0).alias("n_nonzero_pairs"), (F.round(F.avg("d"), 6) + 0.0).alias("mean_diff"), r6(F.stddev_samp("d"), "std_diff")
+    )
+
+
+@query(f"{P}, s AS (SELECT plot, pred_id, COUNT(*) AS n FROM p WHERE plot LIKE '%ur%' AND pred_id > 0 GROUP BY ALL) SELECT plot, pred_id, n FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY plot ORDER BY n DESC, pred_id) <= 3")
+def largest_segments(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    n = labels.plots_like(points(spark, d), "ur").where("pred_id > 0").groupBy("plot", "pred_id").agg(F.count("*").alias("n"))
+    return n.withColumn("_r", F.row_number().over(W.partitionBy("plot").orderBy(F.desc("n"), "pred_id"))).where("_r <= 3").drop("_r")
