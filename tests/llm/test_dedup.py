@@ -4,7 +4,6 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from stemline.llm import crosspolytope, minhash, suffixes
@@ -197,4 +196,3 @@ def test_probing_recall():
 def test_whole_table(spark, data, frame):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
     check_vectors(rows, spark.read.parquet(f"{data}/embeddings.parquet"), frame)
-    assert isinstance(pd.DataFrame(), pd.DataFrame)

@@ -190,7 +190,8 @@ def test_pipeline_equals_its_stages(spark, data, documents):
     assert sizes == [len(good), len(texts), len(texts), len(texts)]
     third = {r.doc_id: r.text for r in pipeline.repeated_strings(spark, docs.where(F.col("doc_id").isin(list(texts))), data).collect()}
     for i, (_, removed, _, _) in brute_strip(texts, 400).items():
-        assert len(third[i].encode()) <= len(texts[i].encode()) - removed + 0 and len(texts[i].encode()) - len(third[i].encode()) - removed < 8
+        # a character that a cut splits goes with its other bytes
+        assert 0 <= len(texts[i].encode()) - len(third[i].encode()) - removed < 8
     rules = (*secrets.BASE, *secrets.ADDED)
     rows = {r.doc_id: r.text for r in step.collect()}
     assert not any(re.search(r.pattern, t) for t in rows.values() for r in rules if r.kind in ("access", "hex"))
