@@ -54,7 +54,7 @@ def default_path() -> str:
 class Pieces:
     """Token ids of words, remembered."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 300_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
