@@ -111,10 +111,10 @@ def _named(rows: Column, at: int, kind: str) -> Column:
 
 def postings(docs: DataFrame, key: str, text: str, trigrams: Sequence[str]) -> DataFrame:
     """The inverted index, restricted to the trigrams that some rule asks for: (gram int, bit long, key)."""
-    low = F.lower(F.col(text))
     entry = lambda i: F.struct(F.lit(i).alias("gram"), F.lit(1 << i % 63).cast("long").alias("bit"))
-    held = F.array_compact(F.array(*[F.when(low.contains(t), entry(i)) for i, t in enumerate(trigrams)]))
-    return docs.where(F.col(text).isNotNull()).select(key, F.inline(held))
+    held = F.array_compact(F.array(*[F.when(F.col("_low").contains(t), entry(i)) for i, t in enumerate(trigrams)]))
+    # a projection of its own: the text is put in lower case once, not for each trigram
+    return docs.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("_low")).select(key, F.inline(held))
 
 
 def candidates(docs: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> DataFrame:
