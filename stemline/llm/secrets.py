@@ -118,7 +118,7 @@ def postings(docs: DataFrame, key: str, text: str, trigrams: Sequence[str]) -> D
 
 
 def candidates(docs: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> DataFrame:
-    """(key, hits): bit r is set where the postings of one conjunction of rule r all hold the key."""
+    """(key, __hits): bit r is set where the postings of one conjunction of rule r all hold the key."""
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries for way in q for t in way})
     words = (len(trigrams) + 62) // 63
@@ -135,23 +135,23 @@ def candidates(docs: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> D
     for r, query in enumerate(queries):
         found = reduce(lambda a, b: a | b, [intersect(way) for way in query])
         hits = hits + F.when(found, F.lit(1 << r)).otherwise(F.lit(0))
-    return held.select(key, hits.alias("hits")).where(F.col("hits") != 0)
+    return held.select(key, hits.alias("__hits")).where(F.col("__hits") != 0)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = BASE + ADDED) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = BASE + ADDED, found: str = "found") -> DataFrame:
     """``docs`` and a column ``found``: array<struct<start, at, end, kind>> in order of start and rule."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    known = candidates(docs, key, text, indexed).withColumnRenamed(key, "_key")
-    joined = docs.join(known, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key") if indexed else docs.withColumn("hits", F.lit(0))
+    known = candidates(docs, key, text, indexed).withColumnRenamed(key, "__key")
+    joined = docs.join(known, docs[key].eqNullSafe(F.col("__key")), "left").drop("__key") if indexed else docs.withColumn("__hits", F.lit(0))
     body = text_of(text)
     none = F.array().cast("array<struct<start:int,end:int>>")
     each = []
     for at, rule in enumerate(rules):
         got = spans(body, rule)
         if rule in indexed:
-            got = F.when(F.coalesce(F.col("hits"), F.lit(0)).bitwiseAND(1 << indexed.index(rule)) != 0, got).otherwise(none)
+            got = F.when(F.coalesce(F.col("__hits"), F.lit(0)).bitwiseAND(1 << indexed.index(rule)) != 0, got).otherwise(none)
         each.append(_named(got, at, rule.kind))
-    return joined.withColumn("found", F.array_sort(F.concat(*each))).drop("hits")
+    return joined.withColumn(found, F.array_sort(F.concat(*each))).drop("__hits")
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = BASE + ADDED, mark: str = "<secret>") -> DataFrame:
@@ -163,9 +163,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequ
         gap = F.when(fresh, F.concat(s["out"], F.substring(F.col(text), s["pos"] + 1, x["start"] - s["pos"]), F.lit(mark))).otherwise(s["out"])
         return F.struct(F.greatest(x["end"], s["pos"]).alias("pos"), gap.alias("out"))
 
-    end = F.aggregate("found", start, step)
+    end = F.aggregate("__found", start, step)
     clean = F.concat(end["out"], F.substring(F.col(text), end["pos"] + 1, F.char_length(text)))
-    return scan(docs, key, text, rules).withColumn(text, F.when(F.size("found") > 0, clean).otherwise(F.col(text))).drop("found")
+    return scan(docs, key, text, rules, "__found").withColumn(text, F.when(F.size("__found") > 0, clean).otherwise(F.col(text))).drop("__found")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
