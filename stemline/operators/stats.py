@@ -28,25 +28,37 @@ def _ordered(diff: str, order: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(diff).alias("d")))), lambda x: x["d"])
 
 
-def _signed_sum(d: Column, mask: Column) -> Column:
-    """Sum of the differences with the signs that a mask's bits flip, in a fixed order."""
-    state = F.struct(F.lit(0.0).alias("s"), mask.alias("m"))
-    step = lambda s, x: F.struct((s["s"] + F.when(s["m"] % 2 == 1, -x).otherwise(x)).alias("s"), F.floor(s["m"] / 2).cast("long").alias("m"))
-    return F.aggregate(d, state, step)["s"]
+def count_flips(d: list[float] | None, alternative: str = "two-sided") -> tuple[float | None, int]:
+    """(observed mean, number of the 2**n sign vectors whose mean is as extreme): both halves' signed sums, one sorted and searched for the other's."""
+    if d is None or any(x is None for x in d):
+        return None, 0
+    n, half = len(d), len(d) // 2
+
+    def sums(part: list[float]) -> np.ndarray:
+        s = np.zeros(1)
+        for x in part:
+            s = np.concatenate([s + x, s - x])
+        return s
+
+    a, b = sums(d[:half]), np.sort(sums(d[half:]))
+    observed = float(np.add.accumulate(d)[-1]) / n
+    at_least = lambda m: int((len(b) - np.searchsorted(b, n * m - a, "left")).sum())
+    at_most = lambda m: int(np.searchsorted(b, n * m - a, "right").sum())
+    if alternative == "greater":
+        return observed, at_least(observed - TINY)
+    if alternative != "two-sided":
+        return observed, at_most(observed + TINY)
+    least = abs(observed) - TINY
+    return observed, at_least(least) + at_most(-least) if least > 0 else 2**n
 
 
 def sign_flip_test(diffs: DataFrame, by: list[str], diff: str = "d", order: str = "plot", alternative: str = "two-sided") -> DataFrame:
-    """Exact permutation test of the mean difference: all 2**n sign vectors, as rows.
+    """Exact permutation test of the mean difference over all 2**n sign vectors, counted by halves in 2**(n / 2) steps.
 
     Zero differences stay in.  Means that are equal in theory are compared with a tolerance."""
-    sets = diffs.groupBy(*by).agg(_ordered(diff, order).alias("ds"))
-    n = F.size("ds")
-    flips = sets.select(*by, "ds", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, size(ds))") - 1)).alias("mask"))
-    seen = flips.select(*by, n.alias("n"), (_signed_sum(F.col("ds"), F.col("mask")) / n).alias("m"), (_signed_sum(F.col("ds"), F.lit(0).cast("long")) / n).alias("obs"))
-    extreme = {"two-sided": F.abs("m") >= F.abs("obs") - TINY, "greater": F.col("m") >= F.col("obs") - TINY}.get(alternative, F.col("m") <= F.col("obs") + TINY)
-    return seen.groupBy(*by).agg(F.max("n").cast("long").alias("n"), F.max("obs").alias("observed"), F.count("*").alias("n_permutations"), F.count_if(extreme).alias("n_extreme")).withColumn(
-        "p_value", F.col("n_extreme") / F.col("n_permutations")
-    )
+    count = F.udf(lambda d: count_flips(d, alternative), "observed double, n_extreme long")
+    sets = diffs.groupBy(*by).agg(_ordered(diff, order).alias("ds")).withColumn("_c", count("ds"))
+    return sets.select(*by, F.size("ds").cast("long").alias("n"), "_c.observed", F.expr("shiftleft(1L, size(ds))").alias("n_permutations"), "_c.n_extreme").withColumn("p_value", F.col("n_extreme") / F.col("n_permutations"))
 
 
 def signed_ranks(diffs: DataFrame, by: list[str], diff: str = "d") -> DataFrame:
@@ -57,18 +69,22 @@ def signed_ranks(diffs: DataFrame, by: list[str], diff: str = "d") -> DataFrame:
     return some.withColumn("avg_rank", rank + (F.count("*").over(tie) - 1) / 2).drop("_abs")
 
 
+def count_ranks(ranks: list[int], w: int) -> float:
+    """Two-sided p of a sum of at most ``w``: how many of the 2**n subsets of whole ranks have each sum."""
+    ways = [1]
+    for r in ranks:
+        ways = [x + y for x, y in zip(ways + [0] * r, [0] * r + ways, strict=True)]
+    return min(1.0, 2 * sum(ways[: w + 1]) / 2 ** len(ranks))
+
+
 def wilcoxon(diffs: DataFrame, by: list[str], diff: str = "d", order: str = "plot") -> DataFrame:
-    """W = min(W+, W-) and its exact two-sided p by enumerating signs; null with a note below two non-zero pairs."""
+    """W = min(W+, W-) and its exact two-sided p over all signs; null with a note below two non-zero pairs."""
     r = signed_ranks(diffs, by, diff)
     # doubled ranks are whole numbers, so their sums are exact
     twice = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (2 * F.col("avg_rank")).cast("long").alias("r")))), lambda x: x["r"])
     sets = r.groupBy(*by).agg(twice.alias("rs"), F.sum(F.when(F.col(diff) > 0, F.col("avg_rank")).otherwise(0.0)).alias("w_plus"), F.sum("avg_rank").alias("total"))
     sets = sets.withColumn("W", F.least("w_plus", F.col("total") - F.col("w_plus"))).where(F.size("rs") >= 2)
-    state = lambda m: F.struct(F.lit(0).cast("long").alias("s"), m.alias("m"))
-    step = lambda s, x: F.struct((s["s"] + F.when(s["m"] % 2 == 1, x).otherwise(F.lit(0).cast("long"))).alias("s"), F.floor(s["m"] / 2).cast("long").alias("m"))
-    signs = sets.select(*by, "rs", "W", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, size(rs))") - 1)).alias("mask"))
-    below = signs.select(*by, "W", (F.aggregate("rs", state(F.col("mask")), step)["s"] <= 2 * F.col("W")).alias("low"))
-    p = below.groupBy(*by).agg(F.max("W").alias("W"), F.least(F.lit(1.0), 2 * F.count_if("low") / F.count("*")).alias("p_wilcoxon"))
+    p = sets.select(*by, "W", F.udf(count_ranks, "double")("rs", (2 * F.col("W")).cast("long")).alias("p_wilcoxon"))
     counts = diffs.groupBy(*by).agg(F.count("*").alias("n_plots"), F.count_if(F.col(diff) != 0).alias("n_nonzero_pairs"))
     note = F.when(F.col("n_nonzero_pairs") < 2, "too few non-zero pairs").otherwise("")
     return counts.join(p, by, "left").withColumn("note", note)

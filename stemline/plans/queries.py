@@ -482,7 +482,7 @@ df AS MATERIALIZED (SELECT plot, d FROM dd ORDER BY plot LIMIT 11), ix AS MATERI
 
 def _diffs(spark: SparkSession, d: str) -> DataFrame:
     rows = stats.paired(metrics(spark, d), "1-URGENT", "2-HIGH").withColumn("d", F.round("d", 9))
-    return rows.orderBy("plot").limit(11).withColumn("comparison", F.lit("all"))
+    return rows.withColumn("comparison", F.lit("all"))
 
 
 @query(f"{DIFF}, s AS (SELECT mask, SUM(CASE WHEN (mask >> CAST(i AS INT)) & 1 = 1 THEN -d ELSE d END) / COUNT(*) AS v, COUNT(*) AS n FROM (SELECT UNNEST(RANGE(2048)) AS mask), ix GROUP BY mask), o AS (SELECT AVG(d) AS obs FROM df) SELECT MAX(n) AS n, ROUND(MAX(obs), 6) AS observed, COUNT(*) AS n_permutations, ROUND(SUM(CASE WHEN ABS(v) >= ABS(obs) - 1e-12 THEN 1 ELSE 0 END) / COUNT(*), 6) AS p_value FROM s, o")
