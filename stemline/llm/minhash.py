@@ -15,8 +15,8 @@
 Defined results: null or empty texts, and texts without words, have empty sets and link with
 nothing; fewer words than a shingle are one shingle; equal texts share a component, and
 of repeated rows each is reported (a key names one text); rows with a null key link with nothing
-but equal texts; an empty table gives no rows; other columns pass
-``deduplicate`` untouched.
+but equal texts; an empty table gives no rows.  ``deduplicate`` numbers rows instead: it keeps one row
+of a component whatever the keys are, and other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -229,6 +229,15 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """``docs`` without the rows whose key is not the least of its component."""
-    gone = cluster(docs, key, text, percent).where(~F.col("kept")).select(key)
-    return docs.join(gone, key, "left_anti")
+    """One row of each component of ``docs``: that of the least key, null keys last, and of rows that share it one.
+
+    Rows are numbered, so that rows of one key or of none are rows like others."""
+    row, taken = "_row", {c.lower() for c in docs.columns}
+    while row in taken:
+        row += "_"
+    # numbers hold only for what is written
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = cluster(numbered, row, text, percent).select(row, "component_id")
+    keyed = found.join(numbered.select(row, F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("r")).alias("o")), row)
+    kept = keyed.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.r").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

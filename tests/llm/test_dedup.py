@@ -76,6 +76,20 @@ def test_minhash(spark, documents, edges, nothing, frame):
     assert kept.columns == edges.columns and kept.count() == edges.count() - 1
 
 
+def test_one_row_of_a_component_is_kept_whatever_its_key(spark):
+    texts = {c: " ".join(f"{c}{i * i % 97}x{i}" for i in range(150)) for c in "abcdef"}
+    nearly = texts["a"].replace("a0x0", "other")
+    rows = [(5, texts["a"]), (5, texts["a"]), (None, texts["a"]), (None, nearly), (7, texts["b"]), (None, texts["b"]), (None, texts["c"]), (None, texts["c"])]
+    rows += [(8, texts["d"]), (8, texts["e"]), (9, texts["e"]), (1, ""), (1, "")] + [(3, texts["f"])] * 8
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int").repartition(5)
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(5, texts["a"]), (7, texts["b"]), (None, texts["c"]), (8, texts["d"]), (8, texts["e"]), (1, ""), (1, ""), (3, texts["f"])])
+    cleaned = suffixes.clean(kept)
+    assert Counter(r.text for r in cleaned.collect()) == Counter(r.text for r in kept.collect())
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 2**64, 4000, np.uint64))[:3000]
