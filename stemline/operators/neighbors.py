@@ -1,12 +1,13 @@
 """Neighbourhoods: range joins on bins, nearest neighbours, and the kernels that need order.
 
 ``radius_join`` and ``knn`` are relational: bins of the radius, an equi-join on the bin and a
-residual distance.  For dense clouds use ``tiles``: each task gets one square tile with a halo
+residual distance; ``nearest_of`` has no bound and doubles the radius for points that need it.  For dense clouds use ``tiles``: each task gets one square tile with a halo
 as wide as the search radius, so no neighbourhood is cut and no plot meets one task whole.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -50,6 +51,38 @@ def knn(points: DataFrame, k: int, radius: float, axes: tuple[str, ...] = ("x",
     return nearest(radius_join(points, points, radius, axes, by, key), k, [by, key], (key, "other"))
 
 
+def finite(points: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """The points that have a place: no coordinate null, NaN or infinite."""
+    return points.where(reduce(lambda p, q: p & q, [F.abs(F.col(a).cast("double")) < float("inf") for a in axes]))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: the plan of a later round doesn't hold those of the rounds before."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stemline-"))
+    return df.checkpoint()
+
+
+def nearest_of(a: DataFrame, b: DataFrame, k: int, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
+    """(by, key, other, d2, rank): the k points of ``b`` nearest to each of ``a``, however far; all of a plot's where it has fewer.
+
+    The first search is within ``radius``; points that find too few there search again within twice
+    of it, and so on.  Points without a place, and plots without points of ``b``, have no rows."""
+    b = finite(b, axes)
+    wanted = _kept(b.groupBy(by).agg(F.least(F.count("*"), F.lit(k)).alias("_k")))
+    left = finite(a, axes).join(wanted, by, "left_semi").select(by, key, *axes)
+    done = []
+    while True:
+        near = nearest(radius_join(left, b, radius, axes, by, key), k, [by, key]).join(wanted, by)
+        full = near.withColumn("_n", F.max("rank").over(W.partitionBy(by, key))).where("_n = _k").drop("_n", "_k")
+        done.append(_kept(full))
+        left = _kept(left.join(done[-1].where("rank = 1").select(by, key), [by, key], "left_anti"))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        radius *= 2
+
+
 def vector_knn(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", by: str | None = None) -> DataFrame:
     """k nearest vectors by squared distance for a stated, small set of queries, within groups if ``by`` is given.
 
@@ -62,8 +95,8 @@ def vector_knn(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id",
 
 
 def interpolate(uncovered: DataFrame, covered: DataFrame, radius: float, k: int = 3, values: tuple[str, ...] = ("p0", "p1"), axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
-    """(by, key, values): inverse-distance means over the k nearest covered points; weight 1 at distance 0, else 1 / (d + 1e-8)."""
-    near = nearest(radius_join(uncovered, covered, radius, axes, by, key), k, [by, key])
+    """(by, key, values): inverse-distance means over the k nearest covered points, searched from ``radius`` on; weight 1 at distance 0, else 1 / (d + 1e-8)."""
+    near = nearest_of(uncovered, covered, k, radius, axes, by, key)
     named = covered.select(by, F.col(key).alias("other"), *values)
     d = F.sqrt("d2")
     w = F.when(d == 0, 1.0).otherwise(1 / (d + 1e-8))

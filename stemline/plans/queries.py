@@ -232,7 +232,7 @@ def inverse_distance(spark: SparkSession, d: str) -> DataFrame:
 SELECT plot, ROUND(AVG(d), 6) AS mean, ROUND(MAX(d), 6) AS max, ROUND(QUANTILE_CONT(d, 0.95), 6) AS p95, ROUND(QUANTILE_CONT(d, 0.99), 6) AS p99 FROM n GROUP BY plot""")
 def coverage_distances(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return rounded(neighbors.nearest_summary(neighbors.radius_join(p.where("point_id % 3 <> 0"), p.where("point_id % 3 = 0"), 5.0, FLAT)), "mean", "max", "p95", "p99")
+    return rounded(neighbors.nearest_summary(neighbors.nearest_of(p.where("point_id % 3 <> 0"), p.where("point_id % 3 = 0"), 1, 5.0, FLAT)), "mean", "max", "p95", "p99")
 
 
 @query(f"""{P}, q AS (SELECT c.plot, c.point_id, o.point_id AS other, ROW_NUMBER() OVER (PARTITION BY c.plot, c.point_id ORDER BY o.point_id) AS r FROM p c JOIN p o ON c.plot = o.plot AND (c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) <= 9 WHERE c.point_id % 10 = 0),

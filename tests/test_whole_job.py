@@ -5,9 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stemline.operators import stats
+from stemline import config
+from stemline.operators import ml, neighbors, stats
 from stemline.plans import queries as core
-from stemline.plans.projections import METRICS_SQL
+from stemline.plans.projections import METRICS_SQL, POINTS_SQL
 
 TABLES = ("region", "nation", "customer", "orders", "events")
 
@@ -62,3 +63,39 @@ def test_counts_equal_enumeration(n):
     if (d != 0).sum() >= 2:
         w, p = wilcoxon_p(d)
         assert stats.count_ranks((2 * pd.Series(np.abs(d[d != 0])).rank()).astype(int).tolist(), int(2 * w)) == p
+
+
+def test_nearest_partners_have_no_bound(spark, data):
+    p = sql(data, f"WITH {POINTS_SQL} SELECT * FROM p")
+    means, far = {}, {}
+    for plot, g in p.groupby("plot"):
+        c, u = (g[(g["point_id"] % 3 == 0) == covered].sort_values("point_id") for covered in (True, False))
+        d2 = ((u[["x", "y"]].to_numpy()[:, None] - c[["x", "y"]].to_numpy()[None]) ** 2).sum(2)
+        at = np.argsort(d2, axis=1, kind="stable")[:, :3]
+        d = np.sqrt(np.take_along_axis(d2, at, 1))
+        w = np.where(d == 0, 1, 1 / (d + 1e-8))
+        means |= dict(zip(u["point_id"], (w * c["gt_id"].to_numpy()[at] / 12).sum(1) / w.sum(1), strict=True))
+        far[plot] = (d[:, 0].mean(), d[:, 0].max(), *np.percentile(d[:, 0], [95, 99]))
+    got = {r.point_id: r.v for r in core.inverse_distance(spark, data).collect()}
+    assert got == pytest.approx(means, abs=2e-6)
+    summary = {r.plot: (r["mean"], r["max"], r.p95, r.p99) for r in core.coverage_distances(spark, data).collect()}
+    assert summary.keys() == far.keys() and all(summary[x] == pytest.approx(far[x], abs=2e-6) for x in far)
+
+
+def test_nearest_of_odd_points(spark):
+    kind = "plot string, point_id long, x double, y double"
+    nan = float("nan")
+    a = spark.createDataFrame([("A", 1, 0.0, 0.0), ("A", 2, 900.0, 0.0), ("A", 3, nan, 0.0), ("A", 4, None, 0.0), ("A", 5, float("inf"), 0.0), ("B", 6, 0.0, 0.0)], kind)
+    b = spark.createDataFrame([("A", 11, 0.0, 5.0), ("A", 12, 3.0, 0.0), ("A", 13, nan, nan)], kind)
+    got = sorted((r.point_id, r.other, r["rank"]) for r in neighbors.nearest_of(a, b, 3, 5.0, ("x", "y")).collect())
+    assert got == [(1, 11, 2), (1, 12, 1), (2, 11, 2), (2, 12, 1)]
+    assert neighbors.nearest_of(a.limit(0), b, 3, 5.0, ("x", "y")).count() == 0
+
+
+def test_far_points_are_interpolated(spark):
+    n = 40
+    x = np.where(np.arange(n) < n - 1, np.arange(n) / 10, 500.0)
+    cloud = spark.createDataFrame(pd.DataFrame({"plot": "A", "point_id": np.arange(n), "x": x, "y": 0.0, "z": 0.0, "hag": 0.0, "intensity": 0.5, "label": 1}))
+    tree = lambda blocks: np.tile([0.1, 0.9], (*blocks.shape[:2], 1))
+    whole, _ = ml.block_inference(cloud, tree, 1, 5.0, config.Blocks(points=8))
+    assert {(r.semantic_pred, round(r.p0, 6)) for r in whole.collect()} == {(1, 0.1)}
