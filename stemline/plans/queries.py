@@ -601,7 +601,7 @@ def plots_to_resume(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{M} SELECT method, ROUND(f1, 6) AS mean_f1 FROM m WHERE plot = 'NATION_1' AND method <> '2-HIGH' UNION ALL SELECT method, ROUND(recall, 6) FROM m WHERE plot = 'NATION_1' AND method = '2-HIGH'")
 def best_params_upsert(spark: SparkSession, d: str) -> DataFrame:
-    m = metrics(spark, d).where("plot = 'NATION_1'")
+    m = metrics(spark, d).groupBy("method").agg(F.avg("f1").alias("f1"), F.avg("recall").alias("recall"))
     return rounded(tables.upsert_best(m.select("method", F.col("f1").alias("mean_f1")), m.where("method = '2-HIGH'").select("method", F.col("recall").alias("mean_f1"))), "mean_f1")
 
 

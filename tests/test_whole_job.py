@@ -99,3 +99,9 @@ def test_far_points_are_interpolated(spark):
     tree = lambda blocks: np.tile([0.1, 0.9], (*blocks.shape[:2], 1))
     whole, _ = ml.block_inference(cloud, tree, 1, 5.0, config.Blocks(points=8))
     assert {(r.semantic_pred, round(r.p0, 6)) for r in whole.collect()} == {(1, 0.1)}
+
+
+def test_upserted_means_are_of_all_plots(spark, data):
+    want = sql(data, f"WITH {METRICS_SQL} SELECT method, AVG(CASE WHEN method = '2-HIGH' THEN recall ELSE f1 END) AS v FROM m GROUP BY method")
+    got = {r.method: r.mean_f1 for r in core.best_params_upsert(spark, data).collect()}
+    assert got == pytest.approx(dict(zip(want["method"], want["v"], strict=True)), abs=2e-6)
