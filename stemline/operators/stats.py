@@ -102,7 +102,8 @@ def all_pairs(metrics: DataFrame, values: list[str], comparisons: tuple[tuple[st
 
 def paired_table(metrics: DataFrame, values: list[str] = ("f1", "precision", "recall"), comparisons: tuple[tuple[str, str], ...] = COMPARISONS) -> DataFrame:
     by = ["comparison", "method_a", "method_b", "metric"]
-    d = all_pairs(metrics, list(values), comparisons)
+    # differences that are equal in theory tie
+    d = all_pairs(metrics, list(values), comparisons).withColumn("d", F.round("d", 9))
     spread = d.groupBy(*by).agg(F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("std_diff"))
     perm = sign_flip_test(d, by).select(*by, F.col("observed").alias("perm_observed_diff"), F.col("p_value").alias("perm_p_value"), "n_permutations")
     return wilcoxon(d, by).join(spread, by).join(perm, by)

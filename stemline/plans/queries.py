@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.config import Watershed
+from stemline.config import COMPARISONS, METHODS, Watershed
 from stemline.functions.vectors import argmax, squared_distance
 from stemline.operators import features, gridsearch, labels, matching, neighbors, raster, report, sampling, segment, semantic, spatial, stats, voxel
 from stemline.plans.projections import METRICS_SQL, POINTS_SQL, metrics, points, table
@@ -625,10 +625,9 @@ SELECT method_a || ' -> ' || method_b AS comparison, a.metric, COUNT(*) AS n_plo
 FROM c JOIN u a ON a.method = method_a JOIN u b ON b.method = method_b AND a.plot = b.plot AND a.metric = b.metric GROUP BY ALL"""
 )
 def paired_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = stats.all_pairs(metrics(spark, d), ["f1", "recall"], (("1-URGENT", "2-HIGH"), ("3-MEDIUM", "5-LOW")))
-    return rows.groupBy("comparison", "metric").agg(
-        F.count("*").alias("n_plots"), F.count_if(F.col("d") != 0).alias("n_nonzero_pairs"), (F.round(F.avg("d"), 6) + 0.0).alias("mean_diff"), r6(F.stddev_samp("d"), "std_diff")
-    )
+    named = dict(zip(METHODS, PRIORITIES, strict=True))
+    got = stats.paired_table(metrics(spark, d), comparisons=tuple((named[a], named[b]) for a, b in COMPARISONS))
+    return rounded(got, "W", "p_wilcoxon", "mean_diff", "std_diff", "perm_observed_diff", "perm_p_value")
 
 
 @query(f"{P}, s AS (SELECT plot, pred_id, COUNT(*) AS n FROM p WHERE plot LIKE '%ur%' AND pred_id > 0 GROUP BY ALL) SELECT plot, pred_id, n FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY plot ORDER BY n DESC, pred_id) <= 3")

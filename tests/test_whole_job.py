@@ -105,3 +105,18 @@ def test_upserted_means_are_of_all_plots(spark, data):
     want = sql(data, f"WITH {METRICS_SQL} SELECT method, AVG(CASE WHEN method = '2-HIGH' THEN recall ELSE f1 END) AS v FROM m GROUP BY method")
     got = {r.method: r.mean_f1 for r in core.best_params_upsert(spark, data).collect()}
     assert got == pytest.approx(dict(zip(want["method"], want["v"], strict=True)), abs=2e-6)
+
+
+def test_paired_table_has_both_tests_of_everything(spark, data):
+    rows = core.paired_table(spark, data).collect()
+    assert len({(r.comparison, r.metric) for r in rows}) == len(rows) == 15
+    for r in rows:
+        d = differences(data, r.method_a, r.method_b, r.metric)
+        assert (r.n_plots, r.n_permutations) == (len(d), 2 ** len(d))
+        assert r.mean_diff == pytest.approx(d.mean() / 1e9, abs=2e-6) and r.std_diff == pytest.approx(d.std(ddof=1) / 1e9, abs=2e-6)
+    r = min(rows, key=lambda r: (r.comparison, r.metric))
+    assert r.perm_p_value == pytest.approx(flip_p(differences(data, r.method_a, r.method_b, r.metric)), abs=2e-6)
+    for r in rows:
+        if r.metric == "f1":
+            w, p = wilcoxon_p(differences(data, r.method_a, r.method_b, r.metric))
+            assert (r.W, r.p_wilcoxon) == pytest.approx((w, p), abs=2e-6), r.comparison
