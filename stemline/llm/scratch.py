@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share; only where both are one machine may it be one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = os.path.join(tempfile.gettempdir(), "stemline-checkpoints")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -46,3 +49,15 @@ def drop(*frames: DataFrame) -> None:
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def fresh_name(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` names, each with as many underscores after it as no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,7 +1,12 @@
-"""Removal of byte strings that repeat, by a sampled suffix array.
+"""Removal of strings that repeat, by a sampled suffix array.
+
+A *search* asks for windows of ``length`` tokens that also start anywhere else, the same
+text included; tokens are bytes, or words (maximal runs outside ``\\x20\\x09-\\x0D``), of
+which only the words count, not the space between them.  ``STRINGS`` are 400 bytes,
+``PASSAGES`` more than 50 words; both can be asked for in one pass over the texts.
 
 Sorting every suffix would move some twenty times the input, so suffixes are sampled by
-content: the *anchor* of a ``length``-byte window is the leftmost of its 64-byte grams with
+content: the *anchor* of a window is the leftmost of its grams (64 bytes, 12 words) with
 the least hash.  Equal windows have equal anchors at equal offsets, so it is enough to
 compare windows whose suffixes at the anchor begin with the same leading tokens.  All the
 windows of one anchor lie side by side; together they are its *context*.
@@ -21,25 +26,53 @@ windows of one anchor lie side by side; together they are its *context*.
 Strings are judged on the input.  Comparisons beyond the leading tokens are by 64-bit
 fingerprints within one gram.
 
-Defined results: a null text is empty; a text shorter than ``length`` loses nothing; repeated
+Defined results: a null text is empty; a text shorter than a window loses nothing; repeated
 rows are copies of each other, whatever their keys; matches never cross texts; an
-empty table gives no rows; ``clean`` keeps other columns untouched and drops the bytes of
-a character that is cut in half.
+empty table gives no rows; ``clean`` keeps other columns untouched whatever their names, drops
+the bytes of a character that is cut in half, and takes the white space after removed words with them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemline.llm import textvec
-from stemline.llm.scratch import cut
+from stemline.llm.scratch import cut, drop, fresh_name
+
+HOT, BLOCK = 512, 16
+
+
+@dataclass(frozen=True)
+class Search:
+    """Windows of ``length`` tokens, anchored at grams of ``gram`` tokens; ``unit`` is bytes or words."""
+
+    unit: str = "bytes"
+    length: int = 400
+    gram: int = 64
+
+
+STRINGS, PASSAGES = Search(), Search("words", 51, 12)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, where each row's begin): the bytes themselves, or a 64-bit hash of each word."""
+    if unit == "bytes":
+        return data, offsets
+    starts, ends, row = textvec.words(data, offsets)
+    return textvec.Prefix(data).spans(starts, ends), textvec.segments(row, len(offsets) - 1)
+
 
-LENGTH, GRAM, HOT, BLOCK = 400, 64, 512, 16
+def _content(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, bounds) of contexts that ``_contents`` wrote."""
+    data, bounds = textvec.raw(column)
+    return (data, bounds) if unit == "bytes" else (np.frombuffer(data.tobytes(), np.uint64), bounds // 8)
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,71 +113,96 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return row, p - base, a - base, b - base, hashed[p], prints
 
 
-def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, h, p, a, b, key, fp) of the anchors of docs (id, h, text)."""
+def _anchors(docs: DataFrame, searches: Sequence[Search]) -> DataFrame:
+    """(id, h, u, p, a, b, key, fp) of the anchors of docs (id, h, text); u numbers the searches."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, data, offsets in textvec.blocks(batch.column(2)):
-                row, p, a, b, key, fp = anchors(data, offsets, length, gram)
-                at = pa.array(row + x)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(v.astype(np.int32)) for v in (p, a, b)], pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["id", "h", "p", "a", "b", "key", "fp"])
+            for x, _, data, offsets in textvec.blocks(batch.column(2)):
+                for u, search in enumerate(searches):
+                    row, p, a, b, key, fp = anchors(*tokens(data, offsets, search.unit), search.length, search.gram)
+                    key = textvec.mix(key ^ np.uint64(u))
+                    at = pa.array(row + x)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(row), u, np.int8)), *[pa.array(v.astype(np.int32)) for v in (p, a, b)], pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))],
+                        names=["id", "h", "u", "p", "a", "b", "key", "fp"],
+                    )
 
-    return docs.mapInArrow(run, f"id {kind}, h long, p int, a int, b int, key long, fp long")
+    return docs.mapInArrow(run, f"id {kind}, h long, u byte, p int, a int, b int, key long, fp long")
 
 
-def _contents(docs: DataFrame, contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``contexts`` (id, h, p, a, b, key, n, hot) with their bytes and their leading tokens."""
+def _contents(docs: DataFrame, contexts: DataFrame, searches: Sequence[Search]) -> DataFrame:
+    """``contexts`` (id, h, u, p, a, b, key, n, hot) with their tokens and their leading tokens."""
     kind = docs.schema["id"].dataType.simpleString()
-    wanted = contexts.groupBy("id", "h").agg(F.collect_list(F.struct("p", "a", "b", "key", "n", "hot")).alias("c"))
+    names = ["u", "p", "a", "b", "key", "n", "hot"]
+    wanted = contexts.groupBy("id", "h").agg(F.collect_list(F.struct(*names)).alias("c"))
     joined = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["h"] == wanted["h"])).select(docs["id"], docs["h"], "text", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                body = batch.column(2)[i].as_buffer().to_pybytes()
+                body = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
                 c = batch.column(3).slice(i, 1).flatten()
-                p, a, b = (c.field(n).to_pylist() for n in ("p", "a", "b"))
+                u, p, a, b = (c.field(n).to_pylist() for n in ("u", "p", "a", "b"))
+                read = {k: tokens(body, np.array([0, len(body)]), searches[k].unit)[0] for k in set(u)}
+                content = pa.array([read[k][x : y + searches[k].length].tobytes() for k, x, y in zip(u, a, b, strict=True)], pa.binary())
+                lead = pa.array([read[k][x : x + searches[k].gram].tobytes() for k, x in zip(u, p, strict=True)], pa.binary())
                 at = pa.array(np.zeros(len(p), np.int64))
                 one = batch.slice(i, 1)
-                content = pa.array([body[x : y + length] for x, y in zip(a, b, strict=True)], pa.binary())
-                lead = pa.array([body[x : x + gram] for x in p], pa.binary())
-                yield pa.RecordBatch.from_arrays([one.column(0).take(at), one.column(1).take(at), *[c.field(n) for n in ("p", "a", "b", "key", "n", "hot")], lead, content], names=["id", "h", "p", "a", "b", "key", "n", "hot", "lead", "content"])
+                yield pa.RecordBatch.from_arrays([one.column(0).take(at), one.column(1).take(at), *[c.field(n) for n in names], lead, content], names=["id", "h", *names, "lead", "content"])
 
-    return joined.mapInArrow(run, f"id {kind}, h long, p int, a int, b int, key long, n long, hot boolean, lead binary, content binary")
+    return joined.mapInArrow(run, f"id {kind}, h long, u byte, p int, a int, b int, key long, n long, hot boolean, lead binary, content binary")
 
 
 def multikey(classes: np.ndarray, tokens: list[Callable[[np.ndarray], np.ndarray]]) -> np.ndarray:
     """Items that agree with another one in their class and in all tokens.
 
-    Each pass sorts the items left by (class, next token) and goes on within runs of equal
-    ones only; runs of one item are done."""
-    items = np.arange(len(classes))
-    for token in tokens:
-        value = token(items)
-        order = np.lexsort((value, classes))
-        items, classes, value = items[order], classes[order], value[order]
-        new = np.ones(len(items), bool)
-        new[1:] = (classes[1:] != classes[:-1]) | (value[1:] != value[:-1])
-        classes = np.cumsum(new)
-        alone = new & np.append(new[1:], True)
-        items, classes = items[~alone], classes[~alone]
-    return items
+    Multikey quicksort of all classes side by side: each pass parts every run by the token of
+    its middle item into less, equal and greater; only the equal part goes on to the next
+    token, and runs of one item are done."""
+    items = np.argsort(classes, kind="stable")
+    run, depth = np.cumsum(np.diff(classes[items], prepend=classes[items[:1]]) != 0), np.zeros(len(items), np.int8)
+    agreeing = []
+    while len(items):
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        size = np.diff(np.append(first, len(items)))
+        several = np.repeat(size > 1, size)
+        ended = several & (depth == len(tokens))
+        agreeing.append(items[ended])
+        live = several & ~ended
+        items, run, depth = items[live], run[live], depth[live]
+        if not len(items):
+            break
+        value = np.empty(len(items), np.uint64)
+        for k in range(len(tokens)):
+            here = np.flatnonzero(depth == k)
+            value[here] = tokens[k](items[here])
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        size = np.diff(np.append(first, len(items)))
+        pivot = np.repeat(value[first + size // 2], size)
+        part = (value >= pivot).astype(np.int8) + (value > pivot)
+        run = np.repeat(np.arange(len(first)), size) * 3 + part
+        order = np.argsort(run, kind="stable")
+        items, run, depth = items[order], run[order], (depth + (part == 1))[order]
+    return np.concatenate(agreeing) if agreeing else items
 
 
 def repeats(lead: np.ndarray, offset: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, start) of windows that occur in another context too.
 
-    ``lead`` numbers the leading tokens of contexts, ``offset`` is the anchor's place in them, ``bounds`` where their bytes
+    ``lead`` numbers the leading tokens of contexts, ``offset`` is the anchor's place in them, ``bounds`` where their tokens
     lie in ``data``."""
     count = np.diff(bounds) - length + 1
     owner = np.repeat(np.arange(len(count)), count)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     at = bounds[owner] + within
     prefix = textvec.Prefix(data)
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)
-    token = lambda k: lambda i: np.ascontiguousarray(words[at[i] + 8 * k]).view(">u8").ravel().astype(np.uint64)
+    if data.dtype == np.uint8:  # eight bytes are compared at once
+        words = np.lib.stride_tricks.sliding_window_view(data, 8)
+        token = lambda k: lambda i: np.ascontiguousarray(words[at[i] + 8 * k]).view(">u8").ravel().astype(np.uint64)
+    else:
+        token = lambda k: lambda i: data[at[i] + k]
     classes = lead[owner] * (2 * length) + offset[owner] - within
     found = np.sort(multikey(classes, [token(0), token(1), lambda i: prefix.spans(at[i], at[i] + length)]))
     return owner[found], within[found]
@@ -161,14 +219,14 @@ def _runs(owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray
     return owner[first], start[first], start[last] + length
 
 
-def _sorted_buckets(contexts: DataFrame, length: int, most: int = 1 << 21) -> DataFrame:
+def _sorted_buckets(contexts: DataFrame, search: Search, most: int = 1 << 21) -> DataFrame:
     """(id, h, s, e): repeated runs of contexts that occur once, found within partitions sorted by leading tokens."""
-    kind = contexts.schema["id"].dataType.simpleString()
+    kind, length = contexts.schema["id"].dataType.simpleString(), search.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(part: pa.Table) -> pa.RecordBatch:
             part = part.combine_chunks()
-            data, bounds = textvec.raw(part.column("content"))
+            data, bounds = _content(part.column("content"), search.unit)
             lead = np.asarray(part.column("lead").combine_chunks().dictionary_encode().indices).astype(np.int64)
             a = np.asarray(part.column("a")).astype(np.int64)
             owner, start = repeats(lead, np.asarray(part.column("p")) - a, data, bounds, length)
@@ -216,13 +274,13 @@ def _split(part: pa.Table, most: int) -> Iterator[pa.Table]:
         first = last
 
 
-def _hot_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
+def _hot_blocks(contexts: DataFrame, search: Search, block: int) -> DataFrame:
     """(id, h, s, e) as ``_sorted_buckets`` finds them, by counts of fingerprints."""
-    kind = contexts.schema["id"].dataType.simpleString()
+    kind, length = contexts.schema["id"].dataType.simpleString(), search.length
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = textvec.raw(batch.column(4))
+            data, bounds = _content(batch.column(4), search.unit)
             prefix = textvec.Prefix(data)
             p, a = (np.asarray(batch.column(i)).astype(np.int64) for i in (2, 3))
             most = p - a
@@ -255,7 +313,7 @@ def _hot_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = textvec.raw(batch.column(4))
+            data, bounds = _content(batch.column(4), search.unit)
             prefix = textvec.Prefix(data)
             p, a = (np.asarray(batch.column(i)).astype(np.int64) for i in (2, 3))
             lists = batch.column(7)
@@ -275,21 +333,27 @@ def _hot_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
     return settled.unionByName(single)
 
 
-def _spans(docs: DataFrame, length: int, gram: int, hot: int, block: int) -> DataFrame:
-    """(id, h, spans array<struct<s, e>>) of docs (id, h, text) that lose bytes."""
-    found = cut(_anchors(docs, length, gram))
-    groups = found.groupBy("key", "fp").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "p", "a", "b")).alias("at"))
+def _spans(docs: DataFrame, searches: Sequence[Search], hot: int, block: int) -> DataFrame:
+    """(id, h, spans array<struct<u, s, e>>) of docs (id, h, text) that hold repeats, in tokens of search u."""
+    found = cut(_anchors(docs, searches))
+    groups = found.groupBy("key", "fp").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "u", "p", "a", "b")).alias("at"))
     groups = cut(groups)
-    shared = groups.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = cut(shared.where("c > 1 or most > 1"))
-    copied = groups.where("n > 1").select("key", "fp")
-    whole = found.join(copied, ["key", "fp"], "left_semi").select("id", "h", F.col("a").cast("long").alias("s"), (F.col("b") + length).cast("long").alias("e"))
-
-    mixed = shared.where("c > 1 and least = 1").select("key", (F.col("c") > hot).alias("hot"))
+    mixed = groups.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("key", (F.col("c") > hot).alias("hot"))
     contexts = groups.join(mixed, "key").select("at.*", "key", "n", "hot")
-    contents = cut(_contents(docs, contexts, length, gram))
-    parts = whole.unionByName(_sorted_buckets(contents.where("not hot"), length)).unionByName(_hot_blocks(contents.where("hot"), length, block))
-    return parts.groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    contents = cut(_contents(docs, contexts, searches))
+
+    lengths = F.element_at(F.array(*[F.lit(x.length) for x in searches]), F.col("u") + 1)
+    copied = groups.where("n > 1").select("key", "fp")
+    parts = found.join(copied, ["key", "fp"], "left_semi").select("id", "h", "u", F.col("a").cast("long").alias("s"), (F.col("b") + lengths).cast("long").alias("e"))
+    for u, search in enumerate(searches):
+        of = contents.where(F.col("u") == u)
+        some = _sorted_buckets(of.where("not hot"), search)
+        if not (hottest := of.where("hot")).isEmpty():
+            some = some.unionByName(_hot_blocks(hottest, search, block))
+        parts = parts.unionByName(some.withColumn("u", F.lit(u).cast("byte")))
+    spans = cut(parts.groupBy("id", "h").agg(F.collect_list(F.struct("u", "s", "e")).alias("spans")))
+    drop(found, groups, contents)
+    return spans
 
 
 def keep_mask(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -299,8 +363,15 @@ def keep_mask(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept binary) of every row; ``kept`` holds the remaining bytes."""
+def _runs_of(keep: np.ndarray) -> int:
+    return int((np.diff(np.concatenate([[True], keep]).astype(np.int8)) == -1).sum())
+
+
+def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", strings: Search = STRINGS, passages: Search = PASSAGES, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, n_passage_words, n_passages, kept binary) of every row.
+
+    ``kept`` holds the bytes that no repeated string covers; ``n_passage_words`` counts the words that
+    repeated passages cover and ``n_passages`` their maximal runs, which are reported and not removed."""
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
@@ -308,49 +379,60 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         for batch in batches:
             for x, y, data, offsets in textvec.blocks(batch.column(1), 1 << 22):
                 spans = batch.column(2).slice(x, y - x)
-                removed, runs, kept = [], [], []
+                removed, runs, inside, passed, kept = [], [], [], [], []
                 for i in range(y - x):
                     body = data[offsets[i] : offsets[i + 1]]
+                    masks = [np.ones(0, bool)] * 2
                     if spans[i].is_valid:
-                        s = spans[i].values
-                        keep = keep_mask(len(body), np.asarray(s.field("s")), np.asarray(s.field("e")))
-                        removed.append(int(len(keep) - keep.sum()))
-                        runs.append(int((np.diff(np.concatenate([[True], keep]).astype(np.int8)) == -1).sum()))
-                        body = body[keep]
-                    else:
-                        removed.append(0)
-                        runs.append(0)
+                        u, s, e = (np.asarray(spans[i].values.field(n)) for n in ("u", "s", "e"))
+                        masks = [keep_mask(int(n), s[u == k], e[u == k]) for k, n in enumerate((len(body), e[u == 1].max(initial=0)))]
+                        body = body[masks[0]]
+                    for out, mask in ((removed, masks[0]), (inside, masks[1])):
+                        out.append(int(len(mask) - mask.sum()))
+                    runs.append(_runs_of(masks[0]))
+                    passed.append(_runs_of(masks[1]))
                     kept.append(body.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "kept"])
+                counts = [pa.array(v, pa.int64()) for v in (removed, runs, inside, passed)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(np.diff(offsets)), *counts, pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "n_passage_words", "n_passages", "kept"])
 
-    schema = f"k {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
-    spans = _spans(named, length, gram, hot, block).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
+    schema = f"k {kind}, n_bytes long, n_removed long, n_spans long, n_passage_words long, n_passages long, kept binary"
+    spans = _spans(named, (strings, passages), hot, block).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
     joined = named.join(spans, named["id"].eqNullSafe(F.col("_id")) & (named["h"] == F.col("_h")), "left").select("id", "text", "spans")
     return joined.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def digest(stripped: DataFrame, key: str = "doc_id") -> DataFrame:
-    return stripped.select(key, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return stripped.select(key, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words", "n_passages")
+
 
+def covered(body: np.ndarray, search: Search, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte ranges of token ranges; words take the white space after them along."""
+    if search.unit == "bytes":
+        return start, end
+    begins, _, _ = textvec.words(body, np.array([0, len(body)]))
+    return begins[start], np.append(begins, len(body))[end]
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated bytes gone from ``text``; where a cut splits a character, its bytes go too."""
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", searches: Sequence[Search] = (STRINGS, PASSAGES)) -> DataFrame:
+    """``docs`` without the bytes of ``text`` that repeats of ``searches`` cover."""
     named = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    spans = _spans(named, length, GRAM, HOT, BLOCK).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs[key].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__h")), "left").drop("__id", "__h")
+    id_, h, found = fresh_name(docs, "_id", "_h", "_spans")
+    spans = _spans(named, searches, HOT, BLOCK).toDF(id_, h, found)
+    joined = docs.join(spans, docs[key].eqNullSafe(F.col(id_)) & (F.xxhash64(docs[text]) == F.col(h)), "left").drop(id_, h)
 
     @F.pandas_udf("string")
-    def cut_out(texts, cuts):  # noqa: ANN001, ANN202
-        def one(body: str | None, found) -> str | None:  # noqa: ANN001
-            if body is None or found is None:
+    def cut_out(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        def one(body: str | None, some) -> str | None:  # noqa: ANN001
+            if body is None or some is None:
                 return body
             body = np.frombuffer(body.encode(), np.uint8)
-            keep = keep_mask(len(body), np.array([x["s"] for x in found]), np.array([x["e"] for x in found]))
+            keep = np.ones(len(body), bool)
+            u, s, e = (np.array([x[n] for x in some]) for n in ("u", "s", "e"))
+            for k, search in enumerate(searches):
+                keep &= keep_mask(len(body), *covered(body, search, s[u == k], e[u == k]))
             return body[keep].tobytes().decode("utf-8", "ignore")
 
-        import pandas as pd
-
         return pd.Series([one(a, b) for a, b in zip(texts, cuts, strict=True)], dtype=object)
 
-    fresh = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col("__spans")))
-    return joined.withColumn(text, fresh).drop("__spans")
+    fresh = F.when(F.col(found).isNull(), F.col(text)).otherwise(cut_out(F.col(text), F.col(found)))
+    return joined.withColumn(text, fresh).drop(found)

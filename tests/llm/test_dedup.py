@@ -1,6 +1,7 @@
 """Deduplication operators against brute force."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from stemline.llm import crosspolytope, minhash, suffixes
 from stemline.llm.components import components
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -108,27 +110,38 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_strip(texts, length):
-    body = {k: (t or "").encode() for k, t in texts.items()}
-    n = Counter(b[i : i + length] for b in body.values() for i in range(len(b) - length + 1))
+def covered(bodies, length):
+    """Per body a mask of the tokens that no window repeated anywhere covers."""
+    n = Counter(tuple(b[i : i + length]) for b in bodies.values() for i in range(len(b) - length + 1))
     out = {}
-    for k, b in body.items():
+    for k, b in bodies.items():
         edge = np.zeros(len(b) + 1, int)
         for i in range(len(b) - length + 1):
-            if n[b[i : i + length]] > 1:
+            if n[tuple(b[i : i + length])] > 1:
                 edge[i] += 1
                 edge[i + length] -= 1
-        keep = np.cumsum(edge[:-1]) == 0
+        out[k] = np.cumsum(edge[:-1]) == 0
+    return out
+
+
+def brute_strip(texts, length, words):
+    body = {k: (t or "").encode() for k, t in texts.items()}
+    runs = lambda keep: int((np.diff(np.r_[1, keep.astype(int)]) == -1).sum())
+    by_byte, by_word = covered(body, length), covered({k: WORD.findall(b) for k, b in body.items()}, words)
+    out = {}
+    for k, b in body.items():
+        keep, inside = by_byte[k], by_word[k]
         kept = np.frombuffer(b, np.uint8)[keep].tobytes() if len(b) else b""
-        out[k] = (len(b), len(b) - len(kept), int((np.diff(np.r_[1, keep.astype(int)]) == -1).sum()), hashlib.sha256(kept).hexdigest())
+        out[k] = (len(b), len(b) - len(kept), runs(keep), hashlib.sha256(kept).hexdigest(), int((~inside).sum()), runs(inside))
     return out
 
 
-def check_strip(df, frame, length=400, **more):
+def check_strip(df, frame, length=400, words=51, gram=64, word_gram=12, **more):
     texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
-    got = frame(suffixes.digest(suffixes.strip(df, length=length, **more)))
-    for k, want in brute_strip(texts, length).items():
-        assert tuple(got.loc[k, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]]) == want, k
+    searches = suffixes.Search("bytes", length, gram), suffixes.Search("words", words, word_gram)
+    got = frame(suffixes.digest(suffixes.strip(df, strings=searches[0], passages=searches[1], **more)))
+    for k, want in brute_strip(texts, length, words).items():
+        assert tuple(got.loc[k, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "n_passages"]]) == want, k
 
 
 def test_suffixes_on_documents(documents, frame):
@@ -147,6 +160,29 @@ def test_suffixes_on_crafted_texts(spark, frame, hot):
     check_strip(df, frame, 100, gram=16, hot=hot, block=8)
 
 
+@pytest.mark.parametrize("hot", [512, 0])
+def test_passages_on_crafted_texts(spark, frame, hot):
+    rng = np.random.default_rng(6)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = some(30)
+    rows = [" ".join(some(rng.integers(0, 25)) + passage[rng.integers(0, 4) : rng.integers(24, 31)] + some(20)) for _ in range(12)]
+    rows += ["\n\t".join(passage), " ".join(passage[:19]), " ".join(passage[:20]), " ".join(["ha"] * 40), " ".join(["ha"] * 19 + ["ho"] * 25), "é" * 30, "", None, " "]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    check_strip(df, frame, 400, words=20, word_gram=5, hot=hot, block=4)
+
+
+def test_clean_takes_passages_out_of_every_copy(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1000, n))
+    passage, short = some(51), some(50)
+    parts = [(some(70), some(40)) for _ in range(4)]
+    rows = [(i, f"{a}\n{passage} {b}", "x") for i, (a, b) in enumerate(parts[:2])] + [(i + 2, f"{a}\n{short} {b}", "y") for i, (a, b) in enumerate(parts[2:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string")
+    got = {r.doc_id: r for r in suffixes.clean(docs).collect()}
+    assert [got[i].text for i in range(4)] == [f"{a}\n{b}" for a, b in parts[:2]] + [r[1] for r in rows[2:]]
+    assert got[2]._spans == "y"
+
+
 def test_suffix_edges(edges, nothing, frame):
     check_strip(edges, frame)
     assert suffixes.strip(nothing).count() == 0
@@ -155,8 +191,15 @@ def test_suffix_edges(edges, nothing, frame):
 
 
 def test_multikey_finds_what_agrees():
-    a, b = np.array([1, 1, 2, 1, 1]), np.array([5, 6, 5, 5, 6])
+    a, b = np.array([1, 1, 2, 1, 1], np.uint64), np.array([5, 6, 5, 5, 6], np.uint64)
     assert sorted(suffixes.multikey(np.zeros(5, int), [lambda i: a[i], lambda i: b[i]])) == [0, 1, 3, 4]
+    assert not len(suffixes.multikey(np.zeros(0, int), [lambda i: a[i]]))
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 6, (3, 4000)).astype(np.uint64)
+    classes = rng.integers(0, 40, 4000)
+    n = Counter(zip(classes, *keys, strict=True))
+    want = [i for i, k in enumerate(zip(classes, *keys, strict=True)) if n[k] > 1]
+    assert sorted(suffixes.multikey(classes, [lambda i, k=k: k[i] for k in keys])) == want
 
 
 def check_vectors(rows, df, frame, least=0.98):
