@@ -21,7 +21,7 @@ windows of one anchor lie side by side; together they are its *context*.
 4. Grams that more contexts share than ``hot`` are not given to one task: their windows are
    counted by fingerprint, first in blocks of offsets (a block whose common core is
    unique holds no repeat, one whose whole extent repeats holds nothing else), then
-   one by one where a block is undecided.
+   in smaller ones where a block is undecided, and last one by one.
 
 Strings are judged on the input.  Comparisons beyond the leading tokens are by 64-bit
 fingerprints within one gram.
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,17 +47,22 @@ from pyspark.sql import functions as F
 from stemline.llm import textvec
 from stemline.llm.scratch import cut, drop, fresh_name
 
-HOT, BLOCK = 512, 16
+#: Grams of more contexts than HOT are counted in blocks of these numbers of offsets, each a part of the one before.
+HOT, BLOCKS = 512, (16, 4, 1)
 
 
 @dataclass(frozen=True)
 class Search:
-    """Windows of ``length`` tokens, anchored at grams of ``gram`` tokens; ``unit`` is bytes or words."""
+    """Windows of ``length`` tokens (below 32768), anchored at grams of ``gram`` tokens; ``unit`` is bytes or words."""
 
     unit: str = "bytes"
     length: int = 400
     gram: int = 64
 
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.length < 1 << 15:
+            raise ValueError("a search needs 0 < gram <= length < 32768")
+
 
 STRINGS, PASSAGES = Search(), Search("words", 51, 12)
 
@@ -113,8 +119,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return row, p - base, a - base, b - base, hashed[p], prints
 
 
+def _place(u: int, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Search, anchor, first and last start of a context in one number, for it is shuffled."""
+    return (p << 33 | b - a << 18 | p - a << 3 | u).astype(np.int64)
+
+
+def _placed(place: np.ndarray) -> tuple[np.ndarray, ...]:
+    p = place.view(np.uint64) >> np.uint64(33)
+    a = p.astype(np.int64) - (place >> 3 & 0x7FFF)
+    return place & 7, p.astype(np.int64), a, a + (place >> 18 & 0x7FFF)
+
+
 def _anchors(docs: DataFrame, searches: Sequence[Search]) -> DataFrame:
-    """(id, h, u, p, a, b, key, fp) of the anchors of docs (id, h, text); u numbers the searches."""
+    """(id, h, place, key, fp) of the anchors of docs (id, h, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +141,15 @@ def _anchors(docs: DataFrame, searches: Sequence[Search]) -> DataFrame:
                     row, p, a, b, key, fp = anchors(*tokens(data, offsets, search.unit), search.length, search.gram)
                     key = textvec.mix(key ^ np.uint64(u))
                     at = pa.array(row + x)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(row), u, np.int8)), *[pa.array(v.astype(np.int32)) for v in (p, a, b)], pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))],
-                        names=["id", "h", "u", "p", "a", "b", "key", "fp"],
-                    )
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(v.view(np.int64)) for v in (_place(u, p, a, b), key, fp)]], names=["id", "h", "place", "key", "fp"])
 
-    return docs.mapInArrow(run, f"id {kind}, h long, u byte, p int, a int, b int, key long, fp long")
+    return docs.mapInArrow(run, f"id {kind}, h long, place long, key long, fp long")
 
 
 def _contents(docs: DataFrame, contexts: DataFrame, searches: Sequence[Search]) -> DataFrame:
-    """``contexts`` (id, h, u, p, a, b, key, n, hot) with their tokens and their leading tokens."""
+    """(id, h, u, p, a, key, n, hot, lead, content) of ``contexts`` (id, h, place, key, n, hot): their leading and all their tokens."""
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["u", "p", "a", "b", "key", "n", "hot"]
-    wanted = contexts.groupBy("id", "h").agg(F.collect_list(F.struct(*names)).alias("c"))
+    wanted = contexts.groupBy("id", "h").agg(F.collect_list(F.struct("place", "key", "n", "hot")).alias("c"))
     joined = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["h"] == wanted["h"])).select(docs["id"], docs["h"], "text", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +157,16 @@ def _contents(docs: DataFrame, contexts: DataFrame, searches: Sequence[Search])
             for i in range(len(batch)):
                 body = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
                 c = batch.column(3).slice(i, 1).flatten()
-                u, p, a, b = (c.field(n).to_pylist() for n in ("u", "p", "a", "b"))
-                read = {k: tokens(body, np.array([0, len(body)]), searches[k].unit)[0] for k in set(u)}
+                u, p, a, b = _placed(np.asarray(c.field("place")))
+                read = {k: tokens(body, np.array([0, len(body)]), searches[k].unit)[0] for k in np.unique(u)}
                 content = pa.array([read[k][x : y + searches[k].length].tobytes() for k, x, y in zip(u, a, b, strict=True)], pa.binary())
                 lead = pa.array([read[k][x : x + searches[k].gram].tobytes() for k, x in zip(u, p, strict=True)], pa.binary())
                 at = pa.array(np.zeros(len(p), np.int64))
                 one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([one.column(0).take(at), one.column(1).take(at), *[c.field(n) for n in names], lead, content], names=["id", "h", *names, "lead", "content"])
+                places = [pa.array(u.astype(np.int8)), pa.array(p.astype(np.int32)), pa.array(a.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([one.column(0).take(at), one.column(1).take(at), *places, *[c.field(n) for n in ("key", "n", "hot")], lead, content], names=["id", "h", "u", "p", "a", "key", "n", "hot", "lead", "content"])
 
-    return joined.mapInArrow(run, f"id {kind}, h long, u byte, p int, a int, b int, key long, n long, hot boolean, lead binary, content binary")
+    return joined.mapInArrow(run, f"id {kind}, h long, u byte, p int, a int, key long, n long, hot boolean, lead binary, content binary")
 
 
 def multikey(classes: np.ndarray, tokens: list[Callable[[np.ndarray], np.ndarray]]) -> np.ndarray:
@@ -274,83 +288,85 @@ def _split(part: pa.Table, most: int) -> Iterator[pa.Table]:
         first = last
 
 
-def _hot_blocks(contexts: DataFrame, search: Search, block: int) -> DataFrame:
-    """(id, h, s, e) as ``_sorted_buckets`` finds them, by counts of fingerprints."""
-    kind, length = contexts.schema["id"].dataType.simpleString(), search.length
+def _block_prints(asked: DataFrame, search: Search, size: int, parent: int | None) -> DataFrame:
+    """(id, h, p, key, n, block, core, extent) of blocks of ``size`` offsets of ``asked`` (id, h, p, a, content, key, n, parents).
+
+    A block's core is what all its windows share, its extent what they cover; the extent of a
+    block that a context has only in part is null.  ``parents`` are the blocks of ``parent`` offsets to look into, null for all."""
+    kind, length = asked.schema["id"].dataType.simpleString(), search.length
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = _content(batch.column(4), search.unit)
             prefix = textvec.Prefix(data)
             p, a = (np.asarray(batch.column(i)).astype(np.int64) for i in (2, 3))
             most = p - a
             least = most - (np.diff(bounds) - length)
-            lo, hi = least // block, most // block
-            owner = np.repeat(np.arange(len(p)), hi - lo + 1)
-            b = np.arange(len(owner)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[owner]
+            if parent is None:
+                lo, hi = least // size, most // size
+                owner = np.repeat(np.arange(len(p)), hi - lo + 1)
+                b = np.arange(len(owner)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[owner]
+            else:
+                lists, per = batch.column(7), parent // size
+                owner = np.repeat(np.arange(len(p)), np.asarray(lists.value_lengths()) * per)
+                b = (np.asarray(lists.flatten()).astype(np.int64)[:, None] * per + np.arange(per)).ravel()
+                inside = (b * size <= most[owner]) & (b * size + size - 1 >= least[owner])
+                owner, b = owner[inside], b[inside]
             anchor = bounds[owner] + most[owner]
-            near, far = b * block, b * block + block - 1
+            near, far = b * size, b * size + size - 1
             core = prefix.spans(anchor - near, anchor - far + length)
             whole = (far <= most[owner]) & (near >= least[owner])
             extent = np.zeros(len(owner), np.uint64)
             w = np.flatnonzero(whole)
             extent[w] = prefix.spans(anchor[w] - far[w], anchor[w] - near[w] + length)
             at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), batch.column(5).take(at), pa.array(b.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(extent.view(np.int64), mask=~whole)], names=["id", "h", "p", "a", "key", "block", "core", "extent"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in (0, 1, 2, 5, 6)], pa.array(b.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(extent.view(np.int64), mask=~whole)], names=["id", "h", "p", "key", "n", "block", "core", "extent"])
 
-    table = contexts.select("id", "h", "p", "a", "content", "key", "n")
-    found = cut(table.drop("n").mapInArrow(blocks, f"id {kind}, h long, p int, a int, key long, block int, core long, extent long"))
-    on = ["key", "block"]
-    cores = found.groupBy(*on, "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    extents = found.where("extent is not null").groupBy(*on, "extent").agg(F.count("*").alias("n")).where("n > 1").select(*on, "extent", F.lit(True).alias("all"))
-    open_ = found.join(cores, [*on, "core"], "left_semi").join(extents, [*on, "extent"], "left")
-    open_ = cut(open_.select("id", "h", "p", "a", *on, "core", F.coalesce("all", F.lit(False)).alias("all")))
-    settled = open_.where("all").select("id", "h", (F.col("p") - (F.col("block") + 1) * block + 1).cast("long").alias("s"), (F.col("p") - F.col("block") * block + length).cast("long").alias("e"))
-    # where a block is undecided for some contexts, its windows are counted for all that share its core
-    undecided = open_.where(~F.col("all")).select(*on, "core").distinct()
-    ask = open_.join(undecided, [*on, "core"], "left_semi").groupBy("id", "h", "p").agg(F.collect_list("block").alias("blocks"))
-    asked = table.join(ask, table["id"].eqNullSafe(ask["id"]) & (table["h"] == ask["h"]) & (table["p"] == ask["p"])).select(table["id"], table["h"], table["p"], table["a"], "content", "key", "n", "blocks")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = _content(batch.column(4), search.unit)
-            prefix = textvec.Prefix(data)
-            p, a = (np.asarray(batch.column(i)).astype(np.int64) for i in (2, 3))
-            lists = batch.column(7)
-            owner = np.repeat(np.arange(len(p)), np.asarray(lists.value_lengths()))
-            b = np.asarray(lists.flatten()).astype(np.int64)
-            owner, offset = np.repeat(owner, block), (b[:, None] * block + np.arange(block)).ravel()
-            start = p[owner] - a[owner] - offset
-            fit = (start >= 0) & (start + length <= np.diff(bounds)[owner])
-            owner, offset, start = owner[fit], offset[fit], start[fit]
-            print_ = prefix.spans(bounds[owner] + start, bounds[owner] + start + length)
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in (0, 1)], pa.array(a[owner] + start), batch.column(5).take(at), batch.column(6).take(at), pa.array(offset.astype(np.int32)), pa.array(print_.view(np.int64))], names=["id", "h", "s", "key", "n", "offset", "print"])
-
-    each = cut(asked.mapInArrow(windows, f"id {kind}, h long, s long, key long, n long, offset int, print long"))
-    twice = each.groupBy("key", "offset", "print").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    single = each.where("n = 1").join(twice, ["key", "offset", "print"], "left_semi").select("id", "h", "s", (F.col("s") + length).alias("e"))
-    return settled.unionByName(single)
+    return asked.mapInArrow(run, f"id {kind}, h long, p int, key long, n long, block int, core long, extent long")
 
 
-def _spans(docs: DataFrame, searches: Sequence[Search], hot: int, block: int) -> DataFrame:
+def _hot_blocks(contexts: DataFrame, search: Search, sizes: Sequence[int]) -> DataFrame:
+    """(id, h, s, e) as ``_sorted_buckets`` finds them, by counts of fingerprints in blocks of falling ``sizes``, the last 1."""
+    table = contexts.select("id", "h", "p", "a", "content", "key", "n")
+    asked = table.withColumn("parents", F.lit(None).cast("array<int>"))
+    on, parts = ["key", "block"], []
+    for size, parent in zip(sizes, (None, *sizes), strict=False):
+        found = cut(_block_prints(asked, search, size, parent))
+        extents = found.where("extent is not null").groupBy(*on, "extent").agg(F.count("*").alias("c")).where("c > 1").select(*on, "extent", F.lit(True).alias("all"))
+        first, last = F.col("p") - (F.col("block") + 1) * size + 1, F.col("p") - F.col("block") * size + search.length
+        parts.append(found.join(extents, [*on, "extent"]).where("n = 1").select("id", "h", first.cast("long").alias("s"), last.cast("long").alias("e")))
+        if size == 1:
+            break
+        cores = found.groupBy(*on, "core").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+        open_ = found.join(cores, [*on, "core"], "left_semi").join(extents, [*on, "extent"], "left")
+        open_ = cut(open_.select("id", "h", "p", *on, "core", F.coalesce("all", F.lit(False)).alias("all")))
+        # where a block is undecided for some contexts, its parts are counted for all that share its core
+        undecided = open_.where(~F.col("all")).select(*on, "core").distinct()
+        ask = open_.join(undecided, [*on, "core"], "left_semi").groupBy("id", "h", "p").agg(F.collect_list("block").alias("parents"))
+        same = table["id"].eqNullSafe(ask["id"]) & (table["h"] == ask["h"]) & (table["p"] == ask["p"])
+        asked = table.join(ask, same).select(*[table[c] for c in table.columns], "parents")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _spans(docs: DataFrame, searches: Sequence[Search], hot: int, blocks: Sequence[int]) -> DataFrame:
     """(id, h, spans array<struct<u, s, e>>) of docs (id, h, text) that hold repeats, in tokens of search u."""
     found = cut(_anchors(docs, searches))
-    groups = found.groupBy("key", "fp").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "u", "p", "a", "b")).alias("at"))
-    groups = cut(groups)
+    groups = cut(found.groupBy("key", "fp").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "place")).alias("at")))
     mixed = groups.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("key", (F.col("c") > hot).alias("hot"))
     contexts = groups.join(mixed, "key").select("at.*", "key", "n", "hot")
     contents = cut(_contents(docs, contexts, searches))
 
-    lengths = F.element_at(F.array(*[F.lit(x.length) for x in searches]), F.col("u") + 1)
+    u, p = F.col("place").bitwiseAND(7), F.shiftrightunsigned("place", 33)
+    start = p - F.shiftright("place", 3).bitwiseAND(0x7FFF)
+    lengths = F.element_at(F.array(*[F.lit(x.length) for x in searches]), (u + 1).cast("int"))
     copied = groups.where("n > 1").select("key", "fp")
-    parts = found.join(copied, ["key", "fp"], "left_semi").select("id", "h", "u", F.col("a").cast("long").alias("s"), (F.col("b") + lengths).cast("long").alias("e"))
-    for u, search in enumerate(searches):
-        of = contents.where(F.col("u") == u)
+    parts = found.join(copied, ["key", "fp"], "left_semi").select("id", "h", u.cast("byte").alias("u"), start.alias("s"), (start + F.shiftright("place", 18).bitwiseAND(0x7FFF) + lengths).alias("e"))
+    for k, search in enumerate(searches):
+        of = contents.where(F.col("u") == k)
         some = _sorted_buckets(of.where("not hot"), search)
         if not (hottest := of.where("hot")).isEmpty():
-            some = some.unionByName(_hot_blocks(hottest, search, block))
-        parts = parts.unionByName(some.withColumn("u", F.lit(u).cast("byte")))
+            some = some.unionByName(_hot_blocks(hottest, search, blocks))
+        parts = parts.unionByName(some.withColumn("u", F.lit(k).cast("byte")))
     spans = cut(parts.groupBy("id", "h").agg(F.collect_list(F.struct("u", "s", "e")).alias("spans")))
     drop(found, groups, contents)
     return spans
@@ -367,7 +383,7 @@ def _runs_of(keep: np.ndarray) -> int:
     return int((np.diff(np.concatenate([[True], keep]).astype(np.int8)) == -1).sum())
 
 
-def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", strings: Search = STRINGS, passages: Search = PASSAGES, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", strings: Search = STRINGS, passages: Search = PASSAGES, hot: int = HOT, blocks: Sequence[int] = BLOCKS) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, n_passage_words, n_passages, kept binary) of every row.
 
     ``kept`` holds the bytes that no repeated string covers; ``n_passage_words`` counts the words that
@@ -396,7 +412,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", strings: Sea
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(np.diff(offsets)), *counts, pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "n_passage_words", "n_passages", "kept"])
 
     schema = f"k {kind}, n_bytes long, n_removed long, n_spans long, n_passage_words long, n_passages long, kept binary"
-    spans = _spans(named, (strings, passages), hot, block).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
+    spans = _spans(named, (strings, passages), hot, blocks).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
     joined = named.join(spans, named["id"].eqNullSafe(F.col("_id")) & (named["h"] == F.col("_h")), "left").select("id", "text", "spans")
     return joined.mapInArrow(run, schema).withColumnRenamed("k", key)
 
@@ -417,7 +433,7 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", searches: Se
     """``docs`` without the bytes of ``text`` that repeats of ``searches`` cover."""
     named = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     id_, h, found = fresh_name(docs, "_id", "_h", "_spans")
-    spans = _spans(named, searches, HOT, BLOCK).toDF(id_, h, found)
+    spans = _spans(named, searches, HOT, BLOCKS).toDF(id_, h, found)
     joined = docs.join(spans, docs[key].eqNullSafe(F.col(id_)) & (F.xxhash64(docs[text]) == F.col(h)), "left").drop(id_, h)
 
     @F.pandas_udf("string")
