@@ -136,6 +136,19 @@ def brute_strip(texts, length, words):
     return out
 
 
+def brute_clean(texts, length=400, words=51):
+    body = {k: t.encode() for k, t in texts.items()}
+    by_byte, by_word = covered(body, length), covered({k: WORD.findall(b) for k, b in body.items()}, words)
+    out = {}
+    for k, b in body.items():
+        starts = [m.start() for m in WORD.finditer(b)] + [len(b)]
+        keep = by_byte[k].copy()
+        for i in np.flatnonzero(~by_word[k]):
+            keep[starts[i] : starts[i + 1]] = False
+        out[k] = np.frombuffer(b, np.uint8)[keep].tobytes().decode("utf-8", "ignore")
+    return out
+
+
 def check_strip(df, frame, length=400, words=51, gram=64, word_gram=12, **more):
     texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
     searches = suffixes.Search("bytes", length, gram), suffixes.Search("words", words, word_gram)
@@ -157,7 +170,7 @@ def test_suffixes_on_crafted_texts(spark, frame, hot):
     rows += ["ab" * 200, "ab" * 90 + word(20), line * 6, word(40) + line * 3, "z" * 99, "z" * 100, "z" * 101, word(500), None, ""]
     rows += [rows[0], passage[:100], passage[-100:] + word(3)]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    check_strip(df, frame, 100, gram=16, hot=hot, block=8)
+    check_strip(df, frame, 100, gram=16, hot=hot, blocks=(8, 2, 1))
 
 
 @pytest.mark.parametrize("hot", [512, 0])
@@ -168,7 +181,7 @@ def test_passages_on_crafted_texts(spark, frame, hot):
     rows = [" ".join(some(rng.integers(0, 25)) + passage[rng.integers(0, 4) : rng.integers(24, 31)] + some(20)) for _ in range(12)]
     rows += ["\n\t".join(passage), " ".join(passage[:19]), " ".join(passage[:20]), " ".join(["ha"] * 40), " ".join(["ha"] * 19 + ["ho"] * 25), "é" * 30, "", None, " "]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    check_strip(df, frame, 400, words=20, word_gram=5, hot=hot, block=4)
+    check_strip(df, frame, 400, words=20, word_gram=5, hot=hot, blocks=(4, 2, 1))
 
 
 def test_clean_takes_passages_out_of_every_copy(spark):
@@ -206,18 +219,24 @@ def check_vectors(rows, df, frame, least=0.98):
     def sound(v):
         return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
-    groups, links = Sets([r[0] for r in rows]), Counter()
-    for i, (a, u, p) in enumerate(rows):
-        for b, v, q in rows[:i]:
+    groups, links = Sets(range(len(rows))), Counter()
+    for i, (_, u, p) in enumerate(rows):
+        for j, (_, v, q) in enumerate(rows[:i]):
             if p is not None and p == q and sound(u) and sound(v) and len(u) == len(v):
                 x, y = np.array(u, np.float32).astype(float), np.array(v, np.float32).astype(float)
                 if x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= least:
-                    groups.join(a, b)
-                    links[a] += 1
-                    links[b] += 1
-    got = frame(crosspolytope.cluster(df), "vec_id")
-    for a, _, _ in rows:
-        assert tuple(got.loc[a, ["n_links", "component_id", "kept"]]) == (links[a], groups.find(a), groups.find(a) == a)
+                    groups.join(i, j)
+                    links[i] += 1
+                    links[j] += 1
+    keys = defaultdict(list)
+    for i, (k, _, _) in enumerate(rows):
+        keys[groups.find(i)].append(k)
+    want = Counter()
+    for i, (k, _, _) in enumerate(rows):
+        named = [x for x in keys[groups.find(i)] if x is not None]
+        c = min(named) if named else None
+        want[(k, links[i], c, c == k)] += 1
+    assert Counter(tuple(r) for r in crosspolytope.cluster(df).select("vec_id", "n_links", "component_id", "kept").collect()) == want
 
 
 def test_vectors(spark, frame):
@@ -234,19 +253,40 @@ def test_vectors(spark, frame):
     assert crosspolytope.cluster(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_and_null_keys(spark, frame):
+    a, b, c = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5], [0.1, -4.0, 2.0]
+    twice = lambda v: [2 * x for x in v]
+    rows = [(1, a, 0), (1, b, 0), (2, twice(a), 0), (3, twice(b), 0), (5, a, 1), (5, b, 1), (9, b, 1), (None, c, 0), (None, twice(c), 0), (None, a, 2), (4, twice(a), 2), (None, b, 2), (7, c, 2), (7, c, 2)]
+    check_vectors(rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), frame)
+
+
+def test_candidates_grow_with_the_links(spark):
+    rng = np.random.default_rng(9)
+    per = []
+    for n in (1000, 8000):
+        x = rng.normal(size=(n, 32))
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, vec array<double>, label int")
+        per.append(crosspolytope.candidates(df, *crosspolytope.plan(n, 32, 0.98)).count() / n)
+    assert max(per) < 3
+    small, large = crosspolytope.plan(1000, 64, 0.98), crosspolytope.plan(10**9, 64, 0.98)
+    assert large[0] > small[0] and large[1] > small[1]
+
+
 def test_hadamard_is_orthogonal():
     h = crosspolytope.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, 16 * np.eye(16))
 
 
-def test_probing_recall():
+@pytest.mark.parametrize("n", [500, 50_000, 10**8])
+def test_probing_recall(n):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(4000, 64))
+    x = rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    (a, pa), (b, pb) = (crosspolytope.keys(v, crosspolytope.TABLES, crosspolytope.HASHES) for v in (x, y))
+    tables, hashes = crosspolytope.plan(n, 64, 0.98)
+    (a, pa), (b, pb) = (crosspolytope.keys(v, tables, hashes) for v in (x, y))
     assert ((a == b) | (pa == b[:, :, None]).any(2) | (pb == a[:, :, None]).any(2)).any(1).all()
 
 
