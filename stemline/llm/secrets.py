@@ -8,8 +8,9 @@ that remain are verified.  Rules without mandatory trigrams scan every document.
 
 Defined results: a null text is empty; spans are in code points with exclusive ends, in
 order of start and then of the rules; matches of one rule don't overlap, those of
-different rules may; repeated and tied rows are reported each; an empty table gives no
-rows; further columns pass ``redact`` untouched.
+different rules may; repeated and tied rows are reported each, null keys included; an empty
+table gives no rows; further columns pass ``scan`` and ``redact`` untouched, whatever their names;
+rules that all lack trigrams need no index.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemline.llm.scratch import text_of
+from stemline.llm.scratch import fresh_name, text_of
 
 
 @dataclass(frozen=True)
@@ -109,22 +110,22 @@ def _named(rows: Column, at: int, kind: str) -> Column:
     return F.transform(rows, lambda s: F.struct(s["start"].alias("start"), F.lit(at).alias("at"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def postings(docs: DataFrame, key: str, text: str, trigrams: Sequence[str]) -> DataFrame:
-    """The inverted index, restricted to the trigrams that some rule asks for: (gram int, bit long, key)."""
+def postings(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
+    """The inverted index of docs (key, text), restricted to the trigrams that some rule asks for: (gram int, bit long, key)."""
     entry = lambda i: F.struct(F.lit(i).alias("gram"), F.lit(1 << i % 63).cast("long").alias("bit"))
-    held = F.array_compact(F.array(*[F.when(F.col("_low").contains(t), entry(i)) for i, t in enumerate(trigrams)]))
+    held = F.array_compact(F.array(*[F.when(F.col("low").contains(t), entry(i)) for i, t in enumerate(trigrams)]))
     # a projection of its own: the text is put in lower case once, not for each trigram
-    return docs.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("_low")).select(key, F.inline(held))
+    return docs.where("text is not null").select("key", F.lower("text").alias("low")).select("key", F.inline(held))
 
 
-def candidates(docs: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> DataFrame:
-    """(key, __hits): bit r is set where the postings of one conjunction of rule r all hold the key."""
+def candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(key, hits) of docs (key, text): bit r is set where the postings of one conjunction of rule r all hold the key."""
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries for way in q for t in way})
     words = (len(trigrams) + 62) // 63
-    index = postings(docs, key, text, trigrams)
+    index = postings(docs, trigrams)
     bits = [F.bit_or(F.when((F.col("gram") >= 63 * w) & (F.col("gram") < 63 * w + 63), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
-    held = index.groupBy(key).agg(*bits)
+    held = index.groupBy("key").agg(*bits)
 
     def intersect(way: frozenset[str]) -> Column:
         ids = [trigrams.index(t) for t in way]
@@ -135,27 +136,31 @@ def candidates(docs: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> D
     for r, query in enumerate(queries):
         found = reduce(lambda a, b: a | b, [intersect(way) for way in query])
         hits = hits + F.when(found, F.lit(1 << r)).otherwise(F.lit(0))
-    return held.select(key, hits.alias("__hits")).where(F.col("__hits") != 0)
+    return held.select("key", hits.alias("hits")).where("hits <> 0")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = BASE + ADDED, found: str = "found") -> DataFrame:
-    """``docs`` and a column ``found``: array<struct<start, at, end, kind>> in order of start and rule."""
+    """``docs`` and a column ``found``: array<struct<start, at, end, kind>> in order of start and rule; it takes the place of one of that name."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    known = candidates(docs, key, text, indexed).withColumnRenamed(key, "__key")
-    joined = docs.join(known, docs[key].eqNullSafe(F.col("__key")), "left").drop("__key") if indexed else docs.withColumn("__hits", F.lit(0))
+    name, hits = fresh_name(docs, "_key", "_hits")
+    joined = docs.withColumn(hits, F.lit(0))
+    if indexed:
+        known = candidates(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), indexed).toDF(name, hits)
+        joined = docs.join(known, docs[key].eqNullSafe(F.col(name)), "left").drop(name)
     body = text_of(text)
     none = F.array().cast("array<struct<start:int,end:int>>")
     each = []
     for at, rule in enumerate(rules):
         got = spans(body, rule)
         if rule in indexed:
-            got = F.when(F.coalesce(F.col("__hits"), F.lit(0)).bitwiseAND(1 << indexed.index(rule)) != 0, got).otherwise(none)
+            got = F.when(F.coalesce(F.col(hits), F.lit(0)).bitwiseAND(1 << indexed.index(rule)) != 0, got).otherwise(none)
         each.append(_named(got, at, rule.kind))
-    return joined.withColumn(found, F.array_sort(F.concat(*each))).drop("__hits")
+    return joined.withColumn(found, F.array_sort(F.concat(*each))).drop(hits)
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = BASE + ADDED, mark: str = "<secret>") -> DataFrame:
     """``docs`` with each maximal covered run of ``text`` replaced by ``mark``; a null text stays null."""
+    (found,) = fresh_name(docs, "_found")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -163,9 +168,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequ
         gap = F.when(fresh, F.concat(s["out"], F.substring(F.col(text), s["pos"] + 1, x["start"] - s["pos"]), F.lit(mark))).otherwise(s["out"])
         return F.struct(F.greatest(x["end"], s["pos"]).alias("pos"), gap.alias("out"))
 
-    end = F.aggregate("__found", start, step)
+    end = F.aggregate(found, start, step)
     clean = F.concat(end["out"], F.substring(F.col(text), end["pos"] + 1, F.char_length(text)))
-    return scan(docs, key, text, rules, "__found").withColumn(text, F.when(F.size("__found") > 0, clean).otherwise(F.col(text))).drop("__found")
+    return scan(docs, key, text, rules, found).withColumn(text, F.when(F.size(found) > 0, clean).otherwise(F.col(text))).drop(found)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
