@@ -4,9 +4,9 @@ Two gated recurrent layers read a text's bytes, one from the left and one from t
 in segments of fixed length with fresh states; at every position both states give the
 probability of each language, and a document's probabilities are the means over all its
 positions.  The network is trained here, in numpy, by backpropagation through time on
-segments of a bounded sample: at most ``per_language`` documents of each of the ``languages``
-most frequent languages, those with the least hash of their key.  It is small (a few
-thousand weights), so it is sent with the tasks.
+a bounded sample: of every language that a labelled row has, at most ``per_language`` documents,
+those with the least hash, and of each at most ``pieces`` segments of 64 bytes, cut where the text is.
+The network is small (a few thousand weights), so it is sent with the tasks.
 
 The byte 0 pads segments: it keeps the update gate shut, so states pass it unchanged, and
 its positions have no vote.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from stemline.llm import textvec
 
-SEGMENT, HIDDEN, PER_LANGUAGE, LANGUAGES = 128, 8, 200, 64
+SEGMENT, HIDDEN, PER_LANGUAGE, PIECES, LEARNT = 128, 8, 200, 16, 64
 SHUT = 12.0
 
 
@@ -124,21 +124,20 @@ def cut_segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
     return np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))], 0).astype(np.uint8), row
 
 
-def train(texts: list[str], labels: list[int], classes: int, segment: int = 64, hidden: int = HIDDEN, steps: int = 450, batch: int = 96, seed: int = 5) -> Network:
-    """Adam on random segments, as many of each class; deterministic."""
+def train(pieces: list[bytes], labels: list[int], classes: int, segment: int = LEARNT, hidden: int = HIDDEN, steps: int | None = None, batch: int = 96, seed: int = 5) -> Network:
+    """Adam on random pieces, as many of each class; deterministic.  More classes than 16 have more steps."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(classes, hidden, rng)
-    bodies = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-    of = [[i for i, y in enumerate(labels) if y == c] for c in range(classes)]
+    bodies = [np.frombuffer(t, np.uint8)[:segment] for t in pieces]
+    of = [np.flatnonzero(np.array(labels) == c) for c in range(classes)]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
+    steps = steps or 450 * max(1, -(-classes // 16))
     for step in range(1, steps + 1):
-        y = rng.permutation(np.arange(batch) % classes)
+        y = rng.permutation((np.arange(batch) + step * batch) % classes)
         x = np.zeros((segment, batch), np.uint8)
         for k, c in enumerate(y):
             body = bodies[of[c][rng.integers(len(of[c]))]]
-            start = rng.integers(max(1, len(body) - segment + 1))
-            part = body[start : start + segment]
-            x[: len(part), k] = part
+            x[: len(body), k] = body
         rate = 0.02 * min(1, step / 20) * (1 - step / (steps + 1)) ** 0.5
         for w, g, (m, v) in zip(net.weights(), net.gradients(x, y), moments, strict=True):
             np.clip(g, -0.5, 0.5, out=g)
@@ -167,19 +166,28 @@ def held_out(key: str):  # noqa: ANN201
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 5 == 0
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[Network | None, list[str]]:
-    """A network and its languages, from at most per_language * languages whole texts outside the held-out fifth."""
-    usable = docs.where(F.col(lang).isNotNull() & F.coalesce(~held_out(key), F.lit(False)))
-    names = sorted(r[0] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect())
-    # a rank that is cut to per_language before the shuffle, so no language meets in one task
-    rank = F.row_number().over(W.partitionBy(lang).orderBy(F.xxhash64(key), key))
-    chosen = usable.select(key, lang).where(F.col(lang).isin(names)).withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(key).collect() if names else []
-    rows = usable.where(F.col(key).isin([r[0] for r in chosen])).where(F.col(text).rlike(r"\p{L}")).select(key, text, lang).collect() if chosen else []
-    rows.sort(key=lambda r: (r[2], str(r[0]), r[1]))
-    names = sorted({r[2] for r in rows})
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, pieces: int = PIECES) -> DataFrame:
+    """(lang, pieces array<binary>) of at most per_language documents a language outside the held-out fifth, pieces drawn by hash."""
+    usable = docs.where(F.col(lang).isNotNull() & F.coalesce(~held_out(key), F.lit(False)) & F.col(text).rlike(r"\p{L}"))
+    body, order = F.encode(F.col(text), "UTF-8"), F.xxhash64(key, text)
+    spread = F.greatest(F.octet_length(text) - LEARNT + 1, F.lit(1))
+    # a short text has fewer pieces, so that all are drawn about as often
+    several = F.sequence(F.lit(1), F.least(F.lit(pieces), F.ceil(F.octet_length(text) / LEARNT).cast("int")))
+    cuts = F.transform(several, lambda i: F.substring(body, (F.pmod(F.xxhash64(order, i), spread) + 1).cast("int"), F.lit(LEARNT)))
+    # the rank is cut to per_language before the shuffle, so no language meets in one task, and texts stay where they are
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_order", "pieces"))
+    few = usable.select(F.col(lang).alias("lang"), order.alias("_order"), cuts.alias("pieces"))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("lang", "pieces")
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, pieces: int = PIECES) -> tuple[Network | None, list[str]]:
+    """A network and its languages; per language at most per_language * pieces segments reach the driver."""
+    rows = sorted((r[0], bytes(x)) for r in sample(docs, key, text, lang, per_language, pieces).collect() for x in r[1])
+    names = sorted({r[0] for r in rows})
     if not names:
         return None, []
-    return train([r[1] for r in rows], [names.index(r[2]) for r in rows], len(names)), names
+    of = {n: i for i, n in enumerate(names)}
+    return train([r[1] for r in rows], [of[r[0]] for r in rows], len(names)), names
 
 
 def predict(docs: DataFrame, net: Network | None, names: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
