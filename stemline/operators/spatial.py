@@ -21,10 +21,12 @@ def last_point_raster(points: DataFrame, size: float, value: str, by: str = "plo
 
 
 def majority_raster(points: DataFrame, size: float, instance: str = "instance_id", by: str = "plot") -> DataFrame:
-    """(by, px, py, instance, n): the instance with most points in each cell; ties go to the larger instance, then the lower id."""
+    """(by, px, py, instance, n): the instance with most points in each cell of a grid over all points, whose last cells take the far edge; ties go to the larger instance, then the lower id."""
     some = points.where(F.col(instance) > 0)
-    box = points.groupBy(by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
-    n = some.join(box, by).groupBy(by, cell("x", "_x0", size).alias("px"), cell("y", "_y0", size).alias("py"), instance).agg(F.count("*").alias("n"))
+    last = lambda v: F.greatest(F.lit(1), F.ceil((F.max(v) - F.min(v)) / size)) - 1
+    box = points.groupBy(by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), last("x").alias("_lx"), last("y").alias("_ly"))
+    inside = lambda v, o, most: F.least(cell(v, o, size), F.col(most)).cast("long")
+    n = some.join(box, by).groupBy(by, inside("x", "_x0", "_lx").alias("px"), inside("y", "_y0", "_ly").alias("py"), instance).agg(F.count("*").alias("n"))
     sizes = some.groupBy(by, instance).agg(F.count("*").alias("_size"))
     order = W.partitionBy(by, "px", "py").orderBy(F.desc("n"), F.desc("_size"), instance)
     return n.join(sizes, [by, instance]).withColumn("_r", F.row_number().over(order)).where("_r = 1").select(by, "px", "py", instance, "n")

@@ -161,8 +161,8 @@ def terrain_medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{P}, b AS (SELECT plot, MIN(x) AS x0, MIN(y) AS y0 FROM p WHERE pred_id > 0 GROUP BY plot),
-n AS (SELECT p.plot, CAST(FLOOR((x - x0) / 25.0) AS BIGINT) AS px, CAST(FLOOR((y - y0) / 25.0) AS BIGINT) AS py, pred_id, COUNT(*) AS n FROM p JOIN b ON p.plot = b.plot WHERE pred_id > 0 GROUP BY ALL),
+    f"""{P}, b AS (SELECT plot, MIN(x) AS x0, MIN(y) AS y0, GREATEST(1, CEIL((MAX(x) - MIN(x)) / 25.0)) - 1 AS lx, GREATEST(1, CEIL((MAX(y) - MIN(y)) / 25.0)) - 1 AS ly FROM p GROUP BY plot),
+n AS (SELECT p.plot, CAST(LEAST(FLOOR((x - x0) / 25.0), lx) AS BIGINT) AS px, CAST(LEAST(FLOOR((y - y0) / 25.0), ly) AS BIGINT) AS py, pred_id, COUNT(*) AS n FROM p JOIN b ON p.plot = b.plot WHERE pred_id > 0 GROUP BY ALL),
 s AS (SELECT plot, pred_id, COUNT(*) AS size FROM p WHERE pred_id > 0 GROUP BY ALL)
 SELECT n.plot, px, py, n.pred_id, n FROM n JOIN s ON n.plot = s.plot AND n.pred_id = s.pred_id QUALIFY ROW_NUMBER() OVER (PARTITION BY n.plot, px, py ORDER BY n DESC, size DESC, n.pred_id) = 1"""
 )
@@ -221,14 +221,14 @@ def neighbour_covariance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{P}, c AS (SELECT * FROM p WHERE point_id % 3 = 0), u AS (SELECT * FROM p WHERE point_id % 3 <> 0),
-q AS (SELECT u.plot, u.point_id, (u.x - c.x) * (u.x - c.x) + (u.y - c.y) * (u.y - c.y) AS d2, c.gt_id / 12.0 AS v FROM u JOIN c ON u.plot = c.plot AND (u.x - c.x) * (u.x - c.x) + (u.y - c.y) * (u.y - c.y) <= 25 QUALIFY ROW_NUMBER() OVER (PARTITION BY u.plot, u.point_id ORDER BY d2, c.point_id) <= 3),
+q AS (SELECT u.plot, u.point_id, (u.x - c.x) * (u.x - c.x) + (u.y - c.y) * (u.y - c.y) AS d2, c.gt_id / 12.0 AS v FROM u JOIN c ON u.plot = c.plot QUALIFY ROW_NUMBER() OVER (PARTITION BY u.plot, u.point_id ORDER BY d2, c.point_id) <= 3),
 w AS (SELECT *, CASE WHEN d2 = 0 THEN 1.0 ELSE 1 / (SQRT(d2) + 1e-8) END AS w FROM q) SELECT plot, point_id, ROUND(SUM(w * v) / SUM(w), 6) AS v FROM w GROUP BY ALL""")
 def inverse_distance(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).withColumn("v", F.col("gt_id") / 12.0)
     return rounded(neighbors.interpolate(p.where("point_id % 3 <> 0"), p.where("point_id % 3 = 0"), 5.0, 3, ("v",), FLAT), "v")
 
 
-@query(f"""{P}, n AS (SELECT u.plot, u.point_id, SQRT(MIN((u.x - c.x) * (u.x - c.x) + (u.y - c.y) * (u.y - c.y))) AS d FROM p u JOIN p c ON u.plot = c.plot AND c.point_id % 3 = 0 WHERE u.point_id % 3 <> 0 AND (u.x - c.x) * (u.x - c.x) + (u.y - c.y) * (u.y - c.y) <= 25 GROUP BY ALL)
+@query(f"""{P}, n AS (SELECT u.plot, u.point_id, SQRT(MIN((u.x - c.x) * (u.x - c.x) + (u.y - c.y) * (u.y - c.y))) AS d FROM p u JOIN p c ON u.plot = c.plot AND c.point_id % 3 = 0 WHERE u.point_id % 3 <> 0 GROUP BY ALL)
 SELECT plot, ROUND(AVG(d), 6) AS mean, ROUND(MAX(d), 6) AS max, ROUND(QUANTILE_CONT(d, 0.95), 6) AS p95, ROUND(QUANTILE_CONT(d, 0.99), 6) AS p99 FROM n GROUP BY plot""")
 def coverage_distances(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
@@ -476,8 +476,38 @@ def value_mapping(spark: SparkSession, d: str) -> DataFrame:
 
 # --- statistics ----------------------------------------------------------------------------------
 
-DIFF = f"""{M}, dd AS MATERIALIZED (SELECT a.plot, a.institution, ROUND(b.f1 - a.f1, 9) AS d FROM m a JOIN m b ON a.plot = b.plot WHERE a.method = '1-URGENT' AND b.method = '2-HIGH'),
-df AS MATERIALIZED (SELECT plot, d FROM dd ORDER BY plot LIMIT 11), ix AS MATERIALIZED (SELECT d, ROW_NUMBER() OVER (ORDER BY plot) - 1 AS i FROM df)"""
+NAMED = dict(zip(METHODS, PRIORITIES, strict=True))
+PAIRED = tuple((NAMED[a], NAMED[b]) for a, b in COMPARISONS)
+
+
+def flips_sql(by: str, source: str) -> str:
+    """CTE ``flips`` (by, n, observed, n_permutations, p_value) of the differences ``source`` (by, i from 0, n, d): the signed sums of both halves meet."""
+
+    def half(name: str, which: str) -> str:
+        # a recursion over the positions of one half doubles its sums at each step
+        return f"""{name}0 AS MATERIALIZED (SELECT {by}, ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY i) AS k, d FROM {source} WHERE {which}),
+{name}(g, k, s) AS (SELECT DISTINCT {by}, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM {source} UNION ALL SELECT g, {name}.k + 1, s + e.t * h.d FROM {name} JOIN {name}0 h ON h.{by} = g AND h.k = {name}.k + 1, (VALUES (1), (-1)) e(t)),
+{name}1 AS MATERIALIZED (SELECT g, s FROM {name} QUALIFY k = MAX(k) OVER (PARTITION BY g))"""
+
+    return f"""{half("fa", "i < n // 2")}, {half("fb", "i >= n // 2")},
+fo AS MATERIALIZED (SELECT {by}, AVG(d) AS observed, MAX(n) AS n FROM {source} GROUP BY {by}),
+flips AS MATERIALIZED (SELECT fo.{by}, n, observed, CAST(POW(2, n) AS BIGINT) AS n_permutations, SUM(CASE WHEN ABS(a.s + b.s) / n >= ABS(observed) - 1e-12 THEN 1 ELSE 0 END) / POW(2, n) AS p_value FROM fo JOIN fa1 a ON a.g = fo.{by} JOIN fb1 b ON b.g = fo.{by} GROUP BY fo.{by}, n, observed)"""
+
+
+def ranks_sql(by: str, source: str) -> str:
+    """CTE ``signed`` (by, n_plots, n_nonzero_pairs, W, p_wilcoxon): how many subsets of the ranks have each sum, rank by rank."""
+    return f"""nz AS MATERIALIZED (SELECT {by}, i, d, 2 * RANK() OVER (PARTITION BY {by} ORDER BY ABS(d)) + COUNT(*) OVER (PARTITION BY {by}, ABS(d)) - 1 AS r FROM {source} WHERE d <> 0),
+nk AS MATERIALIZED (SELECT {by}, r, ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY r, i) AS k FROM nz),
+ways(g, k, s, c) AS (SELECT DISTINCT {by}, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS DOUBLE) FROM nz UNION ALL SELECT g, k, s, SUM(c) FROM (SELECT g, ways.k + 1 AS k, CAST(s + e.t * n.r AS BIGINT) AS s, c FROM ways JOIN nk n ON n.{by} = g AND n.k = ways.k + 1, (VALUES (0), (1)) e(t)) GROUP BY g, k, s),
+last AS MATERIALIZED (SELECT * FROM ways QUALIFY k = MAX(k) OVER (PARTITION BY g)),
+w2 AS (SELECT {by}, LEAST(SUM(CASE WHEN d > 0 THEN r ELSE 0 END), SUM(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, COUNT(*) AS k FROM nz GROUP BY {by}),
+wp AS (SELECT w2.{by}, w / 2 AS "W", LEAST(1, 2 * SUM(CASE WHEN s <= w THEN c ELSE 0 END) / SUM(c)) AS p_wilcoxon FROM w2 JOIN last ON g = w2.{by} WHERE w2.k >= 2 GROUP BY w2.{by}, w),
+wn AS (SELECT {by}, COUNT(*) AS n_plots, CAST(SUM(CASE WHEN d <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero_pairs FROM {source} GROUP BY {by}),
+signed AS (SELECT wn.{by}, n_plots, n_nonzero_pairs, "W", p_wilcoxon, CASE WHEN n_nonzero_pairs < 2 THEN 'too few non-zero pairs' ELSE '' END AS note FROM wn LEFT JOIN wp ON wn.{by} = wp.{by})"""
+
+
+DIFF = f"""{M.replace("WITH", "WITH RECURSIVE", 1)}, dd AS MATERIALIZED (SELECT a.plot, a.institution, 'all' AS comparison, ROUND(b.f1 - a.f1, 9) AS d FROM m a JOIN m b ON a.plot = b.plot WHERE a.method = '1-URGENT' AND b.method = '2-HIGH'),
+df AS MATERIALIZED (SELECT comparison, d, ROW_NUMBER() OVER (ORDER BY plot) - 1 AS i, COUNT(*) OVER () AS n FROM dd)"""
 
 
 def _diffs(spark: SparkSession, d: str) -> DataFrame:
@@ -485,17 +515,13 @@ def _diffs(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("comparison", F.lit("all"))
 
 
-@query(f"{DIFF}, s AS (SELECT mask, SUM(CASE WHEN (mask >> CAST(i AS INT)) & 1 = 1 THEN -d ELSE d END) / COUNT(*) AS v, COUNT(*) AS n FROM (SELECT UNNEST(RANGE(2048)) AS mask), ix GROUP BY mask), o AS (SELECT AVG(d) AS obs FROM df) SELECT MAX(n) AS n, ROUND(MAX(obs), 6) AS observed, COUNT(*) AS n_permutations, ROUND(SUM(CASE WHEN ABS(v) >= ABS(obs) - 1e-12 THEN 1 ELSE 0 END) / COUNT(*), 6) AS p_value FROM s, o")
+@query(f"{DIFF}, {flips_sql('comparison', 'df')} SELECT n, ROUND(observed, 6) AS observed, n_permutations, ROUND(p_value, 6) AS p_value FROM flips")
 def sign_flip_test(spark: SparkSession, d: str) -> DataFrame:
     got = stats.sign_flip_test(_diffs(spark, d), ["comparison"]).select("n", "observed", "n_permutations", "p_value")
     return rounded(got, "observed", "p_value")
 
 
-@query(
-    f"""{DIFF}, nz AS MATERIALIZED (SELECT d, ABS(d) AS a FROM df WHERE d <> 0), rk AS MATERIALIZED (SELECT d, (SELECT COUNT(*) FROM nz y WHERE y.a < x.a) + ((SELECT COUNT(*) FROM nz y WHERE y.a = x.a) + 1) / 2 AS r, ROW_NUMBER() OVER () - 1 AS i FROM nz x),
-w AS (SELECT LEAST(SUM(CASE WHEN d > 0 THEN r ELSE 0 END), SUM(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, COUNT(*) AS k FROM rk), s AS (SELECT mask, SUM(CASE WHEN (mask >> CAST(i AS INT)) & 1 = 1 THEN r ELSE 0 END) AS v FROM (SELECT UNNEST(RANGE(CAST(POW(2, (SELECT k FROM w)) AS BIGINT))) AS mask), rk GROUP BY mask)
-SELECT (SELECT COUNT(*) FROM df) AS n_plots, MAX(k) AS n_nonzero_pairs, ROUND(MAX(w), 6) AS "W", ROUND(LEAST(1, 2 * SUM(CASE WHEN v <= w THEN 1 ELSE 0 END) / COUNT(*)), 6) AS p_wilcoxon FROM s, w"""
-)
+@query(f"{DIFF}, {ranks_sql('comparison', 'df')} SELECT n_plots, n_nonzero_pairs, ROUND(\"W\", 6) AS \"W\", ROUND(p_wilcoxon, 6) AS p_wilcoxon FROM signed")
 def signed_rank_test(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.wilcoxon(_diffs(spark, d), ["comparison"]).select("n_plots", "n_nonzero_pairs", "W", "p_wilcoxon"), "W", "p_wilcoxon")
 
@@ -599,7 +625,7 @@ def plots_to_resume(spark: SparkSession, d: str) -> DataFrame:
     return tables.missing_plots(m.select("plot").distinct(), m.where("f1 > 0.33"), "3-MEDIUM")
 
 
-@query(f"{M} SELECT method, ROUND(f1, 6) AS mean_f1 FROM m WHERE plot = 'NATION_1' AND method <> '2-HIGH' UNION ALL SELECT method, ROUND(recall, 6) FROM m WHERE plot = 'NATION_1' AND method = '2-HIGH'")
+@query(f"{M} SELECT method, ROUND(CASE WHEN method = '2-HIGH' THEN AVG(recall) ELSE AVG(f1) END, 6) AS mean_f1 FROM m GROUP BY method")
 def best_params_upsert(spark: SparkSession, d: str) -> DataFrame:
     m = metrics(spark, d).groupBy("method").agg(F.avg("f1").alias("f1"), F.avg("recall").alias("recall"))
     return rounded(tables.upsert_best(m.select("method", F.col("f1").alias("mean_f1")), m.where("method = '2-HIGH'").select("method", F.col("recall").alias("mean_f1"))), "mean_f1")
@@ -620,14 +646,18 @@ def normalised_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{M}, u AS (SELECT plot, method, metric, value FROM (SELECT plot, method, f1, recall FROM m) UNPIVOT (value FOR metric IN (f1, recall))), c AS (SELECT UNNEST(['1-URGENT', '3-MEDIUM']) AS method_a, UNNEST(['2-HIGH', '5-LOW']) AS method_b)
-SELECT method_a || ' -> ' || method_b AS comparison, a.metric, COUNT(*) AS n_plots, CAST(SUM(CASE WHEN b.value <> a.value THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero_pairs, ROUND(AVG(b.value - a.value), 6) + 0.0 AS mean_diff, ROUND(STDDEV_SAMP(b.value - a.value), 6) AS std_diff
-FROM c JOIN u a ON a.method = method_a JOIN u b ON b.method = method_b AND a.plot = b.plot AND a.metric = b.metric GROUP BY ALL"""
+    f"""{M.replace("WITH", "WITH RECURSIVE", 1)}, u AS (SELECT plot, method, metric, value FROM (SELECT plot, method, f1, "precision", recall FROM m) UNPIVOT (value FOR metric IN (f1, "precision", recall))),
+c AS (SELECT UNNEST({[a for a, _ in PAIRED]}) AS method_a, UNNEST({[b for _, b in PAIRED]}) AS method_b),
+df AS MATERIALIZED (SELECT method_a || ' -> ' || method_b || '|' || a.metric AS test, method_a, method_b, a.metric, a.plot, ROUND(b.value - a.value, 9) AS d, ROW_NUMBER() OVER (PARTITION BY method_a, method_b, a.metric ORDER BY a.plot) - 1 AS i, COUNT(*) OVER (PARTITION BY method_a, method_b, a.metric) AS n
+  FROM c JOIN u a ON a.method = method_a JOIN u b ON b.method = method_b AND a.plot = b.plot AND a.metric = b.metric),
+{flips_sql("test", "df")}, {ranks_sql("test", "df")},
+g AS (SELECT test, method_a, method_b, metric, AVG(d) AS mean_diff, STDDEV_SAMP(d) AS std_diff FROM df GROUP BY ALL)
+SELECT method_a || ' -> ' || method_b AS comparison, method_a, method_b, metric, n_plots, n_nonzero_pairs, ROUND("W", 6) AS "W", ROUND(p_wilcoxon, 6) AS p_wilcoxon, note, ROUND(mean_diff, 6) + 0.0 AS mean_diff, ROUND(std_diff, 6) AS std_diff,
+  ROUND(observed, 6) + 0.0 AS perm_observed_diff, ROUND(p_value, 6) AS perm_p_value, n_permutations FROM g JOIN flips ON flips.test = g.test JOIN signed ON signed.test = g.test"""
 )
 def paired_table(spark: SparkSession, d: str) -> DataFrame:
-    named = dict(zip(METHODS, PRIORITIES, strict=True))
-    got = stats.paired_table(metrics(spark, d), comparisons=tuple((named[a], named[b]) for a, b in COMPARISONS))
-    return rounded(got, "W", "p_wilcoxon", "mean_diff", "std_diff", "perm_observed_diff", "perm_p_value")
+    got = rounded(stats.paired_table(metrics(spark, d), comparisons=PAIRED), "W", "p_wilcoxon", "mean_diff", "std_diff", "perm_observed_diff", "perm_p_value")
+    return got.withColumns({n: F.col(n) + 0.0 for n in ("mean_diff", "perm_observed_diff")})
 
 
 @query(f"{P}, s AS (SELECT plot, pred_id, COUNT(*) AS n FROM p WHERE plot LIKE '%ur%' AND pred_id > 0 GROUP BY ALL) SELECT plot, pred_id, n FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY plot ORDER BY n DESC, pred_id) <= 3")
