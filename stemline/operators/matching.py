@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,3 +75,8 @@ def set_iou(a: Iterable[int] | Iterator[int], b: Iterable[int] | Iterator[int])
     """Overlap of two sets of points over their union; 0 for two empty sets."""
     a, b = set(a), set(b)
     return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def array_iou(a: str, b: str) -> Column:
+    """The same of two array columns."""
+    return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stemline.functions.draws import draw_of
 from stemline.functions.vectors import squared_distance
 
 
@@ -125,7 +126,7 @@ def farthest_points(points: DataFrame, n: int, axes: tuple[str, ...] = ("x", "y"
         pdf = pdf.sort_values(key)
         x = pdf[list(axes)].to_numpy(float)
         least = np.full(len(x), np.inf)
-        at = int(np.random.default_rng(seed).integers(len(x)))
+        at = int(draw_of(seed, pdf[by].iloc[0]) * len(x))
         taken = []
         for _ in range(min(n, len(x))):
             taken.append(at)

@@ -1,20 +1,20 @@
-"""Terrain surfaces and heights above ground.
+"""Terrain surfaces and heights above ground, all relational: no plot meets one task.
 
-Cells are counted relationally; only the small cell table of a plot meets one task, to be
-filled and smoothed.  The fill is our own deterministic rule: an empty cell takes the
-inverse-distance mean of the linear interpolations along its row and its column between the nearest
-filled cells (the nearest one alone at the ends), and what then is left takes the nearest filled
-cell of all.  It reproduces planes where a cell is bracketed.
+The fill is our own deterministic rule: an empty cell takes the inverse-distance mean of the
+linear interpolations along its row and its column between the nearest filled cells (the nearest
+one alone at the ends), and what then is left takes the nearest filled cell of all, the first in
+(iy, ix) order of equals.  It reproduces planes where a cell is bracketed.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemline.functions.guards import clamp
+from stemline.operators.neighbors import nearest_of
 
 
 def extents(points: DataFrame, resolution: float, by: str = "plot") -> DataFrame:
@@ -32,36 +32,36 @@ def ground_cells(points: DataFrame, resolution: float = 0.5, by: str = "plot", c
     return ground.groupBy(by, i("x", "x0", "nx").alias("ix"), i("y", "y0", "ny").alias("iy")).agg(F.median("z").alias("z"))
 
 
-def _line(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Interpolation of a line's gaps, and the weight of each: the inverse distance to the nearer value."""
-    at = np.flatnonzero(~np.isnan(values))
-    where = np.arange(len(values))
-    if not len(at):
-        return np.full(len(values), np.nan), np.zeros(len(values))
-    near = np.abs(where[:, None] - at[None, :]).min(1) if len(at) * len(values) < 1 << 22 else np.minimum(np.abs(where - at[np.clip(np.searchsorted(at, where), 0, len(at) - 1)]), np.abs(where - at[np.clip(np.searchsorted(at, where) - 1, 0, len(at) - 1)]))
-    return np.interp(where, at, values[at]), 1.0 / np.maximum(near, 0.5)
-
-
-def fill(grid: np.ndarray, otherwise: float) -> np.ndarray:
-    """A grid without gaps; all ``otherwise`` if it has no value."""
-    if np.isnan(grid).all():
-        return np.full(grid.shape, otherwise)
-    if not np.isnan(grid).any():
-        return grid
-    total, weight = np.zeros(grid.shape), np.zeros(grid.shape)
-    for turned in (False, True):
-        g = grid.T if turned else grid
-        v, w = (np.stack(x) for x in zip(*[_line(row) for row in g], strict=True))
-        v, w = (v.T, w.T) if turned else (v, w)
-        w = np.where(np.isnan(v), 0, w)
-        total += np.where(w > 0, v, 0) * w
-        weight += w
-    out = np.where(np.isnan(grid), np.divide(total, weight, out=np.full(grid.shape, np.nan), where=weight > 0), grid)
-    hole, known = np.argwhere(np.isnan(out)), np.argwhere(~np.isnan(grid))
-    for i, j in hole:
-        k = np.argmin(((known - (i, j)) ** 2).sum(1))
-        out[i, j] = grid[tuple(known[k])]
-    return out
+def _line(cells: DataFrame, by: str, along: str, across: str, name: str) -> DataFrame:
+    """``cells`` with ``name``: struct<v, w> of the interpolation of z along one axis and the inverse distance to the nearer value."""
+    here = W.partitionBy(by, across).orderBy(along)
+    known = F.when(F.col("z").isNotNull(), F.struct(F.col(along).alias("at"), "z"))
+    before, after = F.last(known, True).over(here.rowsBetween(W.unboundedPreceding, 0)), F.first(known, True).over(here.rowsBetween(0, W.unboundedFollowing))
+    lo, hi, x = F.col("_lo"), F.col("_hi"), F.col(along)
+    between = lo["z"] + F.try_divide((hi["z"] - lo["z"]) * (x - lo["at"]), hi["at"] - lo["at"])
+    value = F.coalesce(F.when(lo["at"] == hi["at"], lo["z"]).otherwise(between), lo["z"], hi["z"])
+    near = F.least(x - lo["at"], hi["at"] - x)
+    both = F.struct(value.alias("v"), F.when(value.isNotNull(), 1.0 / F.greatest(near, F.lit(0.5))).otherwise(0.0).alias("w"))
+    return cells.withColumn("_lo", before).withColumn("_hi", after).withColumn(name, both).drop("_lo", "_hi")
+
+
+def fill(cells: DataFrame, by: str = "plot") -> DataFrame:
+    """(by, ix, iy, z) without nulls in z, of all cells (by, ix, iy, z) of grids that have a value.
+
+    Rows and columns are windows, each a line of the grid; the last resort is a search outward from
+    the cells that neither line reaches."""
+    lined = _line(_line(cells, by, "ix", "iy", "_r"), by, "iy", "ix", "_c")
+    weight = F.col("_r.w") + F.col("_c.w")
+    mean = F.try_divide(F.coalesce(F.col("_r.v"), F.lit(0.0)) * F.col("_r.w") + F.coalesce(F.col("_c.v"), F.lit(0.0)) * F.col("_c.w"), weight)
+    out = lined.select(by, "ix", "iy", "z", F.coalesce("z", mean).alias("filled"))
+    # places in (iy, ix) order settle ties
+    placed = out.select(by, F.struct("iy", "ix").alias("id"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), "z", "filled")
+    bare, known = placed.where("filled is null"), placed.where("z is not null")
+    if bare.isEmpty():
+        return out.select(by, "ix", "iy", F.col("filled").alias("z"))
+    near = nearest_of(bare, known, 1, 4.0, ("x", "y"), by, "id").select(by, "id", "other")
+    last = near.join(known.select(by, F.col("id").alias("other"), "z"), [by, "other"]).select(by, "id.ix", "id.iy", "z")
+    return out.where("filled is not null").select(by, "ix", "iy", F.col("filled").alias("z")).unionByName(last)
 
 
 def kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
@@ -85,27 +85,43 @@ def smooth(grid: np.ndarray, sigma: float) -> np.ndarray:
     return out
 
 
-SURFACE = "plot string, ix long, iy long, z00 double, z10 double, z01 double, z11 double"
+def spread(cells: DataFrame, sigma: float, axes: tuple[str, ...], value: str, by: str = "plot") -> DataFrame:
+    """Gaussian filter of a sparse grid from 0 to its greatest indices: (by, axes, value) of all cells within reach, borders mirrored.
+
+    Each cell gives its weighted share to its neighbours axis by axis, so it makes 2r + 1 rows an
+    axis, and shares are summed before they are shuffled."""
+    out = cells.select(by, *axes, F.col(value).cast("double").alias(value))
+    if sigma <= 0:
+        return out
+    w = kernel(sigma)
+    r = len(w) // 2
+    out = out.join(cells.groupBy(by).agg(*[(F.max(a) + 1).alias(f"_n_{a}") for a in axes]), by)
+    weights = F.array(*[F.struct(F.lit(k - r).alias("o"), F.lit(float(x)).alias("w")) for k, x in enumerate(w)])
+    for axis in axes:
+        # a mirrored border sends a cell's share to each cell whose mirrored reach meets it
+        n = F.col(f"_n_{axis}")
+        wide = out.withColumn("_x", F.explode(weights)).withColumn("_t", F.pmod(F.col(axis) + F.col("_x.o"), 2 * n))
+        target = F.when(F.col("_t") < n, F.col("_t")).otherwise(2 * n - 1 - F.col("_t")).cast(cells.schema[axis].dataType)
+        keys = [by, *[target.alias(a) if a == axis else F.col(a) for a in axes], *[f"_n_{a}" for a in axes]]
+        out = wide.groupBy(*keys).agg(F.sum(F.col(value) * F.col("_x.w")).alias(value))
+    return out.select(by, *axes, value)
 
 
 def surface(points: DataFrame, resolution: float = 0.5, smooth_window: int = 5, by: str = "plot") -> DataFrame:
     """One row per cell with the heights at its own and the three next centres, filled and smoothed."""
     grid = extents(points, resolution, by)
-    cells = grid.join(ground_cells(points, resolution, by), by, "left")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        nx, ny, z0, plot = int(pdf["nx"].iloc[0]), int(pdf["ny"].iloc[0]), float(pdf["z0"].iloc[0]), pdf[by].iloc[0]
-        dense = np.full((ny, nx), np.nan)
-        some = pdf[pdf["ix"].notna()]
-        if some.empty:
-            raise ValueError(f"plot {plot} has no ground points")
-        dense[some["iy"].astype(int), some["ix"].astype(int)] = some["z"]
-        z = smooth(fill(dense, z0), smooth_window / 2)
-        y, x = np.divmod(np.arange(nx * ny), nx)
-        x1, y1 = np.minimum(x + 1, nx - 1), np.minimum(y + 1, ny - 1)
-        return pd.DataFrame({"plot": plot, "ix": x, "iy": y, "z00": z[y, x], "z10": z[y, x1], "z01": z[y1, x], "z11": z[y1, x1]})
-
-    return cells.groupBy(by).applyInPandas(one, SURFACE).withColumnRenamed("plot", by)
+    ground = ground_cells(points, resolution, by)
+    some = ground.groupBy(by).agg(F.count("*").alias("_ground"))
+    missing = F.raise_error(F.concat(F.lit("plot "), F.col(by).cast("string"), F.lit(" has no ground points")))
+    # the check is part of a column that every row needs, so that it is not optimised away
+    checked = grid.join(some, by, "left").withColumn("ny", F.when(F.col("_ground").isNull(), missing.cast("long")).otherwise(F.col("ny")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    dense = checked.withColumn("iy", F.explode(upto("ny"))).withColumn("ix", F.explode(upto("nx"))).select(by, "ix", "iy")
+    z = spread(fill(dense.join(ground, [by, "ix", "iy"], "left"), by), smooth_window / 2, ("iy", "ix"), "z", by)
+    ahead = lambda v, along, across: F.coalesce(F.lead(v).over(W.partitionBy(by, across).orderBy(along)), F.col(v))
+    corners: dict[str, Column] = {"z10": ahead("z", "ix", "iy")}
+    out = z.withColumns(corners).withColumns({"z01": ahead("z", "iy", "ix"), "z11": ahead("z10", "iy", "ix")})
+    return out.select(by, "ix", "iy", F.col("z").alias("z00"), "z10", "z01", "z11")
 
 
 def bilinear(points: DataFrame, cells: DataFrame, grid: DataFrame, resolution: float, by: str = "plot") -> DataFrame:
@@ -116,7 +132,7 @@ def bilinear(points: DataFrame, cells: DataFrame, grid: DataFrame, resolution: f
     low = lambda f, n: F.greatest(F.least(F.floor(f), F.col(n) - 2), F.lit(0)).cast("long")
     placed = points.join(grid.select(by, "x0", "y0", "nx", "ny"), by).withColumn("ix", low(fx, "nx")).withColumn("iy", low(fy, "ny"))
     placed = placed.withColumn("_tx", fx - F.col("ix")).withColumn("_ty", fy - F.col("iy"))
-    joined = placed.join(cells.withColumnRenamed("plot", by) if by != "plot" else cells, [by, "ix", "iy"])
+    joined = placed.join(cells, [by, "ix", "iy"])
     tx, ty = F.col("_tx"), F.col("_ty")
     ground = F.col("z00") * (1 - tx) * (1 - ty) + F.col("z10") * tx * (1 - ty) + F.col("z01") * (1 - tx) * ty + F.col("z11") * tx * ty
     return joined.withColumn("ground", ground).drop("x0", "y0", "nx", "ny", "ix", "iy", "_tx", "_ty", "z00", "z10", "z01", "z11")

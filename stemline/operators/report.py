@@ -171,9 +171,9 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.10, "*").otherwise("")
 
 
-def latex(metrics: DataFrame, columns: list[str], method: str = "method", limit: int = 50) -> str:
-    """A LaTeX table of means per method; one row per method, so at most ``limit`` rows reach the driver."""
-    rows = ordered_means(metrics, columns, method=method).limit(limit).collect()
+def latex(metrics: DataFrame, columns: list[str], methods: tuple[str, ...] = METHODS, method: str = "method") -> str:
+    """A LaTeX table of means with a row for each of ``methods``."""
+    rows = ordered_means(metrics, columns, methods, method).collect()
     head = " & ".join([method, *columns]).replace("_", r"\_")
     body = "\n".join(" & ".join([str(r[method]).replace("_", r"\_"), *["--" if r[c] is None else f"{r[c]:.3f}" for c in columns]]) + r" \\" for r in rows)
     return "\\begin{tabular}{l" + "r" * len(columns) + "}\n\\hline\n" + head + " \\\\\n\\hline\n" + body + "\n\\hline\n\\end{tabular}\n"

@@ -103,6 +103,22 @@ class Grid:
         return flood(self.density, markers, self.counts > 0)
 
 
+def seeds(voxels: DataFrame, seeding: str = "chm", params: Watershed = Watershed(), by: str = "plot") -> DataFrame:  # noqa: B008
+    """(by, marker, vi, vj, vk): the seeds of a plot, numbered from 1 by falling surface, at the top voxels of their columns."""
+    settings = asdict(params)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = Watershed(**settings)
+        i, j, k = (pdf[c].to_numpy(np.int64) for c in ("vi", "vj", "vk"))
+        at = Grid.of(i, j, k, pdf["n"].to_numpy(), p.gaussian_sigma).seeds(seeding, p)
+        out = pd.DataFrame(at, columns=["vi", "vj", "vk"]).astype("int32")
+        out.insert(0, "marker", np.arange(1, len(at) + 1, dtype=np.int32))
+        out.insert(0, by, pdf[by].iloc[0])
+        return out
+
+    return voxels.groupBy(by).applyInPandas(one, f"{by} string, marker int, vi int, vj int, vk int")
+
+
 def label_voxels(voxels: DataFrame, seeding: str = "chm", params: Watershed = Watershed(), by: str = "plot") -> DataFrame:  # noqa: B008
     """(by, vi, vj, vk, label) of occupied voxels; 0 where no seed reaches."""
     if seeding not in SEEDINGS:

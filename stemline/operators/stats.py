@@ -5,14 +5,15 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemline.config import COMPARISONS, METHODS
 from stemline.functions.guards import ratio
+from stemline.functions.normal import normal_cdf, normal_ppf
 from stemline.operators.report import METRICS, melt
+from stemline.operators.sampling import bootstrap_index
 
 TINY = 1e-12
 NORMAL = NormalDist()
@@ -109,30 +110,37 @@ def paired_table(metrics: DataFrame, values: list[str] = ("f1", "precision", "re
     return wilcoxon(d, by).join(spread, by).join(perm, by)
 
 
-def bca(data: np.ndarray, n_boot: int = 10_000, level: float = 0.95, seed: int = 42) -> tuple[float, float, float]:
-    """(mean, lower, upper): bias-corrected and accelerated bootstrap of the mean.  One value, or none, has no interval."""
-    x = np.asarray(data, float)
-    n = len(x)
-    if n == 0:
-        return (float("nan"),) * 3
-    mean = float(x.mean())
-    if n == 1 or np.ptp(x) == 0:
-        return mean, mean, mean
-    rng = np.random.default_rng(seed)
-    boot = x[rng.integers(0, n, (n_boot, n))].mean(axis=1)
-    z0 = NORMAL.inv_cdf(float(np.clip((boot < mean).mean(), 1e-6, 1 - 1e-6)))
-    left = (x.sum() - x) / (n - 1)
-    away = left.mean() - left
-    spread = (away**2).sum()
-    a = float((away**3).sum() / (6 * spread**1.5)) if spread > 0 else 0.0
-
-    def bound(z: float) -> float:
-        down = 1 - a * (z0 + z)
-        p = NORMAL.cdf(z0 + (z0 + z) / down) if down else NORMAL.cdf(z)
-        return float(np.percentile(boot, 100 * p))
+def bca(sets: DataFrame, by: list[str], n_boot: int = 10_000, level: float = 0.95, values: str = "values", seed: str = "seed") -> DataFrame:
+    """(by, observed, ci_lower, ci_upper, n): bias-corrected and accelerated bootstrap of the mean of each array ``values``.
+
+    Resamples are rows: draw i of resample b takes a value by a portable index, so no task holds
+    more than a set's values or its means.  One value, or equal ones, are their own interval."""
+    v, n = F.col(values), F.size(values)
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
+    sets = sets.where(n > 0).withColumn("observed", mean).withColumn("n", n.cast("long")).withColumn("_flat", F.array_max(v) == F.array_min(v))
+    resample = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + F.element_at(v, bootstrap_index(F.col("_b"), i, n, F.col(seed)) + 1)) / n
+    wide = sets.where(~F.col("_flat")).repartition(*by).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).select(*by, "observed", resample.alias("_mean"))
+    boot = wide.groupBy(*by).agg(F.sort_array(F.collect_list("_mean")).alias("_boot"), F.avg((F.col("_mean") < F.col("observed")).cast("double")).alias("_below"))
+    # leave-one-out means m_i lie at (sum - x_i) / (n - 1); their distance to their mean is (x_i - mean) / (n - 1)
+    power = lambda k: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow((x - F.col("observed")) / (n - 1), F.lit(float(k))))
+    z = sets.join(boot, by).withColumn("_z0", normal_ppf(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("_below")))))
+    z = z.withColumn("_a", F.coalesce(F.try_divide(power(3), 6 * F.pow(power(2), F.lit(1.5))), F.lit(0.0)))
+
+    def share(tail: float) -> Column:
+        s = F.col("_z0") + tail
+        return normal_cdf(F.coalesce(F.col("_z0") + F.try_divide(s, 1 - F.col("_a") * s), F.lit(tail)))
+
+    def at(p: Column) -> Column:
+        place = p * (n_boot - 1)
+        low = F.floor(place)
+        first, last = F.element_at("_boot", (low + 1).cast("int")), F.element_at("_boot", F.least(low + 2, F.lit(n_boot)).cast("int"))
+        return first + (last - first) * (place - low)
 
     tail = NORMAL.inv_cdf((1 - level) / 2)
-    return mean, bound(tail), bound(-tail)
+    placed = z.withColumn("_lo", share(tail)).withColumn("_hi", share(-tail))
+    bounds = placed.select(*by, at(F.col("_lo")).alias("ci_lower"), at(F.col("_hi")).alias("ci_upper"))
+    own = lambda c: F.coalesce(c, "observed").alias(c)
+    return sets.join(bounds, by, "left").select(*by, "observed", own("ci_lower"), own("ci_upper"), "n")
 
 
 def interval_table(metrics: DataFrame, values: tuple[str, ...] = METRICS, methods: tuple[str, ...] = METHODS, comparisons: tuple[tuple[str, str], ...] = COMPARISONS, n_boot: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
@@ -143,14 +151,9 @@ def interval_table(metrics: DataFrame, values: tuple[str, ...] = METRICS, method
     plan = [("method", m, v) for m in methods for v in values] + [("difference", f"{a} -> {b}", "f1") for a, b in comparisons]
     seeds = spark.createDataFrame([(*p, seed + i) for i, p in enumerate(plan)], "type string, label string, metric string, seed long")
     rows = each.unionByName(diff).where("value is not null").join(F.broadcast(seeds), ["type", "label", "metric"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("plot")
-        mean, low, high = bca(pdf["value"].to_numpy(), n_boot, level, int(pdf["seed"].iloc[0]))
-        first = pdf[["type", "label", "metric", "seed"]].head(1)
-        return first.assign(observed=mean, ci_lower=low, ci_upper=high, n=len(pdf), n_boot=n_boot, ci_level=level)
-
-    return rows.groupBy("type", "label", "metric", "seed").applyInPandas(one, "type string, label string, metric string, seed long, observed double, ci_lower double, ci_upper double, n long, n_boot long, ci_level double")
+    by = ["type", "label", "metric", "seed"]
+    sets = rows.groupBy(*by).agg(_ordered("value", "plot").alias("values"))
+    return bca(sets, by, n_boot, level).withColumns({"n_boot": F.lit(n_boot).cast("long"), "ci_level": F.lit(level)})
 
 
 def excludes_zero(low: Column, high: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemline.operators.raster import kernel
+from stemline.operators.raster import spread
 
 
 def voxelise(points: DataFrame, size: float, by: str = "plot", axes: tuple[str, str, str] = ("x", "y", "h")) -> DataFrame:
@@ -39,26 +39,9 @@ def top_band(voxels: DataFrame, band: int, by: str = "plot", value: str = "n") -
     return voxels.join(top, [by, "vi", "vj"]).where(inside).groupBy(by, "vi", "vj", "top_k").agg(F.sum(value).alias("surface"))
 
 
-def smooth(voxels: DataFrame, sigma: float, by: str = "plot", value: str = "n") -> DataFrame:
-    """Sparse 3D gaussian filter: (by, vi, vj, vk, density) of all voxels within reach, borders mirrored.
-
-    Each voxel gives its weighted share to its neighbours axis by axis, so it makes 3 * (2r + 1) rows
-    at most per voxel and axis, not (2r + 1) cubed."""
-    if sigma <= 0:
-        return voxels.select(by, "vi", "vj", "vk", F.col(value).cast("double").alias("density"))
-    w = kernel(sigma)
-    r = len(w) // 2
-    box = voxels.groupBy(by).agg(*[(F.max(a) + 1).alias(f"n_{a}") for a in ("vi", "vj", "vk")])
-    out = voxels.select(by, "vi", "vj", "vk", F.col(value).cast("double").alias("density")).join(box, by)
-    weights = F.array(*[F.struct(F.lit(k - r).alias("o"), F.lit(float(x)).alias("w")) for k, x in enumerate(w)])
-    for axis in ("vi", "vj", "vk"):
-        # a mirrored border sends a cell's share to each cell whose mirrored reach meets it
-        n = F.col(f"n_{axis}")
-        spread = out.withColumn("_x", F.explode(weights)).withColumn("_t", F.pmod(F.col(axis) + F.col("_x.o"), 2 * n))
-        target = F.when(F.col("_t") < n, F.col("_t")).otherwise(2 * n - 1 - F.col("_t")).cast("int")
-        keys = [by, *[target.alias(a) if a == axis else F.col(a) for a in ("vi", "vj", "vk")], "n_vi", "n_vj", "n_vk"]
-        out = spread.groupBy(*keys).agg(F.sum(F.col("density") * F.col("_x.w")).alias("density"))
-    return out.drop("n_vi", "n_vj", "n_vk")
+def smooth(voxels: DataFrame, sigma: float, by: str = "plot", value: str = "n", axes: tuple[str, ...] = ("vi", "vj", "vk")) -> DataFrame:
+    """Sparse gaussian filter in space, or of a surface over two axes: (by, axes, density) of all cells within reach."""
+    return spread(voxels.select(by, *axes, F.col(value).alias("density")), sigma, axes, "density", by)
 
 
 def label_points(voxelised: DataFrame, labels: DataFrame, by: str = "plot") -> DataFrame:

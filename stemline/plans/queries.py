@@ -1,47 +1,17 @@
-"""Registered queries of the operators, each with an independent SQL form for DuckDB where there is one.
-
-Doubles are rounded to 6 digits in both forms, for sums may differ in their last bits.
-"""
+"""Registered queries of the relational operators, each with an independent SQL form for DuckDB where there is one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemline.config import COMPARISONS, METHODS, Watershed
 from stemline.functions.vectors import argmax, squared_distance
 from stemline.operators import features, gridsearch, labels, matching, neighbors, raster, report, sampling, segment, semantic, spatial, stats, voxel
-from stemline.plans.projections import METRICS_SQL, POINTS_SQL, metrics, points, table
+from stemline.plans.projections import metrics, points, table
+from stemline.plans.registry import LABEL, ORACLE_SQL, PRIORITIES, QUERIES, RM, M, P, draw_sql, query, r6, rounded
 from stemline.sources import tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def r6(x: Column | str, name: str | None = None) -> Column:
-    c = F.col(x) if isinstance(x, str) else x
-    return F.round(c, 6).alias(name or x)
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
-
-
-P, M = f"WITH {POINTS_SQL}", f"WITH {METRICS_SQL}"
-LABEL = "CASE WHEN classification IN (1, 2) THEN 0 WHEN classification IN (4, 5, 6) THEN 1 ELSE -1 END"
 PAIRS = f"""{P},
 cells AS (SELECT plot, pred_id, gt_id, COUNT(*) AS inter FROM p GROUP BY ALL),
 np AS (SELECT plot, pred_id, SUM(inter) AS n_pred FROM cells WHERE pred_id > 0 GROUP BY ALL),
@@ -115,28 +85,28 @@ pv AS (SELECT p.*, CAST(FLOOR((x - x0) / 10.0) AS INT) AS vi, CAST(FLOOR((y - y0
 v AS (SELECT plot, vi, vj, vk, COUNT(*) AS n FROM pv GROUP BY ALL)"""
 
 
-def _voxels(spark: SparkSession, d: str) -> DataFrame:
+def voxels(spark: SparkSession, d: str) -> DataFrame:
     return voxel.voxelise(points(spark, d), 10.0, axes=("x", "y", "z"))
 
 
 @query(f"{VOX} SELECT * FROM v")
 def voxel_counts(spark: SparkSession, d: str) -> DataFrame:
-    return voxel.counts(_voxels(spark, d))
+    return voxel.counts(voxels(spark, d))
 
 
 @query(f"{VOX} SELECT plot, vi, vj, MAX(vk) AS top_k, CAST(MAX(vk) * 10.0 AS FLOAT) AS chm_m FROM v GROUP BY ALL")
 def canopy_heights(spark: SparkSession, d: str) -> DataFrame:
-    return voxel.canopy(voxel.counts(_voxels(spark, d)), 10.0)
+    return voxel.canopy(voxel.counts(voxels(spark, d)), 10.0)
 
 
 @query(f"{VOX}, t AS (SELECT plot, vi, vj, MAX(vk) AS top_k FROM v GROUP BY ALL) SELECT v.plot, v.vi, v.vj, top_k, CAST(SUM(n) AS BIGINT) AS surface FROM v JOIN t ON v.plot = t.plot AND v.vi = t.vi AND v.vj = t.vj WHERE vk >= GREATEST(top_k - 3, 0) GROUP BY ALL")
 def top_band_density(spark: SparkSession, d: str) -> DataFrame:
-    return voxel.top_band(voxel.counts(_voxels(spark, d)), 3)
+    return voxel.top_band(voxel.counts(voxels(spark, d)), 3)
 
 
 @query(f"{VOX} SELECT plot, vi, vj, vk, n, CAST(SUM(n) OVER (PARTITION BY plot, vi, vj ORDER BY vk ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM v")
 def column_running_sum(spark: SparkSession, d: str) -> DataFrame:
-    return voxel.running_density(voxel.counts(_voxels(spark, d)))
+    return voxel.running_density(voxel.counts(voxels(spark, d)))
 
 
 @query(f"{P}, s AS (SELECT plot, pred_id, COUNT(*) AS c FROM p WHERE pred_id > 0 GROUP BY ALL) SELECT p.plot, p.point_id, CAST(CASE WHEN c < 60 THEN 0 ELSE p.pred_id END AS BIGINT) AS pred_id FROM p LEFT JOIN s ON p.plot = s.plot AND p.pred_id = s.pred_id")
@@ -146,7 +116,7 @@ def small_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{VOX} SELECT pv.plot, point_id, CAST(CASE WHEN n % 2 = 0 THEN n ELSE 0 END AS BIGINT) AS instance_id FROM pv JOIN v ON pv.plot = v.plot AND pv.vi = v.vi AND pv.vj = v.vj AND pv.vk = v.vk")
 def voxel_labels_to_points(spark: SparkSession, d: str) -> DataFrame:
-    v = _voxels(spark, d)
+    v = voxels(spark, d)
     even = voxel.counts(v).where("n % 2 = 0").withColumn("label", F.col("n"))
     return voxel.label_points(v, even).select("plot", "point_id", F.col("instance_id").cast("long").alias("instance_id"))
 
@@ -375,9 +345,6 @@ def ranking_stability(spark: SparkSession, d: str) -> DataFrame:
     return report.rank_stability(report.leave_one_out(metrics(spark, d)))
 
 
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-
-
 @query(
     f"""{M}, o AS (SELECT UNNEST(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS method),
 s AS (SELECT method, AVG(f1) AS a, AVG(CASE WHEN institution <> 'ASIA' THEN f1 END) AS b, COUNT(DISTINCT plot) AS n1, COUNT(DISTINCT CASE WHEN institution <> 'ASIA' THEN plot END) AS n2 FROM m GROUP BY ALL)
@@ -506,7 +473,7 @@ wn AS (SELECT {by}, COUNT(*) AS n_plots, CAST(SUM(CASE WHEN d <> 0 THEN 1 ELSE 0
 signed AS (SELECT wn.{by}, n_plots, n_nonzero_pairs, "W", p_wilcoxon, CASE WHEN n_nonzero_pairs < 2 THEN 'too few non-zero pairs' ELSE '' END AS note FROM wn LEFT JOIN wp ON wn.{by} = wp.{by})"""
 
 
-DIFF = f"""{M.replace("WITH", "WITH RECURSIVE", 1)}, dd AS MATERIALIZED (SELECT a.plot, a.institution, 'all' AS comparison, ROUND(b.f1 - a.f1, 9) AS d FROM m a JOIN m b ON a.plot = b.plot WHERE a.method = '1-URGENT' AND b.method = '2-HIGH'),
+DIFF = f"""{RM}, dd AS MATERIALIZED (SELECT a.plot, a.institution, 'all' AS comparison, ROUND(b.f1 - a.f1, 9) AS d FROM m a JOIN m b ON a.plot = b.plot WHERE a.method = '1-URGENT' AND b.method = '2-HIGH'),
 df AS MATERIALIZED (SELECT comparison, d, ROW_NUMBER() OVER (ORDER BY plot) - 1 AS i, COUNT(*) OVER () AS n FROM dd)"""
 
 
@@ -533,11 +500,6 @@ def paired_differences(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("institution").agg(F.count("*").alias("n"), r6(F.avg("d"), "mean_diff"), r6(F.stddev_samp("d"), "std_diff"))
 
 
-@query()
-def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return stats.interval_table(metrics(spark, d), ("f1", "recall"), PRIORITIES, (("1-URGENT", "2-HIGH"),), n_boot=2000)
-
-
 # --- sampling, parsing, vectors, kernels -----------------------------------------------------------
 
 
@@ -547,18 +509,9 @@ def capped_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.cap_per_class(points(spark, d), 10, ("plot", "classification"), order=order).select("plot", "classification", "point_id")
 
 
-@query("SELECT n_name AS plot, CASE WHEN ROW_NUMBER() OVER (ORDER BY (n_nationkey * 7) % 25, n_name) <= CEIL(0.2 * COUNT(*) OVER ()) THEN 'val' ELSE 'train' END AS split FROM nation")
+@query(f"SELECT n_name AS plot, CASE WHEN ROW_NUMBER() OVER (ORDER BY {draw_sql(42, 'n_name')}, n_name) <= CEIL(0.2 * COUNT(*) OVER ()) THEN 'val' ELSE 'train' END AS split FROM nation")
 def plot_split(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    got = sampling.split_plots(n.select(F.col("n_name").alias("plot")), order=F.xxhash64("plot"))
-    own = n.select(F.col("n_name").alias("plot"), F.row_number().over(_one_order()).alias("r"))
-    return got.select("plot").join(own, "plot").select("plot", F.when(F.col("r") <= F.ceil(F.lit(0.2) * 25), "val").otherwise("train").alias("split"))
-
-
-def _one_order():  # noqa: ANN202
-    from pyspark.sql import Window as W
-
-    return W.partitionBy().orderBy((F.col("n_nationkey") * 7) % 25, "n_name")
+    return sampling.split_plots(table(spark, d, "nation").select(F.col("n_name").alias("plot")))
 
 
 @query("SELECT CAST(event_id AS INT) AS epoch, 100 AS epochs, ROUND(CAST(event_id % 97 AS DOUBLE) / 100, 6) AS train_loss, ROUND(CAST(event_id % 89 AS DOUBLE) / 100, 6) AS miou FROM events WHERE event_id % 2 = 0")
@@ -577,16 +530,6 @@ def vector_distance(spark: SparkSession, d: str) -> DataFrame:
     return e.join(F.broadcast(first)).select("vec_id", r6(squared_distance("embedding", "b"), "d2"), argmax("embedding").alias("top"))
 
 
-@query()
-def terrain_heights(spark: SparkSession, d: str) -> DataFrame:
-    return raster.heights(points(spark, d), 50.0, 5, 0.0, 500.0).select("plot", "point_id", "hag")
-
-
-@query()
-def sparse_smoothing(spark: SparkSession, d: str) -> DataFrame:
-    return voxel.smooth(voxel.counts(_voxels(spark, d)), 0.5)
-
-
 @query()
 def segmentation_chm(spark: SparkSession, d: str) -> DataFrame:
     p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_points_per_tree=5, gaussian_sigma=0.5, min_crown_radius_m=40.0)
@@ -606,12 +549,6 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
     return gridsearch.summarise(gridsearch.score_plots(points(spark, d), "chm", grid, base, axes=("x", "y", "z")), grid)
 
 
-@query()
-def geometric_features(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).select("plot", "point_id", (F.col("x") / 20).alias("x"), (F.col("y") / 5).alias("y"), (F.col("z") / 50).alias("z"))
-    return features.extract(p.withColumn("hag", F.col("z")).withColumn("intensity", F.col("z") / 20))
-
-
 @query(f"{M} SELECT plot, 'both' AS side FROM (SELECT plot FROM m WHERE method = '1-URGENT' AND f1 > 0.33 INTERSECT SELECT plot FROM m WHERE method = '2-HIGH' AND f1 > 0.33) UNION ALL SELECT plot, 'first' FROM (SELECT plot FROM m WHERE method = '1-URGENT' AND f1 > 0.33 EXCEPT SELECT plot FROM m WHERE method = '2-HIGH' AND f1 > 0.33)")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
     m = metrics(spark, d).where("f1 > 0.33")
@@ -646,7 +583,7 @@ def normalised_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{M.replace("WITH", "WITH RECURSIVE", 1)}, u AS (SELECT plot, method, metric, value FROM (SELECT plot, method, f1, "precision", recall FROM m) UNPIVOT (value FOR metric IN (f1, "precision", recall))),
+    f"""{RM}, u AS (SELECT plot, method, metric, value FROM (SELECT plot, method, f1, "precision", recall FROM m) UNPIVOT (value FOR metric IN (f1, "precision", recall))),
 c AS (SELECT UNNEST({[a for a, _ in PAIRED]}) AS method_a, UNNEST({[b for _, b in PAIRED]}) AS method_b),
 df AS MATERIALIZED (SELECT method_a || ' -> ' || method_b || '|' || a.metric AS test, method_a, method_b, a.metric, a.plot, ROUND(b.value - a.value, 9) AS d, ROW_NUMBER() OVER (PARTITION BY method_a, method_b, a.metric ORDER BY a.plot) - 1 AS i, COUNT(*) OVER (PARTITION BY method_a, method_b, a.metric) AS n
   FROM c JOIN u a ON a.method = method_a JOIN u b ON b.method = method_b AND a.plot = b.plot AND a.metric = b.metric),
@@ -666,3 +603,7 @@ def largest_segments(spark: SparkSession, d: str) -> DataFrame:
 
     n = labels.plots_like(points(spark, d), "ur").where("pred_id > 0").groupBy("plot", "pred_id").agg(F.count("*").alias("n"))
     return n.withColumn("_r", F.row_number().over(W.partitionBy("plot").orderBy(F.desc("n"), "pred_id"))).where("_r <= 3").drop("_r")
+
+
+# modules that register queries of their own
+from stemline.plans import kernels, stored  # noqa: E402, F401

@@ -6,18 +6,23 @@ Uncompressed files with point formats 0 to 10; the extra dimension ``treeID`` gi
     spark.dataSource.register(LasSource)
     spark.read.format("las").option("path", folder).load()
 
-Files are opened by path on the executors: the folder must be one that they share.
+This source opens files by path on the executors: the folder must be one that they share.
+``scan`` reads any other file system through Spark's own reader, a file of at most 2 GB per task.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -43,36 +48,45 @@ class Header:
 
 def header(path: str) -> Header:
     with open(path, "rb") as f:
-        h = f.read(375)
-        if h[:4] != b"LASF":
-            raise ValueError(f"{path} is not a LAS file")
-        size, offset, n_vlr, kind, record, count = struct.unpack_from("<HIIBHI", h, 94)
-        if kind & 0xC0:
-            raise ValueError(f"{path} is compressed")
-        if h[25] >= 4:
-            count = struct.unpack_from("<Q", h, 247)[0] or count
-        scale, shift = struct.unpack_from("<3d", h, 131), struct.unpack_from("<3d", h, 155)
-        f.seek(size)
-        tree, at = None, FORMAT_BYTES[kind]
-        for _ in range(n_vlr):
-            v = f.read(54)
-            user, record_id, length = v[2:18].rstrip(b"\0"), *struct.unpack_from("<HH", v, 18)
-            body = f.read(length)
-            if user == b"LASF_Spec" and record_id == 4:
-                for i in range(0, length - 191, 192):
-                    code, name = body[i + 2], body[i + 4 : i + 36].split(b"\0")[0].decode("latin-1")
-                    if code in EXTRA_TYPES:
-                        if name.lower() == "treeid":
-                            tree = (at, EXTRA_TYPES[code])
-                        at += np.dtype(EXTRA_TYPES[code]).itemsize
-                    else:
-                        at += body[i + 3]
+        return _header(f, path)
+
+
+def _header(f: BinaryIO, path: str) -> Header:
+    h = f.read(375)
+    if h[:4] != b"LASF":
+        raise ValueError(f"{path} is not a LAS file")
+    size, offset, n_vlr, kind, record, count = struct.unpack_from("<HIIBHI", h, 94)
+    if kind & 0xC0:
+        raise ValueError(f"{path} is compressed")
+    if h[25] >= 4:
+        count = struct.unpack_from("<Q", h, 247)[0] or count
+    scale, shift = struct.unpack_from("<3d", h, 131), struct.unpack_from("<3d", h, 155)
+    f.seek(size)
+    tree, at = None, FORMAT_BYTES[kind]
+    for _ in range(n_vlr):
+        v = f.read(54)
+        user, record_id, length = v[2:18].rstrip(b"\0"), *struct.unpack_from("<HH", v, 18)
+        body = f.read(length)
+        if user == b"LASF_Spec" and record_id == 4:
+            for i in range(0, length - 191, 192):
+                code, name = body[i + 2], body[i + 4 : i + 36].split(b"\0")[0].decode("latin-1")
+                if code in EXTRA_TYPES:
+                    if name.lower() == "treeid":
+                        tree = (at, EXTRA_TYPES[code])
+                    at += np.dtype(EXTRA_TYPES[code]).itemsize
+                else:
+                    at += body[i + 3]
     return Header(offset, kind, record, count, scale, shift, tree)
 
 
 def read(path: str, first: int, last: int) -> dict[str, np.ndarray]:
     h = header(path)
-    rows = np.fromfile(path, np.uint8, (last - first) * h.record, offset=h.offset + first * h.record).reshape(-1, h.record)
+    return decode(h, np.fromfile(path, np.uint8, (last - first) * h.record, offset=h.offset + first * h.record))
+
+
+def decode(h: Header, body: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns of whole point records."""
+    rows = body.reshape(-1, h.record)
     take = lambda at, kind: np.ascontiguousarray(rows[:, at : at + np.dtype(kind).itemsize]).view(kind).ravel()
     flags = rows[:, 14]
     modern = h.kind >= 6
@@ -85,6 +99,48 @@ def read(path: str, first: int, last: int) -> dict[str, np.ndarray]:
     return out
 
 
+def encode(points: pd.DataFrame, scale: float = 0.01) -> bytes:
+    """A LAS 1.2 file of point format 0 with the extra dimension ``treeID``, of points in file order."""
+    extra = bytearray(192)
+    extra[2], extra[4:10] = 5, b"treeID"
+    vlr = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, 192, b"") + bytes(extra)
+    head = bytearray(227)
+    head[:4], head[24:26] = b"LASF", bytes([1, 2])
+    struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(vlr), 1, 0, 24, len(points))
+    struct.pack_into("<3d", head, 131, scale, scale, scale)
+    rows = np.zeros(len(points), np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("light", "<u2"), ("flags", "u1"), ("code", "u1"), ("rest", "V4"), ("tree", "<u4")]))
+    for a in "xyz":
+        rows[a] = np.rint(points[a].to_numpy() / scale)
+    rows["light"], rows["code"], rows["tree"] = points["intensity"], points["classification"], points["tree_id"]
+    rows["flags"] = points["return_number"].to_numpy() | points["number_of_returns"].to_numpy() << 3
+    return bytes(head) + vlr + rows.tobytes()
+
+
+def scan(spark: SparkSession, root: str, pattern: str = "*.las") -> DataFrame:
+    """The points of all files below a folder of any file system."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = content.as_buffer()
+                h = _header(io.BytesIO(body), path)
+                whole = np.frombuffer(body, np.uint8)
+                for first in range(0, h.count, RANGE):
+                    last = min(first + RANGE, h.count)
+                    yield _rows(path, first, decode(h, whole[h.offset + first * h.record : h.offset + last * h.record]))
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return found.select("path", "content").mapInArrow(one, POINTS)
+
+
+def _rows(path: str, first: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    folder, stem = os.path.basename(os.path.dirname(path)), os.path.splitext(os.path.basename(path))[0]
+    n = len(columns["x"])
+    rows = {"plot": pa.array([f"{folder}__{stem}"] * n), "institution": pa.array([folder] * n), "point_id": pa.array(np.arange(first, first + n))}
+    rows |= {k: pa.array(v) for k, v in columns.items()}
+    return pa.RecordBatch.from_pydict({k: rows[k] for k in POINTS.names})
+
+
 @dataclass
 class Part(InputPartition):
     path: str
@@ -104,12 +160,7 @@ class LasReader(DataSourceReader):
         return [Part(p, a, min(a + RANGE, n)) for p in paths for n in [header(p).count] for a in range(0, n, RANGE)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        folder, stem = os.path.basename(os.path.dirname(partition.path)), os.path.splitext(os.path.basename(partition.path))[0]
-        cols = read(partition.path, partition.first, partition.last)
-        n = partition.last - partition.first
-        rows = {"plot": pa.array([f"{folder}__{stem}"] * n), "institution": pa.array([folder] * n), "point_id": pa.array(np.arange(partition.first, partition.last))}
-        rows |= {k: pa.array(v) for k, v in cols.items()}
-        yield pa.RecordBatch.from_pydict({k: rows[k] for k in POINTS.names})
+        yield _rows(partition.path, partition.first, read(partition.path, partition.first, partition.last))
 
 
 class LasSource(DataSource):

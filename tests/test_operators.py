@@ -78,16 +78,49 @@ def test_terrain_without_ground_raises(spark):
         raster.heights(p).collect()
 
 
-def test_fill_keeps_planes_and_smooth_keeps_mass():
+def filled(spark, grid):
+    """raster.fill of a dense grid [iy, ix] with NaN for empty cells."""
+    rows = [("A", int(i), int(j), None if np.isnan(v) else float(v)) for (j, i), v in np.ndenumerate(grid)]
+    out = np.full(grid.shape, np.nan)
+    for r in raster.fill(spark.createDataFrame(rows, "plot string, ix long, iy long, z double")).collect():
+        assert np.isnan(out[r.iy, r.ix])
+        out[r.iy, r.ix] = r.z
+    return out
+
+
+def brute_fill(grid):
+    known = [(j, i) for (j, i), v in np.ndenumerate(grid) if not np.isnan(v)]
+    out = grid.copy()
+    for (j, i), v in np.ndenumerate(grid):
+        if not np.isnan(v):
+            continue
+        total = weight = 0.0
+        for line, at in ((grid[j], i), (grid[:, i], j)):
+            there = np.flatnonzero(~np.isnan(line))
+            if len(there):
+                w = 1 / max(0.5, np.abs(there - at).min())
+                total, weight = total + w * np.interp(at, there, line[there]), weight + w
+        out[j, i] = total / weight if weight else grid[min(known, key=lambda k: ((k[0] - j) ** 2 + (k[1] - i) ** 2, k))]
+    return out
+
+
+def test_fill_keeps_planes_and_smooth_keeps_mass(spark):
     g = np.add.outer(np.arange(6.0), 2 * np.arange(7.0))
     holed = g.copy()
     holed[2, 3] = holed[4, 1] = np.nan
-    assert np.allclose(raster.fill(holed, 0.0), g)
-    assert np.all(raster.fill(np.full((2, 2), np.nan), 3.0) == 3.0)
+    assert np.allclose(filled(spark, holed), g)
     x = np.random.default_rng(0).random((9, 4))
     assert np.isclose(raster.smooth(x, 1.0).sum(), x.sum())
 
 
+@pytest.mark.parametrize("share", [0.5, 0.1, 0.02])
+def test_fill_equals_brute_force(spark, share):
+    rng = np.random.default_rng(int(100 * share))
+    g = np.where(rng.random((13, 17)) < share, rng.random((13, 17)), np.nan)
+    g[3, 4] = 1.0
+    assert np.allclose(filled(spark, g), brute_fill(g))
+
+
 def test_sparse_smoothing_equals_dense(spark):
     rng = np.random.default_rng(2)
     dense = (rng.random((5, 4, 6)) > 0.5) * rng.integers(1, 9, (5, 4, 6))
@@ -215,9 +248,13 @@ def test_statistics(spark):
     assert (w.n_nonzero_pairs, w.W, w.p_wilcoxon) == (4, 1.0, 0.25)
     few = stats.wilcoxon(points(spark, [("c", "p", 0.0), ("c", "q", 1.0)], "comparison plot d"), ["comparison"]).first()
     assert few.p_wilcoxon is None and few.note
-    mean, low, high = stats.bca(np.arange(11.0))
-    assert low < mean == 5 < high and stats.bca(np.array([2.0])) == (2.0, 2.0, 2.0)
-    assert np.isnan(stats.bca(np.array([]))[0])
+    sets = spark.createDataFrame([("a", [float(x) for x in range(11)], 1), ("b", [2.0], 2), ("c", [], 3), ("d", [4.0, 4.0], 4)], "name string, values array<double>, seed int")
+    got = {r.name: r for r in stats.bca(sets, ["name", "seed"], 4000).collect()}
+    assert set(got) == {"a", "b", "d"} and got["a"].ci_lower < got["a"].observed == 5 < got["a"].ci_upper and got["a"].n == 11
+    assert got["b"][2:5] == (2.0, 2.0, 2.0) and got["d"][2:5] == (4.0, 4.0, 4.0)
+    x, rng = np.arange(11.0), np.random.default_rng(1)
+    wide = x[rng.integers(0, 11, (4000, 11))].mean(1)
+    assert [got["a"].ci_lower, got["a"].ci_upper] == pytest.approx(np.percentile(wide, [2.5, 97.5]), abs=0.25)
 
 
 def test_semantic_edge_cases(spark):
