@@ -8,7 +8,9 @@
    its sizes allow the similarity and its odd sketches don't rule it out, and is a link once
    the full sets confirm it.  First each class is tried with the partner that shares most
    bands with it, then with its other buckets' leaders where still apart.
-4. A bucket that after this still spans several components is compared across components, all
+4. Large buckets that still span several components take other leaders, one a round, until few
+   pairs are left or a round links nothing; so a family of texts is joined by some of its links.
+5. A bucket that after this still spans several components is compared across components, all
    of it, by longer odd sketches of its members before their sets: links are lost only where no band collides, which for the threshold itself has the
    probability (1 - threshold**rows)**bands, 2e-5 by default, and vanishes above it.
 
@@ -31,11 +33,13 @@ from pyspark.sql import functions as F
 
 from stemline.llm import textvec
 from stemline.llm.components import components
-from stemline.llm.scratch import cut
+from stemline.llm.scratch import cut, drop
 
 WIDTH, BANDS, ROWS, BITS = 5, 40, 5, 512
 #: Samples and bits of the sketches that are made only of what large buckets leave apart.
 FINE, FINE_BITS = 2048, 4096
+#: Rounds of other leaders at most; what they leave apart is compared in full whatever their number.
+ROUNDS = 8
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,13 +208,37 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
         to = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
         return some.join(to("a"), "a", "left").join(to("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    more = cut(_confirm(across(pairs.select("a", "b"), roots), sets, percent))
-    links = links.unionByName(more)
-    roots = components(links)
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """``roots`` after more links: components of the roots that they join."""
+        to = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+        up = cut(components(links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+        over = up.select(F.col("id").alias("root"), F.col("root").alias("r"))
+        return cut(roots.join(over, "root", "left").select("id", F.coalesce("r", "root").alias("root")).unionByName(up))
+
+    roots = merged(roots, cut(_confirm(across(pairs.select("a", "b"), roots), sets, percent)))
+
+    def apart_in_buckets(roots: DataFrame) -> DataFrame:
+        """(band, code, id, root) of the buckets that span several components."""
+        rooted = buckets.join(roots, "id", "left").select("band", "code", "id", F.coalesce("root", "id").alias("root"))
+        split = rooted.groupBy("band", "code").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "code")
+        return cut(rooted.join(split, ["band", "code"]))
+
+    rest = apart_in_buckets(roots)
+    for turn in range(ROUNDS):
+        sizes = rest.groupBy("band", "code", "root").agg(F.count("*").cast("double").alias("n")).groupBy("band", "code").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        members, between = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
+        if not members or between <= 2 * members:
+            break
+        leaders = rest.groupBy("band", "code").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "root")).alias("l")).select("band", "code", F.col("l.id").alias("a"), F.col("l.root").alias("ra"))
+        some = rest.join(leaders, ["band", "code"]).where("root <> ra").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+        chosen = passed(some).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        found = cut(_confirm(cut(chosen), sets, percent))
+        if found.isEmpty():
+            break
+        roots = merged(roots, found)
+        drop(rest)
+        rest = apart_in_buckets(roots)
 
-    rooted = buckets.join(roots, "id", "left").select("band", "code", "id", F.coalesce("root", "id").alias("root"))
-    split = rooted.groupBy("band", "code").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "code")
-    rest = rooted.join(split, ["band", "code"])
     fine = cut(_fine(sets.join(rest.select("id").distinct(), "id", "left_semi")))
     rest = cut(rest.join(reps.select("id", "n_shingles", "bands", "odd"), "id").join(fine, "id"))
     one = lambda x: rest.select("band", "code", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("odd").alias(f"o{x}"), F.col("fine").alias(f"f{x}"), F.col("bands").alias(f"c{x}"))
@@ -219,8 +247,8 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     first = F.array_position(F.zip_with("ca", "cb", lambda p, q: p == q), True) - 1 == F.col("band")
     left = one("a").join(one("b"), ["band", "code"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits & finely & first).select("a", "b").distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(_confirm(cut(left.join(tried, ["a", "b"], "left_anti")), sets, percent))
-    roots = components(links)
+    roots = merged(roots, cut(_confirm(cut(left.join(tried, ["a", "b"], "left_anti")), sets, percent)))
+    drop(reps, buckets, pairs, sets, fine, rest)
 
     full = sketched.select(F.col("id"), "n_shingles", "fp").join(classes, "fp", "left").drop("fp")
     named = full.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
