@@ -1,4 +1,7 @@
-"""Search over segmentation parameters: every plot is prepared once, every combination scored."""
+"""Search over segmentation parameters: every plot is voxelised once per size, every combination scored.
+
+Points are counted by voxel and true instance relationally; a task gets the voxels of one plot, size
+and smoothing, and no points."""
 
 from __future__ import annotations
 
@@ -24,12 +27,12 @@ def combinations(grid: dict[str, tuple[float, ...]]) -> list[dict[str, float]]:
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
 
-def f1_of(pred: np.ndarray, gt: np.ndarray, threshold: float) -> float:
-    """F1 of greedy matching between two id arrays of the same points."""
+def f1_of(pred: np.ndarray, gt: np.ndarray, n: np.ndarray, threshold: float) -> float:
+    """F1 of greedy matching between two ids of groups of n points each."""
     n_gt, n_pred = len(np.unique(gt[gt > 0])), len(np.unique(pred[pred > 0]))
     if not n_gt or not n_pred:
         return 0.0
-    cells = pd.DataFrame({"pred_id": pred, "gt_id": gt}).value_counts().rename("inter").reset_index()
+    cells = pd.DataFrame({"pred_id": pred, "gt_id": gt, "inter": n}).groupby(["pred_id", "gt_id"], as_index=False)["inter"].sum()
     sizes = [cells.groupby(c)["inter"].transform("sum") for c in ("pred_id", "gt_id")]
     cells["iou"] = cells["inter"] / (sizes[0] + sizes[1] - cells["inter"])
     able = cells[(cells["pred_id"] > 0) & (cells["gt_id"] > 0) & (cells["iou"] >= threshold)]
@@ -37,41 +40,49 @@ def f1_of(pred: np.ndarray, gt: np.ndarray, threshold: float) -> float:
     return 2 * tp / (n_gt + n_pred)
 
 
-def score_plots(points: DataFrame, seeding: str, grid: dict[str, tuple[float, ...]], base: Watershed = Watershed(), threshold: float = 0.5, parts: int = 4, by: str = "plot", axes: tuple[str, str, str] = ("x", "y", "hag")) -> DataFrame:  # noqa: B008
+def voxel_tables(points: DataFrame, sizes: list[float], by: str = "plot", axes: tuple[str, str, str] = ("x", "y", "hag")) -> DataFrame:
+    """(by, size, vi, vj, vk, gt_id, n): points counted by voxel of each size and by true instance."""
+    origin = points.groupBy(by).agg(*[F.min(a).cast("double").alias(f"_{a}") for a in axes])
+    wide = points.join(origin, by).withColumn("size", F.explode(F.array(*[F.lit(float(x)) for x in sizes])))
+    index = lambda a: F.floor((F.col(a).cast("double") - F.col(f"_{a}")) / F.col("size")).cast("int")
+    return wide.groupBy(by, "size", *[index(a).alias(v) for v, a in zip(("vi", "vj", "vk"), axes, strict=True)], "gt_id").agg(F.count("*").alias("n"))
+
+
+def score_plots(points: DataFrame, seeding: str, grid: dict[str, tuple[float, ...]], base: Watershed = Watershed(), threshold: float = 0.5, by: str = "plot", axes: tuple[str, str, str] = ("x", "y", "hag")) -> DataFrame:  # noqa: B008
     """(by, combo, f1, error): ``points`` are the filtered points with gt_id.
 
-    The combinations are dealt to ``parts`` tasks per plot by their (voxel size, sigma), on which the
-    smoothed volume depends alone, so each volume is made once.  A plot that fails has its error
-    in the table instead of a score."""
+    The combinations are dealt by their (voxel size, sigma), on which the smoothed volume depends
+    alone, so each volume is made once, from the voxel table.  A plot that fails has its error in the table instead of a score."""
     combos = combinations(grid)
-    volumes = sorted({(c["voxel_size"], c["gaussian_sigma"]) for c in combos})
+    volumes = sorted({(float(c["voxel_size"]), float(c["gaussian_sigma"])) for c in combos})
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["_part"].iloc[0])
-        xyz, gt = pdf[list(axes)].to_numpy(float), pdf["gt_id"].to_numpy(np.int64)
+        size, sigma = float(pdf["size"].iloc[0]), float(pdf["sigma"].iloc[0])
+        cells, inverse = np.unique(pdf[["vi", "vj", "vk"]].to_numpy(np.int64), axis=0, return_inverse=True)
+        gt, n = pdf["gt_id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        counts = np.bincount(inverse.ravel(), n)
         rows = []
-        for voxel, sigma in volumes[part::parts]:
-            index = np.floor((xyz - xyz.min(0)) / voxel).astype(np.int64)
-            cells, inverse, n = np.unique(index, axis=0, return_inverse=True, return_counts=True)
-            made: Grid | None = None
-            for i, c in enumerate(combos):
-                if (c["voxel_size"], c["gaussian_sigma"]) != (voxel, sigma):
-                    continue
-                try:
-                    p = replace(base, **c)
-                    made = made or Grid.of(*cells.T, n, sigma)
-                    ids = made.labels(seeding, p)[tuple(cells.T)][inverse.ravel()]
-                    size = np.bincount(ids)
-                    ids = np.where(size[ids] < p.min_points_per_tree, 0, ids)
-                    rows.append((i, f1_of(ids, gt, threshold), None))
-                except (ValueError, MemoryError) as e:
-                    rows.append((i, None, str(e)[:200]))
+        made: Grid | None = None
+        for i, c in enumerate(combos):
+            if (float(c["voxel_size"]), float(c["gaussian_sigma"])) != (size, sigma):
+                continue
+            try:
+                p = replace(base, **c)
+                made = made or Grid.of(*cells.T, counts, sigma)
+                ids = made.labels(seeding, p)[tuple(cells.T)][inverse.ravel()]
+                held = np.bincount(ids, n)
+                ids = np.where(held[ids] < p.min_points_per_tree, 0, ids)
+                rows.append((i, f1_of(ids, gt, n, threshold), None))
+            except (ValueError, MemoryError) as e:
+                rows.append((i, None, str(e)[:200]))
         out = pd.DataFrame(rows, columns=["combo", "f1", "error"])
         out.insert(0, by, pdf[by].iloc[0])
         return out.astype({"combo": "int64", "f1": "float64"})
 
-    dealt = points.select(by, *axes, "gt_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(min(parts, len(volumes)) - 1))))
-    return dealt.groupBy(by, "_part").applyInPandas(one, f"{by} string, combo long, f1 double, error string")
+    tables = voxel_tables(points, sorted({v for v, _ in volumes}), by, axes)
+    sigmas = points.sparkSession.createDataFrame(volumes, "size double, sigma double")
+    # a row per volume of the grid
+    return tables.join(F.broadcast(sigmas), "size").groupBy(by, "size", "sigma").applyInPandas(one, f"{by} string, combo long, f1 double, error string")
 
 
 def summarise(scored: DataFrame, grid: dict[str, tuple[float, ...]]) -> DataFrame:

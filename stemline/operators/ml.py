@@ -1,20 +1,22 @@
 """Point classifiers: a random forest on features, and block inference with any scorer.
 
-The deep network of the design can't run here; its place is a scorer, a function from a
+The deep network of the design can't run here as a whole; its place is a scorer, a function from a
 batch of blocks (n, points, 5) to probabilities (n, points, 2).  ``perceptron_scorer`` is a
-small stand-in that is trained here.
+small stand-in that is trained here.  Its two building blocks, set abstraction at several scales and
+feature propagation, are relational, with weights as parameters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemline.config import Blocks, Forest
@@ -81,6 +83,40 @@ def block_inference(points: DataFrame, scorer: Scorer, n_passes: int, radius: fl
     return whole, semantic.coverage(everything.withColumn("n_samples", F.coalesce("n_samples", F.lit(0))), [by])
 
 
+def layer(inputs: list[Column], weights: list[list[float]], bias: list[float]) -> list[Column]:
+    """A dense layer with rectified outputs in built-in expressions: one output per row of ``weights``."""
+    return [F.greatest(F.lit(0.0), reduce(lambda s, t: s + t, [x * float(w) for x, w in zip(inputs, row, strict=True)], F.lit(float(b)))) for row, b in zip(weights, bias, strict=True)]
+
+
+def set_abstraction(points: DataFrame, scales: list[tuple[float, int, list[list[float]], list[float]]], n_centres: int, features: tuple[str, ...] = (), axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id", seed: int = 42) -> DataFrame:
+    """(by, key, channels array<double>) of farthest points: per scale (radius, members, weights, bias) the greatest output of
+    a shared layer over the members of each ball, the scales side by side.
+
+    A layer reads a member's offset from the centre and its ``features``; balls are joins and the
+    maxima are combined before they are shuffled."""
+    centres = points.join(neighbors.farthest_points(points, n_centres, axes, by, key, seed).select(by, key), [by, key]).select(by, key, *axes)
+    named = points.select(by, F.col(key).alias("_m"), *[F.col(a).alias(f"_{a}") for a in axes], *features)
+    out = centres.select(by, key)
+    for i, (radius, n, weights, bias) in enumerate(scales):
+        balls = neighbors.ball_query(centres, points, radius, n, axes, by, key).withColumn("_m", F.explode("members"))
+        rows = balls.join(named, [by, "_m"]).join(centres, [by, key])
+        inputs = [F.col(f"_{a}") - F.col(a) for a in axes] + [F.col(f) for f in features]
+        best = rows.groupBy(by, key).agg(F.array(*[F.max(c) for c in layer(inputs, weights, bias)]).alias(f"_s{i}"))
+        out = out.join(best, [by, key])
+    return out.select(by, key, F.flatten(F.array(*[F.col(f"_s{i}") for i in range(len(scales))])).alias("channels"))
+
+
+def propagate(points: DataFrame, centres: DataFrame, weights: list[list[float]], bias: list[float], radius: float, features: tuple[str, ...] = (), axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
+    """(by, key, channels) of ``points``: channels of the three nearest of ``centres`` (by, key, axes, channels) by inverse
+    distance, beside the point's own ``features``, through a layer."""
+    width = len(weights[0]) - len(features)
+    names = [f"_c{i}" for i in range(width)]
+    wide = centres.select(by, key, *axes, *[F.col("channels")[i].alias(c) for i, c in enumerate(names)])
+    near = neighbors.interpolate(points, wide, radius, 3, tuple(names), axes, by, key)
+    joined = near.join(points.select(by, key, *features), [by, key]) if features else near
+    return joined.select(by, key, F.array(*layer([F.col(c) for c in (*names, *features)], weights, bias)).alias("channels"))
+
+
 def perceptron_scorer(x: np.ndarray, y: np.ndarray, hidden: int = 16, steps: int = 300, seed: int = 42) -> Scorer:
     """A two-layer perceptron on single points (n, 5), trained with class weights."""
     rng = np.random.default_rng(seed)

@@ -1,8 +1,9 @@
-"""Neighbourhoods: range joins on bins, nearest neighbours, and the kernels that need order.
+"""Neighbourhoods: kernels on tiles, range joins on bins, and the kernels that need order.
 
-``radius_join`` and ``knn`` are relational: bins of the radius, an equi-join on the bin and a
-residual distance; ``nearest_of`` has no bound and doubles the radius for points that need it.  For dense clouds use ``tiles``: each task gets one square tile with a halo
-as wide as the search radius, so no neighbourhood is cut and no plot meets one task whole.
+``radius_count`` and ``knn`` run on ``tiles``: each task gets one square tile with a halo as wide
+as the search radius, so no neighbourhood is cut, no plot meets one task whole, and a dense place
+makes no rows of pairs.  ``radius_join`` returns pairs and is relational: bins of the radius, an equi-join
+on the bin and a residual distance; ``nearest_of`` has no bound and doubles the radius for points that need it.
 """
 
 from __future__ import annotations
@@ -35,9 +36,23 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, axes: tuple[str, ...]
     return probe.join(store, [by, *bins]).select(by, key, "other", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def radius_count(points: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
-    """(by, key, density float): how many points lie within the radius, itself included."""
-    return radius_join(points, points, radius, axes, by, key).groupBy(by, key).agg(F.count("*").cast("float").alias("density"))
+def _placed(points: DataFrame, axes: tuple[str, ...], by: str, key: str) -> DataFrame:
+    """(by, key, x, y, z) of points in two or three axes."""
+    names = [F.col(a).cast("double").alias(n) for a, n in zip(axes, "xyz", strict=False)]
+    return points.select(by, key, *names, *([F.lit(0.0).alias("z")] if len(axes) == 2 else []))
+
+
+def radius_count(points: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id", tile: float = 4.0) -> DataFrame:
+    """(by, key, density float): how many points lie within the radius, itself included; tiles are ``tile`` radii wide."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.flatnonzero(pdf["own"].to_numpy())
+        _, _, within = grid_neighbours(pdf[["x", "y", "z"]].to_numpy(float), own, radius, 1)
+        return pdf.loc[pdf["own"], [by, key]].assign(density=within.astype(np.float32))
+
+    placed = _placed(points, axes, by, key)
+    kinds = [placed.schema[c].dataType.simpleString() for c in (by, key)]
+    return tiles(placed, tile * radius, radius, one, f"{by} {kinds[0]}, {key} {kinds[1]}, density float", by)
 
 
 def nearest(pairs: DataFrame, k: int, keys: list[str], drop_self: tuple[str, str] | None = None) -> DataFrame:
@@ -47,9 +62,25 @@ def nearest(pairs: DataFrame, k: int, keys: list[str], drop_self: tuple[str, str
     return p.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(points: DataFrame, k: int, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
-    """(by, key, other, d2, rank): up to k neighbours within the radius, the point itself excluded by its id."""
-    return nearest(radius_join(points, points, radius, axes, by, key), k, [by, key], (key, "other"))
+def knn(points: DataFrame, k: int, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id", tile: float = 4.0) -> DataFrame:
+    """(by, key, other, d2, rank): up to k neighbours within the radius, the point itself excluded by its id; ties go to the lower id."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
+        x, names = pdf[["x", "y", "z"]].to_numpy(float), pdf[key].to_numpy()
+        own = np.flatnonzero(pdf["own"].to_numpy())
+        ids, _, _ = grid_neighbours(x, own, radius, k + 1)
+        row, col = np.nonzero((ids >= 0) & (ids != own[:, None]))
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        keep = rank <= k
+        row, a, b = row[keep], own[row[keep]], ids[row[keep], col[keep]]
+        d = x[a] - x[b]
+        squared = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        return pd.DataFrame({by: pdf[by].to_numpy()[a], key: names[a], "other": names[b], "d2": squared, "rank": rank[keep].astype(np.int32)})
+
+    placed = _placed(points, axes, by, key)
+    kinds = [placed.schema[c].dataType.simpleString() for c in (by, key)]
+    return tiles(placed, tile * radius, radius, one, f"{by} {kinds[0]}, {key} {kinds[1]}, other {kinds[1]}, d2 double, rank int", by)
 
 
 def finite(points: DataFrame, axes: tuple[str, ...]) -> DataFrame:
@@ -84,13 +115,20 @@ def nearest_of(a: DataFrame, b: DataFrame, k: int, radius: float, axes: tuple[st
         radius *= 2
 
 
-def vector_knn(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", by: str | None = None) -> DataFrame:
+def vector_knn(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", by: str | None = None, most_bytes: int = 1 << 28) -> DataFrame:
     """k nearest vectors by squared distance for a stated, small set of queries, within groups if ``by`` is given.
 
-    Every base row meets every query of its group; each task keeps k per query before anything is shuffled."""
+    Without groups the queries go to every task, which their size is checked for; more than ``most_bytes``
+    raises.  Each task keeps k per query before anything is shuffled."""
     q = queries.select(F.col(key).alias("q"), F.col(vec).alias("_q"), *([by] if by else []))
     b = base.select(F.col(key).alias("other"), F.col(vec).alias("_b"), *([by] if by else []))
-    pairs = b.join(q, by) if by else b.join(q)
+    if by:
+        pairs = b.join(q, by)
+    else:
+        size = q.agg(F.sum(8 * (F.coalesce(F.size("_q"), F.lit(0)) + 4))).first()[0] or 0
+        if size > most_bytes:
+            raise ValueError(f"{size} bytes of queries are too many for every task; search them in parts or within groups")
+        pairs = b.join(F.broadcast(q))
     d = pairs.where(F.col("q") != F.col("other")).select("q", "other", squared_distance("_q", "_b").alias("d2"))
     return d.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "other"))).where(F.col("rank") <= k)
 

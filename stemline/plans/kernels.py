@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.config import COMPARISONS, METHODS, Watershed
+from stemline.config import COMPARISONS, METHODS, Blocks, Config, Terrain, Watershed
 from stemline.functions.guards import clamp
 from stemline.functions.normal import normal_cdf, normal_ppf
-from stemline.operators import features, labels, matching, neighbors, raster, report, sampling, segment, semantic, stats, voxel
+from stemline.operators import features, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, voxel
+from stemline.plans import flows
 from stemline.plans.projections import metrics, points, table
 from stemline.plans.registry import LABEL, PRIORITIES, RM, RP, M, P, draw_sql, query, r6, rounded
 
@@ -234,6 +235,112 @@ def grouped_samples(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
+# --- blocks and networks -----------------------------------------------------------------------------
+
+
+@query(
+    f"""{P}, b AS MATERIALIZED (SELECT plot, point_id, x, y, z FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY plot ORDER BY {draw_sql(42, "plot", "point_id")}, point_id) <= 128),
+c AS (SELECT plot, AVG(x) AS mx, AVG(y) AS my, AVG(z) AS mz FROM b GROUP BY plot), q AS (SELECT b.plot, point_id, x - mx AS x, y - my AS y, z - mz AS z, z / 10 AS hag FROM b JOIN c ON b.plot = c.plot), f AS (SELECT plot, MAX(SQRT(x * x + y * y + z * z)) AS far FROM q GROUP BY plot)
+SELECT q.plot, point_id, ROUND(x / (far + 1e-8), 6) + 0.0 AS x, ROUND(y / (far + 1e-8), 6) + 0.0 AS y, ROUND(z / (far + 1e-8), 6) + 0.0 AS z, ROUND(LEAST(1, hag / 50), 6) AS hag FROM q JOIN f ON q.plot = f.plot"""
+)
+def block_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """One training block per plot: sampled, about its centre in the unit sphere, heights over 50."""
+    b = sampling.block(points(spark, d), 128).withColumn("hag", clamp(F.col("z") / 10 / 50, 0.0, 1.0))
+    got = sampling.block_normalised(b)
+    return got.select("plot", "point_id", *[(F.round(a, 6) + 0.0).alias(a) for a in ("x", "y", "z")], r6("hag"))
+
+
+def _by_height(x):  # noqa: ANN001, ANN202
+    """A scorer in the network's place: the height channel is the probability of a tree."""
+    import numpy as np
+
+    return np.stack([1 - x[:, :, 3], x[:, :, 3]], 2)
+
+
+@query(
+    f"""{P}, {PASSES}, h AS MATERIALIZED (SELECT plot, point_id, x, y, z, CAST(CAST(LEAST(1, GREATEST(0, z / 10 / 50)) AS FLOAT) AS DOUBLE) AS v, EXISTS (SELECT 1 FROM pb WHERE pb.plot = p.plot AND pb.point_id = p.point_id) AS seen FROM p),
+q AS (SELECT u.plot, u.point_id, c.v, (u.x - c.x) ** 2 + (u.y - c.y) ** 2 + (u.z - c.z) ** 2 AS d2 FROM h u JOIN h c ON u.plot = c.plot AND c.seen AND NOT u.seen QUALIFY ROW_NUMBER() OVER (PARTITION BY u.plot, u.point_id ORDER BY d2, c.point_id) <= 3),
+w AS (SELECT plot, point_id, v, CASE WHEN d2 = 0 THEN 1.0 ELSE 1 / (SQRT(d2) + 1e-8) END AS w FROM q), a AS (SELECT plot, point_id, v FROM h WHERE seen UNION ALL SELECT plot, point_id, SUM(w * v) / SUM(w) FROM w GROUP BY ALL)
+SELECT plot, point_id, ROUND(v, 5) AS p1, CAST(CASE WHEN v > 0.5 THEN 1 ELSE 0 END AS INT) AS semantic_pred FROM a"""
+)
+def block_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities over six passes of sampled blocks; points in none of them take those of their neighbours."""
+    p = points(spark, d).select("plot", "point_id", "x", "y", "z", (F.col("z") / 10).alias("hag"), F.lit(0.5).alias("intensity"), labels.binary_label().alias("label"))
+    whole, _ = ml.block_inference(p, _by_height, 6, 20.0, Blocks(points=64))
+    return whole.select("plot", "point_id", F.round("p1", 5).alias("p1"), F.col("semantic_pred").cast("int").alias("semantic_pred"))
+
+
+W1, B1 = [[0.5, -0.25, 0.01], [-1.0, 0.5, 0.0], [0.1, 0.1, -0.02]], [0.5, 0.0, 1.0]
+W2, B2 = [[0.2, 0.3, -0.01]], [0.25]
+W3, B3 = [[0.5, 0.25, -0.5, 1.0, 0.01], [-0.1, 0.2, 0.3, 0.4, -0.02]], [0.0, 0.5]
+
+
+def _layer_sql(inputs: list[str], weights: list[list[float]], bias: list[float]) -> list[str]:
+    return [f"GREATEST(0, {b!r} + " + " + ".join(f"{x} * {w!r}" for x, w in zip(inputs, row, strict=True)) + ")" for row, b in zip(weights, bias, strict=True)]
+
+
+OFFSETS = ["(o.x - a.x)", "(o.y - a.y)", "o.z"]
+
+
+def _ball_sql(name: str, radius: float, n: int, weights: list[list[float]], bias: list[float]) -> str:
+    return f"""{name}q AS (SELECT c.plot, c.point_id, a.x AS ax, a.y AS ay, o.point_id AS other FROM ct c JOIN zk a ON a.plot = c.plot AND a.point_id = c.point_id JOIN zk o ON o.plot = c.plot AND (a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y) <= {radius * radius!r} QUALIFY ROW_NUMBER() OVER (PARTITION BY c.plot, c.point_id ORDER BY o.point_id) <= {n}),
+{name} AS (SELECT q.plot, q.point_id, {", ".join(f"MAX({x}) AS {name}{i}" for i, x in enumerate(_layer_sql(OFFSETS, weights, bias)))} FROM {name}q q JOIN zk a ON a.plot = q.plot AND a.point_id = q.point_id JOIN zk o ON o.plot = q.plot AND o.point_id = q.other GROUP BY ALL)"""
+
+
+ABSTRACT = f"""{FARTHEST}, ct AS (SELECT plot, UNNEST(ids) AS point_id FROM fs), zk AS MATERIALIZED (SELECT bk.plot, bk.point_id, bk.x, bk.y, p.z FROM bk JOIN p ON p.plot = bk.plot AND p.point_id = bk.point_id),
+{_ball_sql("sa", 12.0, 5, W1, B1)}, {_ball_sql("sb", 30.0, 9, W2, B2)},
+ab AS MATERIALIZED (SELECT sa.plot, sa.point_id, sa0, sa1, sa2, sb0 FROM sa JOIN sb ON sb.plot = sa.plot AND sb.point_id = sa.point_id)"""
+
+
+def _abstracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    b = _block(spark, d)
+    return b, ml.set_abstraction(b, [(12.0, 5, W1, B1), (30.0, 9, W2, B2)], 8, ("z",), ("x", "y"))
+
+
+@query(f"{ABSTRACT} SELECT plot, point_id, ROUND(sa0, 6) AS c0, ROUND(sa1, 6) AS c1, ROUND(sa2, 6) AS c2, ROUND(sb0, 6) AS c3 FROM ab")
+def set_abstraction(spark: SparkSession, d: str) -> DataFrame:
+    _, found = _abstracted(spark, d)
+    return found.select("plot", "point_id", *[r6(F.col("channels")[i], f"c{i}") for i in range(4)])
+
+
+@query(
+    f"""{ABSTRACT}, nq AS (SELECT u.plot, u.point_id, sa0, sa1, sa2, sb0, (u.x - c.x) ** 2 + (u.y - c.y) ** 2 AS d2 FROM zk u JOIN ab ON ab.plot = u.plot JOIN zk c ON c.plot = ab.plot AND c.point_id = ab.point_id QUALIFY ROW_NUMBER() OVER (PARTITION BY u.plot, u.point_id ORDER BY d2, c.point_id) <= 3),
+nw AS (SELECT *, CASE WHEN d2 = 0 THEN 1.0 ELSE 1 / (SQRT(d2) + 1e-8) END AS w FROM nq), na AS (SELECT plot, point_id, SUM(w * sa0) / SUM(w) AS a0, SUM(w * sa1) / SUM(w) AS a1, SUM(w * sa2) / SUM(w) AS a2, SUM(w * sb0) / SUM(w) AS a3 FROM nw GROUP BY ALL)
+SELECT na.plot, na.point_id, {", ".join(f"ROUND({x}, 5) AS c{i}" for i, x in enumerate(_layer_sql(["a0", "a1", "a2", "a3", "zk.z"], W3, B3)))} FROM na JOIN zk ON zk.plot = na.plot AND zk.point_id = na.point_id"""
+)
+def feature_propagation(spark: SparkSession, d: str) -> DataFrame:
+    b, found = _abstracted(spark, d)
+    centres = found.join(b.select("plot", "point_id", "x", "y"), ["plot", "point_id"])
+    got = ml.propagate(b, centres, W3, B3, 20.0, ("z",), ("x", "y"))
+    return got.select("plot", "point_id", *[F.round(F.col("channels")[i], 5).alias(f"c{i}") for i in range(2)])
+
+
+@query(
+    f"""{TERRAIN}, t AS (SELECT plot, MAX(z) AS top FROM p GROUP BY plot)
+SELECT p.plot, p.point_id, CAST({LABEL.replace("classification", "p.classification")} AS INT) AS label, ROUND(CAST(CAST(CASE WHEN top > 0 THEN p.z / top ELSE p.z END AS FLOAT) AS DOUBLE), 6) AS intensity, ROUND(CAST(CAST(hag AS FLOAT) AS DOUBLE), 6) AS hag FROM p JOIN t ON t.plot = p.plot JOIN hag h ON h.plot = p.plot AND h.point_id = p.point_id"""
+)
+def prepared_points(spark: SparkSession, d: str) -> DataFrame:
+    """The first step of every flow: scaled intensities, labels and heights."""
+    cfg = Config(terrain=Terrain(resolution=50.0, hag_max=500.0))
+    got = flows.prepare(points(spark, d).withColumn("intensity", F.col("z")), cfg)
+    return got.select("plot", "point_id", "label", r6(F.col("intensity").cast("double"), "intensity"), r6(F.col("hag").cast("double"), "hag"))
+
+
+@query(
+    f"""{P}, v AS MATERIALIZED (SELECT plot, gt_id, pred_id, {LABEL} AS label, pred_id % 2 AS s FROM p WHERE {LABEL} <> -1),
+c AS (SELECT plot, pred_id, gt_id, COUNT(*) AS i FROM v GROUP BY ALL), np AS (SELECT plot, pred_id, SUM(i) AS n FROM c WHERE pred_id > 0 GROUP BY ALL), ng AS (SELECT plot, gt_id, SUM(i) AS n FROM c WHERE gt_id > 0 GROUP BY ALL),
+x AS (SELECT c.plot, c.pred_id, c.gt_id, i / (np.n + ng.n - i) AS iou FROM c JOIN np ON np.plot = c.plot AND np.pred_id = c.pred_id JOIN ng ON ng.plot = c.plot AND ng.gt_id = c.gt_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY plot, gt_id ORDER BY iou DESC, pred_id) AS a, ROW_NUMBER() OVER (PARTITION BY plot, pred_id ORDER BY iou DESC, gt_id) AS b FROM x WHERE iou >= 0.5), h AS (SELECT plot, COUNT(*) AS tp FROM r WHERE a = 1 AND b = 1 GROUP BY plot),
+s AS (SELECT v.plot, COUNT(DISTINCT CASE WHEN gt_id > 0 THEN gt_id END) AS g, COUNT(DISTINCT CASE WHEN pred_id > 0 THEN pred_id END) AS q, AVG(CASE WHEN label = s THEN 1.0 ELSE 0.0 END) AS acc, COUNT(*) AS n FROM v GROUP BY v.plot)
+SELECT s.plot, 'site' AS institution, COALESCE(tp, 0) AS "TP", q - COALESCE(tp, 0) AS "FP", g - COALESCE(tp, 0) AS "FN", ROUND(2 * COALESCE(tp, 0) / (q + g), 6) AS f1, ROUND(acc, 6) AS sem_accuracy, n AS sem_n_points_evaluated FROM s LEFT JOIN h ON h.plot = s.plot"""
+)
+def flow_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The last step of a flow: stored instances and predictions scored on the valid points."""
+    p = points(spark, d).withColumn("label", labels.binary_label()).withColumn("institution", F.lit("site")).withColumn("tree_id", F.col("gt_id"))
+    found = p.select(F.lit("rf").alias("method"), "plot", "point_id", (F.col("pred_id") % 2).cast("int").alias("semantic_pred"), F.col("pred_id").cast("int").alias("instance_id"))
+    return rounded(flows.score(p, found), "f1", "sem_accuracy").select("plot", "institution", "TP", "FP", "FN", "f1", "sem_accuracy", "sem_n_points_evaluated")
+
+
 # --- intervals and the normal distribution -----------------------------------------------------------
 
 NAMED = dict(zip(METHODS, PRIORITIES, strict=True))

@@ -392,6 +392,7 @@ e AS (SELECT n_name AS institution, 5 AS n_plots, 60 AS n_trees FROM nation WHER
 SELECT institution, plots, trees, CASE WHEN dp = 0 THEN 'OK' ELSE 'MISMATCH(' || CASE WHEN dp > 0 THEN '+' ELSE '' END || CAST(dp AS VARCHAR) || ')' END AS plots_status, CASE WHEN dt = 0 THEN 'OK' ELSE 'MISMATCH(' || CASE WHEN dt > 0 THEN '+' ELSE '' END || CAST(dt AS VARCHAR) || ')' END AS trees_status FROM j"""
 )
 def split_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Audit of a fixture with gaps on both sides: the cloud lacks the nations from 20 on, the expectation the first two."""
     n = table(spark, d, "nation")
     c = table(spark, d, "customer").join(F.broadcast(n.where("n_nationkey < 20")), F.col("c_nationkey") == F.col("n_nationkey"))
     p = c.select(F.col("n_name").alias("institution"), F.col("c_mktsegment").alias("plot"), F.col("c_custkey").alias("tree_id"))
@@ -544,9 +545,14 @@ def segmentation_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    grid = {"voxel_size": (20.0, 40.0), "gaussian_sigma": (0.5,), "min_crown_radius_m": (40.0, 80.0)}
-    base = Watershed(min_tree_height=40.0, min_points_per_tree=5)
-    return gridsearch.summarise(gridsearch.score_plots(points(spark, d), "chm", grid, base, axes=("x", "y", "z")), grid)
+    """All 36 and 108 combinations of both seedings, in the units of these tables."""
+    scale = {"voxel_size": 200.0, "gaussian_sigma": 1.0, "min_crown_radius_m": 40.0, "top_band_m": 20.0}
+    base, found = Watershed(min_tree_height=40.0, min_points_per_tree=5), []
+    for method, seeding, grid in (("rf", "chm", gridsearch.GRID), ("rf_density", "density", gridsearch.GRID_DENSITY)):
+        wide = {k: tuple(v * scale[k] for v in values) for k, values in grid.items()}
+        scored = gridsearch.score_plots(points(spark, d), seeding, wide, base, axes=("x", "y", "z"))
+        found.append(gridsearch.summarise(scored, wide).withColumn("method", F.lit(method)))
+    return report.union(found)
 
 
 @query(f"{M} SELECT plot, 'both' AS side FROM (SELECT plot FROM m WHERE method = '1-URGENT' AND f1 > 0.33 INTERSECT SELECT plot FROM m WHERE method = '2-HIGH' AND f1 > 0.33) UNION ALL SELECT plot, 'first' FROM (SELECT plot FROM m WHERE method = '1-URGENT' AND f1 > 0.33 EXCEPT SELECT plot FROM m WHERE method = '2-HIGH' AND f1 > 0.33)")

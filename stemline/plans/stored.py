@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemline import config
 from stemline.config import Features
 from stemline.plans.projections import metrics, points, table
 from stemline.plans.registry import M, P, query, r6, rounded
@@ -165,3 +166,14 @@ def feature_cache(spark: SparkSession, d: str) -> DataFrame:
     times = lambda k: lambda rows, cfg: rows.withColumn("z", F.col("z") * k)
     features.cached(p.where("plot = 'view'"), root, Features(), times(2))
     return features.cached(p, root, Features(), times(3)).groupBy("plot").agg(F.count("*").alias("n"), F.round(F.sum("z"), 3).alias("total"))
+
+
+@query("SELECT * FROM (VALUES ('features', 'k_small', '10'), ('features', 'k_large', '50'), ('watershed', 'voxel_size', '0.25'), ('watershed', 'top_band_m', '3.0'), ('forest', 'trees', '200')) t(\"group\", name, value)")
+def config_values(spark: SparkSession, d: str) -> DataFrame:
+    """A config file that sets two values; the others are the defaults."""
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml") as file:  # read on the driver, where it is written
+        file.write("# an experiment\nfeatures:\n  k_small: 10  # fewer\nwatershed:\n  voxel_size: 0.25\n")
+        file.flush()
+        cfg = config.load(file.name)
+    names = [("features", "k_small"), ("features", "k_large"), ("watershed", "voxel_size"), ("watershed", "top_band_m"), ("forest", "trees")]
+    return spark.createDataFrame([(g, n, str(getattr(getattr(cfg, g), n))) for g, n in names], "group string, name string, value string")
