@@ -2,7 +2,7 @@
 
 Points are voxelised and counted relationally; a task sees the voxels of one plot.  Order
 is explicit where it matters: peaks by (value falling, i, j), the flood by (density
-falling, age).  Border voxels may therefore fall to another seed than in libraries that
+falling, age); smoothed values are compared to nine digits, so that ties don't hang on the order of sums.  Border voxels may therefore fall to another seed than in libraries that
 leave this open.
 """
 
@@ -20,6 +20,7 @@ from stemline.operators import voxel
 from stemline.operators.raster import smooth
 
 SEEDINGS = ("chm", "density")
+DIGITS = 9
 
 
 def sliding_max(grid: np.ndarray, d: int) -> np.ndarray:
@@ -81,7 +82,7 @@ class Grid:
         counts[i, j, k] = n
         occupied = counts > 0
         top = np.where(occupied.any(2), counts.shape[2] - 1 - occupied[:, :, ::-1].argmax(2), 0)
-        return Grid(counts, smooth(counts, sigma), top)
+        return Grid(counts, np.round(smooth(counts, sigma), DIGITS), top)
 
     def seeds(self, seeding: str, p: Watershed) -> list[tuple[int, int, int]]:
         d = max(1, int(p.min_crown_radius_m / p.voxel_size))
@@ -92,7 +93,7 @@ class Grid:
             total = np.concatenate([np.zeros((*self.top.shape, 1)), np.cumsum(self.density, 2)], 2)
             i, j = np.indices(self.top.shape)
             column = total[i, j, self.top + 1] - total[i, j, np.maximum(self.top - band, 0)]
-            raised = smooth(np.where((self.counts > 0).any(2), column, 0), p.gaussian_sigma)
+            raised = np.round(smooth(np.where((self.counts > 0).any(2), column, 0), p.gaussian_sigma), DIGITS)
             at = [(a, b) for a, b in peaks(raised, d, 0.0) if self.top[a, b] * p.voxel_size >= p.min_tree_height]
         return [(a, b, int(self.top[a, b])) for a, b in at]
 

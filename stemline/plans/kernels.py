@@ -108,19 +108,59 @@ def surface_smoothing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(voxel.smooth(band, 1.0, value="surface", axes=("vi", "vj")), "density").where("density > 0")
 
 
-@query(
-    f"""{RP}, {VOX20}, t AS MATERIALIZED (SELECT plot, vi, vj, MAX(vk) AS tk FROM v GROUP BY ALL),
-c AS MATERIALIZED (SELECT plot, vi, vj, tk, ROW_NUMBER() OVER (PARTITION BY plot ORDER BY tk DESC, vi, vj) AS r FROM t WHERE tk * 20 > 40 AND NOT EXISTS (SELECT 1 FROM t h WHERE h.plot = t.plot AND ABS(h.vi - t.vi) <= 2 AND ABS(h.vj - t.vj) <= 2 AND h.tk > t.tk)),
-w(plot, r, taken) AS (SELECT DISTINCT plot, CAST(0 AS BIGINT), CAST([] AS STRUCT(i INT, j INT, k INT)[]) FROM c UNION ALL
-  SELECT w.plot, w.r + 1, CASE WHEN LEN(LIST_FILTER(taken, lambda x: ABS(x.i - c.vi) <= 2 AND ABS(x.j - c.vj) <= 2)) = 0 THEN LIST_APPEND(taken, {{'i': c.vi, 'j': c.vj, 'k': c.tk}}) ELSE taken END FROM w JOIN c ON c.plot = w.plot AND c.r = w.r + 1),
-l AS (SELECT plot, taken FROM w QUALIFY r = MAX(r) OVER (PARTITION BY plot)), u AS (SELECT plot, UNNEST(RANGE(1, LEN(taken) + 1)) AS marker, taken FROM l)
-SELECT plot, CAST(marker AS INT) AS marker, taken[marker].i AS vi, taken[marker].j AS vj, taken[marker].k AS vk FROM u"""
-)
+def peaks_sql(surface: str, accept: str) -> str:
+    """CTEs from ``surface`` (plot, vi, vj, tk, s) to ``markers`` (plot, marker, vi, vj, vk): local maxima in squares of half-width 2, by falling s."""
+    return f"""pk AS MATERIALIZED (SELECT plot, vi, vj, tk, ROW_NUMBER() OVER (PARTITION BY plot ORDER BY s DESC, vi, vj) AS r FROM {surface} t WHERE s > 0 AND {accept} NOT EXISTS (SELECT 1 FROM {surface} h WHERE h.plot = t.plot AND ABS(h.vi - t.vi) <= 2 AND ABS(h.vj - t.vj) <= 2 AND h.s > t.s)),
+w(plot, r, taken) AS (SELECT DISTINCT plot, CAST(0 AS BIGINT), CAST([] AS STRUCT(i INT, j INT, k INT)[]) FROM pk UNION ALL
+  SELECT w.plot, w.r + 1, CASE WHEN LEN(LIST_FILTER(taken, lambda x: ABS(x.i - c.vi) <= 2 AND ABS(x.j - c.vj) <= 2)) = 0 THEN LIST_APPEND(taken, {{'i': c.vi, 'j': c.vj, 'k': c.tk}}) ELSE taken END FROM w JOIN pk c ON c.plot = w.plot AND c.r = w.r + 1),
+l AS (SELECT plot, taken FROM w QUALIFY r = MAX(r) OVER (PARTITION BY plot)), u AS (SELECT plot, UNNEST(RANGE(1, LEN(taken) + 1)) AS m, taken FROM l),
+every AS (SELECT plot, m, taken[m].i AS vi, taken[m].j AS vj, taken[m].k AS vk FROM u)"""
+
+
+#: Canopy tops as the surface of seeds.
+CHM_SQL = f"{RP}, {VOX20}, su AS MATERIALIZED (SELECT plot, vi, vj, MAX(vk) AS tk, MAX(vk) * 20.0 AS s FROM v GROUP BY ALL), {peaks_sql('su', 's > 40 AND')}, markers AS MATERIALIZED (SELECT plot, m AS marker, vi, vj, vk FROM every)"
+
+
+@query(f"{CHM_SQL} SELECT plot, CAST(marker AS INT) AS marker, vi, vj, vk FROM markers")
 def seed_markers(spark: SparkSession, d: str) -> DataFrame:
     p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_crown_radius_m=40.0)
     return segment.seeds(_voxels(spark, d), "chm", p)
 
 
+DENSE_SQL = smoothed_sql("v", "n", {"vi": "ni", "vj": "nj", "vk": "nk"}, 0.5)
+#: The flood voxel by voxel, from ``markers`` and the smoothed volume t3: a state per plot of the queue, what has a label, and the age.
+FLOOD_SQL = f"""vx AS MATERIALIZED (SELECT v.plot, v.vi, v.vj, v.vk, ROUND(t3.d, 9) AS d, ROW_NUMBER() OVER (PARTITION BY v.plot ORDER BY v.vi, v.vj, v.vk) AS id FROM v JOIN t3 ON t3.plot = v.plot AND t3.vi = v.vi AND t3.vj = v.vj AND t3.vk = v.vk),
+nb AS MATERIALIZED (SELECT a.plot, a.id, LIST({{'id': b.id, 'd': b.d}} ORDER BY o.k) AS n FROM vx a JOIN (VALUES (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0, 0, -1), (5, 0, 0, 1)) o(k, di, dj, dk) ON TRUE JOIN vx b ON b.plot = a.plot AND b.vi = a.vi + o.di AND b.vj = a.vj + o.dj AND b.vk = a.vk + o.dk GROUP BY ALL),
+mk AS MATERIALIZED (SELECT vx.plot, vx.id, vx.d, CAST(marker AS BIGINT) AS lab, ROW_NUMBER() OVER (PARTITION BY vx.plot ORDER BY vx.id) - 1 AS age FROM markers m JOIN vx ON vx.plot = m.plot AND vx.vi = m.vi AND vx.vj = m.vj AND vx.vk = m.vk),
+fl(plot, heap, done, labs, age) AS (SELECT plot, LIST({{'nd': -d, 'age': age, 'id': id, 'lab': lab}} ORDER BY age), LIST(id ORDER BY age), LIST(lab ORDER BY age), COUNT(*) FROM mk GROUP BY plot UNION ALL
+  SELECT plot, LIST_CONCAT(LIST_FILTER(heap, lambda x: x.age <> top.age), LIST_TRANSFORM(RANGE(1, LEN(fresh) + 1), lambda i: {{'nd': -fresh[i].d, 'age': age + i - 1, 'id': fresh[i].id, 'lab': top.lab}})),
+    LIST_CONCAT(done, LIST_TRANSFORM(fresh, lambda x: x.id)), LIST_CONCAT(labs, LIST_TRANSFORM(fresh, lambda x: top.lab)), age + LEN(fresh)
+  FROM (SELECT f.plot, heap, done, labs, age, top, LIST_FILTER(COALESCE(nb.n, []), lambda x: NOT LIST_CONTAINS(done, x.id)) AS fresh FROM (SELECT *, LIST_MIN(heap) AS top FROM fl WHERE LEN(heap) > 0) f LEFT JOIN nb ON nb.plot = f.plot AND nb.id = f.top.id)),
+fd AS (SELECT plot, UNNEST(done) AS id, UNNEST(labs) AS lab FROM fl WHERE LEN(heap) = 0),
+pv AS (SELECT p.plot, p.point_id, COALESCE(fd.lab, 0) AS lab FROM p JOIN o ON o.plot = p.plot JOIN vx ON vx.plot = p.plot AND vx.vi = FLOOR((x - x0) / 20.0) AND vx.vj = FLOOR((y - y0) / 20.0) AND vx.vk = FLOOR((z - z0) / 20.0) LEFT JOIN fd ON fd.plot = vx.plot AND fd.id = vx.id)
+SELECT plot, point_id, CAST(CASE WHEN COUNT(*) OVER (PARTITION BY plot, lab) < 5 THEN 0 ELSE lab END AS INT) AS instance_id FROM pv"""
+
+
+@query(f"{CHM_SQL}, {DENSE_SQL}, {FLOOD_SQL}")
+def segmentation_chm(spark: SparkSession, d: str) -> DataFrame:
+    p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_points_per_tree=5, gaussian_sigma=0.5, min_crown_radius_m=40.0)
+    return segment.segment(points(spark, d), "chm", p, axes=("x", "y", "z")).select("plot", "point_id", "instance_id")
+
+
+RAISED_SQL = smoothed_sql("cs", "s", {"vi": "ni", "vj": "nj"}, 0.5).replace("t0 ", "r0 ").replace("t1 ", "r1 ").replace("t2 ", "r2 ")
+
+
+@query(
+    f"""{RP}, {VOX20}, {DENSE_SQL}, tp AS MATERIALIZED (SELECT plot, vi, vj, MAX(vk) AS tk FROM v GROUP BY ALL),
+cs AS MATERIALIZED (SELECT tp.plot, tp.vi, tp.vj, SUM(ROUND(t3.d, 9)) AS s FROM tp JOIN t3 ON t3.plot = tp.plot AND t3.vi = tp.vi AND t3.vj = tp.vj AND t3.vk BETWEEN GREATEST(tk - 3, 0) AND tk GROUP BY ALL), {RAISED_SQL},
+su AS MATERIALIZED (SELECT r2.plot, r2.vi, r2.vj, COALESCE(tk, 0) AS tk, ROUND(r2.d, 9) AS s FROM r2 LEFT JOIN tp ON tp.plot = r2.plot AND tp.vi = r2.vi AND tp.vj = r2.vj), {peaks_sql("su", "")},
+markers AS MATERIALIZED (SELECT plot, ROW_NUMBER() OVER (PARTITION BY plot ORDER BY m) AS marker, vi, vj, vk FROM every WHERE vk * 20 >= 40), {FLOOD_SQL}"""
+)
+def segmentation_density(spark: SparkSession, d: str) -> DataFrame:
+    p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_points_per_tree=5, gaussian_sigma=0.5, min_crown_radius_m=40.0, top_band_m=60.0)
+    return segment.segment(points(spark, d), "density", p, axes=("x", "y", "z")).select("plot", "point_id", "instance_id")
+
+
 # --- features --------------------------------------------------------------------------------------
 
 

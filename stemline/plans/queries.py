@@ -531,18 +531,6 @@ def vector_distance(spark: SparkSession, d: str) -> DataFrame:
     return e.join(F.broadcast(first)).select("vec_id", r6(squared_distance("embedding", "b"), "d2"), argmax("embedding").alias("top"))
 
 
-@query()
-def segmentation_chm(spark: SparkSession, d: str) -> DataFrame:
-    p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_points_per_tree=5, gaussian_sigma=0.5, min_crown_radius_m=40.0)
-    return segment.segment(points(spark, d), "chm", p, axes=("x", "y", "z")).select("plot", "point_id", "instance_id")
-
-
-@query()
-def segmentation_density(spark: SparkSession, d: str) -> DataFrame:
-    p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_points_per_tree=5, gaussian_sigma=0.5, min_crown_radius_m=40.0, top_band_m=60.0)
-    return segment.segment(points(spark, d), "density", p, axes=("x", "y", "z")).select("plot", "point_id", "instance_id")
-
-
 @query()
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
     """All 36 and 108 combinations of both seedings, in the units of these tables."""
