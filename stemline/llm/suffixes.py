@@ -47,8 +47,9 @@ from pyspark.sql import functions as F
 from stemline.llm import textvec
 from stemline.llm.scratch import cut, drop, fresh_name
 
-#: Grams of more contexts than HOT are counted in blocks of these numbers of offsets, each a part of the one before.
-HOT, BLOCKS = 512, (16, 4, 1)
+#: A task sorts at most HOT contexts of one gram (some 3 MB of text, 1.4 million windows); grams of more are counted in
+#: blocks of these numbers of offsets, each a part of the one before; a search starts where a block is half a window or less.
+HOT, BLOCKS = 4096, (64, 16, 4, 1)
 
 
 @dataclass(frozen=True)
@@ -329,6 +330,7 @@ def _hot_blocks(contexts: DataFrame, search: Search, sizes: Sequence[int]) -> Da
     """(id, h, s, e) as ``_sorted_buckets`` finds them, by counts of fingerprints in blocks of falling ``sizes``, the last 1."""
     table = contexts.select("id", "h", "p", "a", "content", "key", "n")
     asked = table.withColumn("parents", F.lit(None).cast("array<int>"))
+    sizes = [x for x in sizes if 2 * x <= search.length or x == 1]
     on, parts = ["key", "block"], []
     for size, parent in zip(sizes, (None, *sizes), strict=False):
         found = cut(_block_prints(asked, search, size, parent))
