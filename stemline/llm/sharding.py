@@ -11,6 +11,8 @@ their own; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,11 +53,14 @@ def jump(key: Column, shards: int) -> tuple[Column, Column]:
     return end["now"].cast("int"), end["grown"].cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", parts: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", parts: int | None = None, rows_per_part: int = 50_000) -> DataFrame:
     """Every row with its shard and a slot that is gapless from 0 within the shard.
 
     Slots are numbered in ``parts`` independent parts of each shard and offset by the
-    parts before, so no task ever holds a whole shard."""
+    parts before, so no task ever holds a whole shard; their number follows from that of the rows,
+    by hash of key and text, so that one key's rows are spread too."""
+    if parts is None:
+        parts = max(16, math.ceil(docs.count() / (shards * rows_per_part)))
     now, grown = jump(F.col(key), shards)
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -64,12 +69,12 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
         F.lit("key").alias("law"), now.alias("shard"), grown.alias("grown_shard"),
         F.pmod(F.xxhash64(key, text), F.lit(parts)).cast("int").alias("part"),
     )
-    # at most shards * parts rows: a bound that no input moves
+    # a row per shard and part, far fewer than the input's
     sizes = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("base"))
     slot = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
         rows.withColumn("at", slot)
-        .join(F.broadcast(before), ["shard", "part"])
+        .join(before, ["shard", "part"])
         .select("doc_id", "size", "text_crc32", "law", "shard", (F.col("at") + F.col("base")).cast("long").alias("slot"), "grown_shard")
     )

@@ -136,6 +136,15 @@ def test_sharding(spark, documents, edges, nothing, frame):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_sharding_of_null_and_repeated_keys(spark):
+    rows = [(None, "a"), (None, "a"), (None, None), (0, "b"), *[(7, "same")] * 9, *[(7, f"t{i}") for i in range(20)]]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), parts=3).toPandas()
+    assert len(got) == len(rows) and set(got.loc[got["doc_id"].isna(), "shard"]) == set(got.loc[got["doc_id"] == 0, "shard"]) == {jump(0, 40)}
+    assert set(got.loc[got["doc_id"] == 7, "shard"]) == {jump(7, 40)}
+    for _, s in got.groupby("shard"):
+        assert sorted(s["slot"]) == list(range(len(s)))
+
+
 def test_language_held_out(spark, data, edges, nothing, frame):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     net, names = language.fit(docs)
