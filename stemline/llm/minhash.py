@@ -8,9 +8,7 @@
    its sizes allow the similarity and its odd sketches don't rule it out, and is a link once
    the full sets confirm it.  First each class is tried with the partner that shares most
    bands with it, then with its other buckets' leaders where still apart.
-4. Large buckets that still span several components take other leaders, one a round, until few
-   pairs are left or a round links nothing; so a family of texts is joined by some of its links.
-5. A bucket that after this still spans several components is compared across components, all
+4. A bucket that after this still spans several components is compared across components, all
    of it, by longer odd sketches of its members before their sets: links are lost only where no band collides, which for the threshold itself has the
    probability (1 - threshold**rows)**bands, 2e-5 by default, and vanishes above it.
 
@@ -37,9 +35,7 @@ from stemline.llm.scratch import cut, drop
 
 WIDTH, BANDS, ROWS, BITS = 5, 40, 5, 512
 #: Samples and bits of the sketches that are made only of what large buckets leave apart.
-FINE, FINE_BITS = 2048, 4096
-#: Rounds of other leaders at most; what they leave apart is compared in full whatever their number.
-ROUNDS = 8
+FINE, FINE_BITS = 4096, 8192
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +140,8 @@ def _fine(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
+            for a in range(0, len(batch), 128):
+                part = batch.slice(a, 128)
                 data, offsets = textvec.raw(part.column(1))
                 found = np.frombuffer(data.tobytes(), np.uint64)
                 odd = odd_sketch(samples(found, offsets // 8, FINE), FINE_BITS)
@@ -224,21 +220,6 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
         return cut(rooted.join(split, ["band", "code"]))
 
     rest = apart_in_buckets(roots)
-    for turn in range(ROUNDS):
-        sizes = rest.groupBy("band", "code", "root").agg(F.count("*").cast("double").alias("n")).groupBy("band", "code").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        members, between = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
-        if not members or between <= 2 * members:
-            break
-        leaders = rest.groupBy("band", "code").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "root")).alias("l")).select("band", "code", F.col("l.id").alias("a"), F.col("l.root").alias("ra"))
-        some = rest.join(leaders, ["band", "code"]).where("root <> ra").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
-        chosen = passed(some).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        found = cut(_confirm(cut(chosen), sets, percent))
-        if found.isEmpty():
-            break
-        roots = merged(roots, found)
-        drop(rest)
-        rest = apart_in_buckets(roots)
-
     fine = cut(_fine(sets.join(rest.select("id").distinct(), "id", "left_semi")))
     rest = cut(rest.join(reps.select("id", "n_shingles", "bands", "odd"), "id").join(fine, "id"))
     one = lambda x: rest.select("band", "code", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("odd").alias(f"o{x}"), F.col("fine").alias(f"f{x}"), F.col("bands").alias(f"c{x}"))

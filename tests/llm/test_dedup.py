@@ -73,7 +73,7 @@ def test_minhash(spark, documents, edges, nothing, frame):
     check_near(documents[0], frame)
     check_near(edges, frame)
     check_near(spark.createDataFrame(family(), "doc_id long, text string"), frame)
-    # a large family of texts that are mostly too far from each other: leaders are tried in rounds, the rest in full
+    # a large family of texts that are mostly too far from each other
     check_near(spark.createDataFrame(family(150, 90, 4), "doc_id long, text string"), frame)
     assert minhash.cluster(nothing).count() == 0
     kept = minhash.deduplicate(edges)
