@@ -22,6 +22,18 @@ def normal(*parts: Column | str | int) -> Column:
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
 
 
+#: The rounds of ``whole``: x becomes (x * x + c) modulo the prime 2**31 - 1.
+PRIME, ROUNDS = (1 << 31) - 1, (40_507, 1_299_721, 7_368_787, 15_485_863)
+
+
+def whole(a: Column, b: Column, c: Column) -> Column:
+    """A number in [0, 2**31 - 1) of three small whole numbers, by squaring: far cheaper than a digest, for draws by the million."""
+    x = F.pmod(a.cast("long") * 1_000_003 + b.cast("long") * 65_539 + c.cast("long") * 257 + 1, F.lit(PRIME).cast("long"))
+    for k in ROUNDS:
+        x = F.pmod(x * x + k, F.lit(PRIME).cast("long"))
+    return x
+
+
 def draw_of(*parts: object) -> float:
     """``draw`` of values, for kernels."""
     return int(hashlib.md5("|".join("" if p is None else str(p) for p in parts).encode()).hexdigest()[:13], 16) / (1 << 52)

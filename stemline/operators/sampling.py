@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stemline.functions.draws import draw, normal
+from stemline.functions.draws import PRIME, draw, normal, whole
 
 
 def plot_seed(plot: Column, seed: int = 42) -> Column:
@@ -67,7 +67,7 @@ def augment(points: DataFrame, jitter: float = 0.02, low: float = 0.9, high: flo
 
 def bootstrap_index(b: Column, i: Column, n: Column, seed: int | Column = 42) -> Column:
     """A portable resampling index in [0, n) for draw i of resample b."""
-    return F.floor(draw(seed, b, i) * n).cast("int")
+    return F.floor(whole(F.lit(seed) if isinstance(seed, int) else seed, b, i) * n / F.lit(PRIME)).cast("int")
 
 
 def block_normalised(points: DataFrame, by: str = "plot", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

@@ -113,13 +113,15 @@ def paired_table(metrics: DataFrame, values: list[str] = ("f1", "precision", "re
 def bca(sets: DataFrame, by: list[str], n_boot: int = 10_000, level: float = 0.95, values: str = "values", seed: str = "seed") -> DataFrame:
     """(by, observed, ci_lower, ci_upper, n): bias-corrected and accelerated bootstrap of the mean of each array ``values``.
 
-    Resamples are rows: draw i of resample b takes a value by a portable index, so no task holds
-    more than a set's values or its means.  One value, or equal ones, are their own interval."""
+    Draws are rows: draw i of resample b takes a value by a portable index, so no task holds
+    more than a set's values and its means.  One value, or equal ones, are their own interval."""
     v, n = F.col(values), F.size(values)
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
     sets = sets.where(n > 0).withColumn("observed", mean).withColumn("n", n.cast("long")).withColumn("_flat", F.array_max(v) == F.array_min(v))
-    resample = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + F.element_at(v, bootstrap_index(F.col("_b"), i, n, F.col(seed)) + 1)) / n
-    wide = sets.where(~F.col("_flat")).repartition(*by).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).select(*by, "observed", resample.alias("_mean"))
+    # one row per draw, in generated code; all draws of a set stay in its partition, so they are summed without a shuffle
+    drawn = sets.where(~F.col("_flat")).repartition(*by).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1)))
+    taken = F.element_at(v, bootstrap_index(F.col("_b"), F.col("_i"), n, F.col(seed)) + 1)
+    wide = drawn.select(*by, "observed", "_b", taken.alias("_x")).groupBy(*by, "observed", "_b").agg(F.avg("_x").alias("_mean"))
     boot = wide.groupBy(*by).agg(F.sort_array(F.collect_list("_mean")).alias("_boot"), F.avg((F.col("_mean") < F.col("observed")).cast("double")).alias("_below"))
     # leave-one-out means m_i lie at (sum - x_i) / (n - 1); their distance to their mean is (x_i - mean) / (n - 1)
     power = lambda k: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow((x - F.col("observed")) / (n - 1), F.lit(float(k))))

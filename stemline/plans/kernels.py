@@ -11,7 +11,7 @@ from stemline.functions.normal import normal_cdf, normal_ppf
 from stemline.operators import features, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, voxel
 from stemline.plans import flows
 from stemline.plans.projections import metrics, points, table
-from stemline.plans.registry import LABEL, PRIORITIES, RM, RP, M, P, draw_sql, query, r6, rounded
+from stemline.plans.registry import LABEL, PRIORITIES, RM, RP, M, P, draw_sql, index_sql, query, r6, rounded
 
 # --- terrain ---------------------------------------------------------------------------------------
 
@@ -243,7 +243,7 @@ def augmented_points(spark: SparkSession, d: str) -> DataFrame:
     return sampling.augment(points(spark, d)).select("plot", "point_id", *[(F.round(a, 5) + 0.0).alias(a) for a in ("x", "y", "z")])
 
 
-@query(f"SELECT n_nationkey AS i, b, CAST(FLOOR({draw_sql(42, 'b', 'n_nationkey')} * 25) AS INT) AS taken FROM nation, (SELECT UNNEST(RANGE(40)) AS b) t")
+@query(f"SELECT n_nationkey AS i, b, CAST({index_sql(42, 'b', 'n_nationkey', '25')} AS INT) AS taken FROM nation, (SELECT UNNEST(RANGE(40)) AS b) t")
 def bootstrap_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("b"))
     return rows.select("i", "b", sampling.bootstrap_index(F.col("b"), F.col("i"), F.lit(25)).alias("taken"))
@@ -421,7 +421,7 @@ TAIL = stats.NORMAL.inv_cdf(0.025)
 pr AS (SELECT UNNEST({[a for a, _ in PAIRED]}) AS a, UNNEST({[b for _, b in PAIRED]}) AS b),
 al AS (SELECT 'method' AS type, method AS label, metric, plot, value FROM u UNION ALL SELECT 'difference', pr.a || ' -> ' || pr.b, 'f1', x.plot, y.value - x.value FROM pr JOIN u x ON x.method = pr.a AND x.metric = 'f1' JOIN u y ON y.method = pr.b AND y.metric = 'f1' AND y.plot = x.plot),
 st AS MATERIALIZED (SELECT pl.type, pl.label, pl.metric, seed, LIST(value ORDER BY plot) AS v, COUNT(*) AS n, AVG(value) AS observed FROM al JOIN {_plan()} ON pl.type = al.type AND pl.label = al.label AND pl.metric = al.metric GROUP BY ALL),
-bt AS MATERIALIZED (SELECT seed, b, AVG(v[1 + CAST(FLOOR({draw_sql("seed", "b", "i")} * n) AS BIGINT)]) AS mean FROM st, (SELECT UNNEST(RANGE(10000)) AS b) t, LATERAL (SELECT UNNEST(RANGE(n)) AS i) w GROUP BY seed, b),
+bt AS MATERIALIZED (SELECT seed, b, AVG(v[1 + {index_sql("seed", "b", "i", "n")}]) AS mean FROM st, (SELECT UNNEST(RANGE(10000)) AS b) t, LATERAL (SELECT UNNEST(RANGE(n)) AS i) w GROUP BY seed, b),
 bs AS MATERIALIZED (SELECT bt.seed, LIST(mean ORDER BY mean) AS boot, GREATEST(1e-6, LEAST(1 - 1e-6, AVG(CASE WHEN mean < observed THEN 1.0 ELSE 0.0 END))) AS below FROM bt JOIN st ON st.seed = bt.seed GROUP BY bt.seed),
 {ppf_ctes("bs", "seed", "below")},
 jk AS (SELECT seed, LIST_SUM(LIST_TRANSFORM(v, lambda x: ((x - observed) / (n - 1)) ** 3)) / (6 * LIST_SUM(LIST_TRANSFORM(v, lambda x: ((x - observed) / (n - 1)) ** 2)) ** 1.5) AS acc FROM st),

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemline.functions.draws import PRIME, ROUNDS
 from stemline.plans.projections import METRICS_SQL, POINTS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +45,11 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 def draw_sql(*parts: object) -> str:
     """The portable draw of ``functions.draws`` in SQL."""
     return f"(CAST(CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', {', '.join(map(str, parts))})), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0)"
+
+
+def index_sql(seed: object, b: str, i: str, n: str) -> str:
+    """A bootstrap index from 0 in SQL."""
+    x = f"((CAST({seed} AS BIGINT) * 1000003 + CAST({b} AS BIGINT) * 65539 + CAST({i} AS BIGINT) * 257 + 1) % {PRIME})"
+    for k in ROUNDS:
+        x = f"(({x} * {x} + {k}) % {PRIME})"
+    return f"CAST(FLOOR({x} * {n} / {PRIME}.0e0) AS BIGINT)"
