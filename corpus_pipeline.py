@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
-Quality rules drop documents; near-duplicates go but for one of each group; bytes that
-repeat elsewhere are cut out; secrets are masked; what is left is packed.  All but the last
+Quality rules drop documents; near-duplicates go but for one of each group; strings of 400 bytes
+and passages of more than 50 words that repeat elsewhere are cut out; secrets are masked; what is left is packed.  All but the last
 return the columns of documents.  A document whose text is cut or masked keeps its row.
 """
 
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(suffixes.clean(docs))
+    return _counted(suffixes.clean(docs, searches=(suffixes.STRINGS, suffixes.PASSAGES)))
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
