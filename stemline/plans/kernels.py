@@ -306,7 +306,7 @@ SELECT plot, point_id, ROUND(v, 5) AS p1, CAST(CASE WHEN v > 0.5 THEN 1 ELSE 0 E
 def block_inference(spark: SparkSession, d: str) -> DataFrame:
     """Probabilities over six passes of sampled blocks; points in none of them take those of their neighbours."""
     p = points(spark, d).select("plot", "point_id", "x", "y", "z", (F.col("z") / 10).alias("hag"), F.lit(0.5).alias("intensity"), labels.binary_label().alias("label"))
-    whole, _ = ml.block_inference(p, _by_height, 6, 20.0, Blocks(points=64))
+    whole, _ = ml.block_inference(p, _by_height, 6, 80.0, Blocks(points=64))
     return whole.select("plot", "point_id", F.round("p1", 5).alias("p1"), F.col("semantic_pred").cast("int").alias("semantic_pred"))
 
 
@@ -351,7 +351,7 @@ SELECT na.plot, na.point_id, {", ".join(f"ROUND({x}, 5) AS c{i}" for i, x in enu
 def feature_propagation(spark: SparkSession, d: str) -> DataFrame:
     b, found = _abstracted(spark, d)
     centres = found.join(b.select("plot", "point_id", "x", "y"), ["plot", "point_id"])
-    got = ml.propagate(b, centres, W3, B3, 20.0, ("z",), ("x", "y"))
+    got = ml.propagate(b, centres, W3, B3, 80.0, ("z",), ("x", "y"))
     return got.select("plot", "point_id", *[F.round(F.col("channels")[i], 5).alias(f"c{i}") for i in range(2)])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stemline import config
 from stemline.config import Config, Features, Watershed
+from stemline.functions import draws
 from stemline.operators import features, gridsearch, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, voxel
 
 
@@ -211,6 +212,31 @@ def test_samples(spark):
     assert p.select(sampling.plot_seed(F.col("plot")).alias("s")).first().s == (42 + zlib.crc32(b"A")) & 0x7FFFFFFF
 
 
+def test_draws_are_the_same_everywhere(spark):
+    rows = spark.range(2000).select("id", draws.draw(42, F.lit("a"), "id").alias("u"), draws.normal(7, "id").alias("n"), draws.whole(F.lit(42), F.col("id"), F.lit(3)).alias("w")).toPandas()
+    assert rows["u"].tolist() == [draws.draw_of(42, "a", i) for i in rows["id"]]
+    assert abs(rows["u"].mean() - 0.5) < 0.03 and abs(rows["n"].mean()) < 0.1 and abs(rows["n"].std() - 1) < 0.06
+    x = (42 * 1_000_003 + 5 * 65_539 + 3 * 257 + 1) % draws.PRIME
+    for k in draws.ROUNDS:
+        x = (x * x + k) % draws.PRIME
+    assert rows["w"][5] == x and abs(rows["w"].mean() / draws.PRIME - 0.5) < 0.03
+
+
+def test_pass_blocks_take_the_least_draws(spark):
+    p = spark.range(3000).select(F.when(F.col("id") < 40, "small").otherwise("large").alias("plot"), F.col("id").alias("point_id"))
+    got = sampling.pass_blocks(p, 4, 50).groupBy("plot", "pass").agg(F.sort_array(F.collect_list("point_id")).alias("ids")).collect()
+    for r in got:
+        all_ids = range(40) if r.plot == "small" else range(40, 3000)
+        assert r.ids == sorted(sorted(all_ids, key=lambda i: (draws.draw_of(42, r["pass"], r.plot, i), i))[:50])
+
+
+def test_vector_search_checks_its_queries(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert neighbors.vector_knn(v.limit(3), v, 2).count() == 6
+    with pytest.raises(ValueError, match="too many"):
+        neighbors.vector_knn(v, v, 2, most_bytes=100)
+
+
 def test_forest_and_block_inference(spark):
     rng = np.random.default_rng(7)
     n = 400

@@ -1,6 +1,8 @@
 """Readers, writers, resume and the streaming run."""
 
+import io
 import struct
+import zipfile
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from stemline.config import Features, Watershed
 from stemline.plans import flows
 from stemline.schema import POINTS
 from stemline.sources import features as stored
-from stemline.sources import las, tables
+from stemline.sources import archives, las, tables
 from stemline.streaming import ingest
 
 
@@ -42,6 +44,30 @@ def test_las_source(spark, tmp_path):
         las.header(str(tmp_path / "bad.las"))
 
 
+def test_las_by_spark_and_round_trip(spark, tmp_path):
+    (tmp_path / "SITE").mkdir()
+    pdf = pd.DataFrame({"x": [1.5, -2.25], "y": [0.0, 3.0], "z": [7.01, 8.0], "intensity": [3.0, 4.0], "classification": [2, 5], "tree_id": [0, 9], "return_number": [1, 2], "number_of_returns": [2, 2]})
+    (tmp_path / "SITE" / "two.las").write_bytes(las.encode(pdf))
+    got = las.scan(spark, str(tmp_path)).orderBy("point_id").toPandas()
+    assert got["plot"].tolist() == ["SITE__two"] * 2 and np.allclose(got[["x", "y", "z"]], pdf[["x", "y", "z"]])
+    assert (got[list(pdf.columns[3:])].to_numpy() == pdf[list(pdf.columns[3:])].to_numpy()).all()
+    (tmp_path / "SITE" / "bad.las").write_bytes(b"nope" * 100)
+    with pytest.raises(Exception, match="not a LAS file"):
+        las.scan(spark, str(tmp_path)).count()
+
+
+def test_arrays_in_archives(spark, tmp_path):
+    held = io.BytesIO()
+    np.savez(held, semantic_pred=np.array([1, 0, 1]), instance_ids=np.array([4, 0, 5]))
+    with zipfile.ZipFile(tmp_path / "some.zip", "w") as z:
+        z.writestr("predictions/rf/S__a_instances.npz", held.getvalue())
+        z.writestr("readme.txt", "no array")
+    assert {r.member for r in archives.members(spark, str(tmp_path)).collect()} == {"predictions/rf/S__a_instances.npz", "readme.txt"}
+    got = archives.predictions(spark, str(tmp_path), "rf", "S__a").orderBy("position").collect()
+    assert [(r.semantic_pred, r.instance_ids) for r in got] == [(1, 4), (0, 0), (1, 5)]
+    assert archives.predictions(spark, str(tmp_path), "rf", "S__b").count() == 0
+
+
 def test_manifest_and_listing(spark, tmp_path):
     (tmp_path / "A").mkdir()
     (tmp_path / "A" / "x.las").write_bytes(b"LASF")
