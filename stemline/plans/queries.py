@@ -170,7 +170,7 @@ FLAT = ("x", "y")
 
 @query(f"{P} SELECT a.plot, a.point_id, CAST(COUNT(*) AS FLOAT) AS density FROM p a JOIN p b ON a.plot = b.plot AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY ALL")
 def radius_density(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors.radius_count(points(spark, d), 2.0, FLAT)
+    return neighbors.radius_count(points(spark, d), 2.0, FLAT, tile=50.0)
 
 
 KNN = f"""{P}, q AS (SELECT a.plot, a.point_id, b.point_id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.plot = b.plot AND a.point_id <> b.point_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16),
@@ -179,7 +179,7 @@ k AS MATERIALIZED (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY plot, point_id
 
 @query(f'{KNN} SELECT plot, point_id, other, d2, "rank" FROM k')
 def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors.knn(points(spark, d), 5, 4.0, FLAT)
+    return neighbors.knn(points(spark, d), 5, 4.0, FLAT, tile=25.0)
 
 
 @query(f"""{KNN} SELECT k.plot, k.point_id, COUNT(*) AS k, ROUND(COVAR_POP(o.x, o.x), 6) + 0.0 AS cxx, ROUND(COVAR_POP(o.x, o.y), 6) + 0.0 AS cxy, ROUND(COVAR_POP(o.x, o.z), 6) + 0.0 AS cxz, ROUND(COVAR_POP(o.y, o.y), 6) + 0.0 AS cyy, ROUND(COVAR_POP(o.y, o.z), 6) + 0.0 AS cyz, ROUND(COVAR_POP(o.z, o.z), 6) + 0.0 AS czz FROM k JOIN p o ON k.plot = o.plot AND k.other = o.point_id GROUP BY k.plot, k.point_id""")
@@ -187,7 +187,7 @@ def neighbour_covariance(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     names = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
     # no negative zeros
-    return rounded(features.covariance(neighbors.knn(p, 5, 4.0, FLAT), p), *names).withColumns({n: F.col(n) + 0.0 for n in names})
+    return rounded(features.covariance(neighbors.knn(p, 5, 4.0, FLAT, tile=25.0), p), *names).withColumns({n: F.col(n) + 0.0 for n in names})
 
 
 @query(f"""{P}, c AS (SELECT * FROM p WHERE point_id % 3 = 0), u AS (SELECT * FROM p WHERE point_id % 3 <> 0),
