@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemline.llm import attribution, bpe, crosspolytope, language, minhash, oracles, packing, quality, secrets, sharding, suffixes
+from stemline.llm import attribution, bpe, centroids, crosspolytope, divergence, language, minhash, oracles, packing, ppm, quality, secrets, sharding, suffixes
 from stemline.llm.scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,11 +52,24 @@ def op10_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.evaluate(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_attribution, op2_cross_polytope, op3_suffix_repeats, op4_fertility_rules, op5_trigram_secrets,
         op6_best_fit_packing, op7_jump_sharding, op8_byte_gru_language, op9_forced_boundary_bpe, op10_odd_sketch_minhash,
+        op11_byte_ppm, op12_source_divergence, op13_partial_distance,
     )
 }
 #: What SQL can't express (vocabularies, trained weights, CRC sums over wrapping arithmetic, byte strings of whole

@@ -38,11 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop(*frames: DataFrame) -> None:
-    """Delete tables that cut() wrote, once nothing reads them any more."""
+    """Delete the tables of cut() that these frames read, once nothing else does."""
     for df in frames:
         jvm = df.sparkSession.sparkContext._jvm
-        for file in df.inputFiles()[:1]:
-            where = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
             if where.getName().startswith("stemline-"):
                 where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

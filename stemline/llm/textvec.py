@@ -10,6 +10,7 @@ bytes outside ``\\x20\\x09-\\x0D``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ _INV = np.ones(1, np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -70,6 +72,18 @@ def blocks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np
         first = last
 
 
+def word_lists(body: bytes, start: int, end: int, table: bytes | None = None, between: re.Pattern[bytes] = BLANKS, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of body[start:end], lower-cased or translated by ``table``, in lists from stretches of about ``size`` bytes that end at a byte ``between`` words."""
+    while start < end:
+        stop = min(start + size, end)
+        if stop < end:
+            found = between.search(body, stop, end)
+            stop = found.start() if found else end
+        part = body[start:stop]
+        yield (part.translate(table) if table else part.lower()).split()
+        start = stop
+
+
 class Prefix:
     """Hashes of any spans of a byte array."""
 
