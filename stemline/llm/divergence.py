@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 from stemline.llm import textvec
 from stemline.llm.scratch import cut, drop
 
-LEAST, TOP, WHOLE, FLUSH = 3, 200, 1_000_000_000, 300_000
+LEAST, TOP, WHOLE, FLUSH = 3, 200, 1_000_000_000, 100_000
 #: Lower-cases A-Z and blanks what is part of no term: all of ASCII but letters.
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+BATCH = 20_000
 BETWEEN = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
 
@@ -47,11 +48,13 @@ def tally(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
 
     def rows(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (a, b), (n, df) in counts.items():
-            terms = [None, *n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a] * len(terms)), pa.array([b] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *[df[t] for t in n]], pa.int64())],
-                names=["lang", "source", "term", "n", "df"],
-            )
+            every = [None, *n]
+            for k in range(0, len(every), BATCH):
+                terms = every[k : k + BATCH]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a] * len(terms)), pa.array([b] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([n[t] for t in terms], pa.int64()), pa.array([df[t] for t in terms], pa.int64())],
+                    names=["lang", "source", "term", "n", "df"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
