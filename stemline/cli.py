@@ -76,13 +76,8 @@ def grid(spark: SparkSession, a: argparse.Namespace) -> int:
     ready, pred, cfg = _prepared(spark, a)
     summary, best = flows.tune(ready, a.method, pred, cfg=cfg)
     tables.write_metrics(summary, f"{a.output}/grid_{a.method}")
-    path = f"{a.output}/best_params"
-    old = None
-    if tables.exists(spark, path):
-        # one row per method, taken to the driver since the table is written anew
-        stored_rows = spark.read.parquet(path).limit(len(config.METHODS))
-        old = spark.createDataFrame(stored_rows.collect(), stored_rows.schema)
-    tables.upsert_best(old, best).coalesce(1).write.mode("overwrite").parquet(path)
+    # a partition per method: the rows of other methods are neither read nor written
+    best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method").parquet(f"{a.output}/best_params")
     return 0
 
 

@@ -1,22 +1,22 @@
 """Search over segmentation parameters: every plot is voxelised once per size, every combination scored.
 
-Points are counted by voxel and true instance relationally; a task gets the voxels of one plot, size
-and smoothing, and no points."""
+A combination of a plot is a run.  All runs go through the same tables: counts by voxel and true instance per (plot, size), a
+smoothed volume per (plot, size, sigma), seeds and labels per run.  Nothing is done run by run or plot by plot, so a
+search over many plots is one job per step, and a run's rows are its plot's voxels, not its points."""
 
 from __future__ import annotations
 
-from dataclasses import replace
+from functools import reduce
 from itertools import product
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemline.config import Watershed
-from stemline.operators import report
-from stemline.operators.matching import _greedy
-from stemline.operators.segment import Grid
+from stemline.functions.guards import ratio
+from stemline.operators import matching, report, segment, voxel
+from stemline.operators.forest import spanning_labels
+from stemline.sources.shared import keep, release
 
 #: The searched parameters of both seedings.
 GRID = {"voxel_size": (0.1, 0.2, 0.3), "gaussian_sigma": (0.3, 0.5, 1.0), "min_crown_radius_m": (0.5, 1.0, 1.5, 2.0)}
@@ -27,19 +27,6 @@ def combinations(grid: dict[str, tuple[float, ...]]) -> list[dict[str, float]]:
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
 
-def f1_of(pred: np.ndarray, gt: np.ndarray, n: np.ndarray, threshold: float) -> float:
-    """F1 of greedy matching between two ids of groups of n points each."""
-    n_gt, n_pred = len(np.unique(gt[gt > 0])), len(np.unique(pred[pred > 0]))
-    if not n_gt or not n_pred:
-        return 0.0
-    cells = pd.DataFrame({"pred_id": pred, "gt_id": gt, "inter": n}).groupby(["pred_id", "gt_id"], as_index=False)["inter"].sum()
-    sizes = [cells.groupby(c)["inter"].transform("sum") for c in ("pred_id", "gt_id")]
-    cells["iou"] = cells["inter"] / (sizes[0] + sizes[1] - cells["inter"])
-    able = cells[(cells["pred_id"] > 0) & (cells["gt_id"] > 0) & (cells["iou"] >= threshold)]
-    tp = len(_greedy(able))
-    return 2 * tp / (n_gt + n_pred)
-
-
 def voxel_tables(points: DataFrame, sizes: list[float], by: str = "plot", axes: tuple[str, str, str] = ("x", "y", "hag")) -> DataFrame:
     """(by, size, vi, vj, vk, gt_id, n): points counted by voxel of each size and by true instance."""
     origin = points.groupBy(by).agg(*[F.min(a).cast("double").alias(f"_{a}") for a in axes])
@@ -48,41 +35,62 @@ def voxel_tables(points: DataFrame, sizes: list[float], by: str = "plot", axes:
     return wide.groupBy(by, "size", *[index(a).alias(v) for v, a in zip(("vi", "vj", "vk"), axes, strict=True)], "gt_id").agg(F.count("*").alias("n"))
 
 
-def score_plots(points: DataFrame, seeding: str, grid: dict[str, tuple[float, ...]], base: Watershed = Watershed(), threshold: float = 0.5, by: str = "plot", axes: tuple[str, str, str] = ("x", "y", "hag")) -> DataFrame:  # noqa: B008
-    """(by, combo, f1, error): ``points`` are the filtered points with gt_id.
+def _smoothed(rows: DataFrame, sigmas: list[float], key: str, value: str, axes: tuple[str, ...]) -> DataFrame:
+    """``rows`` (key, sigma, axes, value) filtered each with its sigma, to nine digits."""
+    parts = [voxel.smooth(rows.where(F.col("sigma") == s), s, key, value, axes) for s in sigmas]
+    return segment.density_of(reduce(DataFrame.unionByName, parts))
+
+
+def label_runs(counts: DataFrame, seeding: str, combos: list[dict[str, float]], base: Watershed = Watershed(), by: str = "plot") -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """((run, vi, vj, vk, label), (run, combo, by, size)) of voxel counts (by, size, vi, vj, vk, n) under all combinations."""
+    params = [base.__dict__ | c for c in combos]
+    settings = [(i, float(p["voxel_size"]), float(p["gaussian_sigma"]), segment.half_width(p["min_crown_radius_m"], p["voxel_size"]), voxel.band_voxels(p["top_band_m"], p["voxel_size"])) for i, p in enumerate(params)]
+    spark, sigmas = counts.sparkSession, sorted({s[2] for s in settings})
+    named = lambda *parts: F.concat_ws("|", *[F.col(c).cast("string") for c in parts])
+    plots = counts.select(by, "size").distinct()
+    # one row per combination
+    runs = plots.join(F.broadcast(spark.createDataFrame(settings, "combo int, size double, sigma double, d int, band int")), "size")
+    runs = keep(runs.select(named("combo", by).alias("run"), named("size", "sigma", by).alias("vol"), named("band", "size", "sigma", by).alias("col"), "combo", by, "size", "sigma", "d", "band"))
+    of_size = lambda df: df.join(runs.select(by, "size", "vol", "sigma").distinct(), [by, "size"])
+    occupied = keep(of_size(counts).select("vol", "sigma", "vi", "vj", "vk", "n"))
+    volume = keep(_smoothed(occupied, sigmas, "vol", "n", ("vi", "vj", "vk")))
+    tops = keep(counts.groupBy(by, "size", "vi", "vj").agg(F.max("vk").alias("top_k")))
+    top_of_run = tops.join(runs.select("run", by, "size", "d"), [by, "size"]).withColumn("chm", (F.col("top_k") * F.col("size")).cast("float").cast("double"))
+    if seeding == "chm":
+        surface, threshold = top_of_run.select("run", "d", "vi", "vj", F.col("chm").alias("s")), base.min_tree_height
+    else:
+        columns = runs.select("col", "vol", by, "size", "sigma", "band").distinct()
+        sums = segment.column_sums(volume.join(columns.select("vol", "col"), "vol").drop("vol"), tops.join(columns.select(by, "size", "col", "band"), [by, "size"]).select("col", "vi", "vj", "top_k", "band"), "col")
+        raised = _smoothed(sums.join(columns.select("col", "sigma"), "col"), sigmas, "col", "s", ("vi", "vj"))
+        surface, threshold = raised.join(runs.select("run", "col", "d"), "col").select("run", "d", "vi", "vj", F.col("density").alias("s")), 0.0
+    found = segment.peaks(surface, threshold, "run").join(top_of_run.select("run", "vi", "vj", "top_k", "size"), ["run", "vi", "vj"])
+    if seeding != "chm":
+        found = found.where(F.col("top_k") * F.col("size") >= F.lit(float(base.min_tree_height)))
+    place = ["run", "vi", "vj", "vk"]
+    dense = volume.join(occupied.select("vol", "vi", "vj", "vk"), ["vol", "vi", "vj", "vk"]).join(runs.select("vol", "run"), "vol").select(*place, F.col("density").alias("d"))
+    labels = spanning_labels(dense.join(segment.numbered(found, "run"), place, "left"), "run")
+    return labels, runs.select("run", "combo", by, "size")
 
-    The combinations are dealt by their (voxel size, sigma), on which the smoothed volume depends
-    alone, so each volume is made once, from the voxel table.  A plot that fails has its error in the table instead of a score."""
+
+def score_plots(points: DataFrame, seeding: str, grid: dict[str, tuple[float, ...]], base: Watershed = Watershed(), threshold: float = 0.5, by: str = "plot", axes: tuple[str, str, str] = ("x", "y", "hag")) -> DataFrame:  # noqa: B008
+    """(by, combo, f1) of every plot and combination: ``points`` are the filtered points with gt_id."""
     combos = combinations(grid)
-    volumes = sorted({(float(c["voxel_size"]), float(c["gaussian_sigma"])) for c in combos})
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, sigma = float(pdf["size"].iloc[0]), float(pdf["sigma"].iloc[0])
-        cells, inverse = np.unique(pdf[["vi", "vj", "vk"]].to_numpy(np.int64), axis=0, return_inverse=True)
-        gt, n = pdf["gt_id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        counts = np.bincount(inverse.ravel(), n)
-        rows = []
-        made: Grid | None = None
-        for i, c in enumerate(combos):
-            if (float(c["voxel_size"]), float(c["gaussian_sigma"])) != (size, sigma):
-                continue
-            try:
-                p = replace(base, **c)
-                made = made or Grid.of(*cells.T, counts, sigma)
-                ids = made.labels(seeding, p)[tuple(cells.T)][inverse.ravel()]
-                held = np.bincount(ids, n)
-                ids = np.where(held[ids] < p.min_points_per_tree, 0, ids)
-                rows.append((i, f1_of(ids, gt, n, threshold), None))
-            except (ValueError, MemoryError) as e:
-                rows.append((i, None, str(e)[:200]))
-        out = pd.DataFrame(rows, columns=["combo", "f1", "error"])
-        out.insert(0, by, pdf[by].iloc[0])
-        return out.astype({"combo": "int64", "f1": "float64"})
-
-    tables = voxel_tables(points, sorted({v for v, _ in volumes}), by, axes)
-    sigmas = points.sparkSession.createDataFrame(volumes, "size double, sigma double")
-    # a row per volume of the grid
-    return tables.join(F.broadcast(sigmas), "size").groupBy(by, "size", "sigma").applyInPandas(one, f"{by} string, combo long, f1 double, error string")
+    tables = keep(voxel_tables(points, sorted({float(c["voxel_size"]) for c in combos}), by, axes))
+    counts = tables.groupBy(by, "size", "vi", "vj", "vk").agg(F.sum("n").alias("n"))
+    labels, runs = label_runs(counts, seeding, combos, base, by)
+    voxels = labels.join(runs, "run").join(tables, [by, "size", "vi", "vj", "vk"])
+    cells = voxels.groupBy("run", "label", "gt_id").agg(F.sum("n").alias("inter"))
+    small = cells.groupBy("run", "label").agg((F.sum("inter") < base.min_points_per_tree).alias("small"))
+    # what is left of small segments belongs to none
+    pred = F.when(F.col("small"), 0).otherwise(F.col("label"))
+    cells = keep(cells.join(small, ["run", "label"]).groupBy("run", pred.alias("pred_id"), "gt_id").agg(F.sum("inter").alias("inter")))
+    hit = matching.matches(matching.cell_overlaps(cells, "run"), threshold, "run").groupBy("run").agg(F.count("*").alias("tp"))
+    ids = lambda c: F.count_distinct(F.when(F.col(c) > 0, F.col(c)))
+    sizes = cells.groupBy("run").agg((ids("pred_id") + ids("gt_id")).alias("n"))
+    f1: Column = ratio(2 * F.coalesce("tp", F.lit(0)), "n")
+    scored = keep(runs.join(sizes, "run").join(hit, "run", "left").select(by, F.col("combo").cast("long").alias("combo"), f1.cast("double").alias("f1")))
+    release(tables, cells)
+    return scored
 
 
 def summarise(scored: DataFrame, grid: dict[str, tuple[float, ...]]) -> DataFrame:

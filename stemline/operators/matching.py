@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemline.functions.guards import ratio
+from stemline.sources.shared import keep, release
 
 
 def overlaps(points: DataFrame, by: str = "plot", pred: str = "pred_id", gt: str = "gt_id") -> DataFrame:
@@ -17,7 +18,11 @@ def overlaps(points: DataFrame, by: str = "plot", pred: str = "pred_id", gt: str
 
     Ids from 1 count; a segment's size counts all its points, whatever their other id.  One pass
     counts points per pair; sizes follow from the counts, so no pair is compared that doesn't meet."""
-    cells = points.groupBy(by, F.col(pred).alias("pred_id"), F.col(gt).alias("gt_id")).agg(F.count("*").alias("inter"))
+    return cell_overlaps(points.groupBy(by, F.col(pred).alias("pred_id"), F.col(gt).alias("gt_id")).agg(F.count("*").alias("inter")), by)
+
+
+def cell_overlaps(cells: DataFrame, by: str = "plot") -> DataFrame:
+    """The same of counted cells (by, pred_id, gt_id, inter)."""
     n_pred = cells.where("pred_id > 0").groupBy(by, "pred_id").agg(F.sum("inter").alias("n_pred"))
     n_gt = cells.where("gt_id > 0").groupBy(by, "gt_id").agg(F.sum("inter").alias("n_gt"))
     pairs = cells.where("pred_id > 0 and gt_id > 0").join(n_pred, [by, "pred_id"]).join(n_gt, [by, "gt_id"])
@@ -29,29 +34,27 @@ def matches(pairs: DataFrame, threshold: float = 0.5, by: str = "plot") -> DataF
 
     Segments of one side are disjoint, so from a threshold of one half on a pair above it stands
     alone and only pairs at exactly one half compete, in stars: the lower predicted id, then the
-    lower true id wins.  Lower thresholds need the greedy order, plot by plot."""
+    lower true id wins.  Below it pairs are taken in rounds: one that is first for both its ends, by falling overlap, predicted and
+    true id, is what the greedy order takes of all pairs that touch it, so it is taken and its ends leave."""
     if threshold <= 0:
         raise ValueError("a threshold of 0 would match instances that don't overlap")
     able = pairs.where(F.col("iou") >= threshold)
     if threshold >= 0.5:
-        of_gt = W.partitionBy(by, "gt_id").orderBy(F.desc("iou"), "pred_id")
-        of_pred = W.partitionBy(by, "pred_id").orderBy(F.desc("iou"), "gt_id")
-        ranked = able.withColumn("_g", F.row_number().over(of_gt)).withColumn("_p", F.row_number().over(of_pred))
-        return ranked.where("_g = 1 and _p = 1").drop("_g", "_p")
-    return able.groupBy(by).applyInPandas(_greedy, able.schema)
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken: list[int] = []
-    pred_done: set[int] = set()
-    gt_done: set[int] = set()
-    ordered = pdf.sort_values(["iou", "pred_id", "gt_id"], ascending=[False, True, True]).reset_index(drop=True)
-    for i, (p, g) in enumerate(zip(ordered["pred_id"], ordered["gt_id"], strict=True)):
-        if p not in pred_done and g not in gt_done:
-            taken.append(i)
-            pred_done.add(p)
-            gt_done.add(g)
-    return ordered.iloc[taken]
+        return _mutual(able, by)
+    left, taken = keep(able), []
+    while not left.isEmpty():
+        taken.append(keep(_mutual(left, by)))
+        rest = left.join(taken[-1].select(by, "pred_id"), [by, "pred_id"], "left_anti").join(taken[-1].select(by, "gt_id"), [by, "gt_id"], "left_anti")
+        done, left = left, keep(rest.select(able.columns))
+        release(done)
+    return reduce(DataFrame.unionByName, taken) if taken else left
+
+
+def _mutual(pairs: DataFrame, by: str) -> DataFrame:
+    """The pairs that come first for both their ends; an end's pairs are few, for segments that overlap it by a share are disjoint."""
+    order = (F.desc("iou"), "pred_id", "gt_id")
+    ranked = pairs.withColumn("_g", F.row_number().over(W.partitionBy(by, "gt_id").orderBy(*order))).withColumn("_p", F.row_number().over(W.partitionBy(by, "pred_id").orderBy(*order)))
+    return ranked.where("_g = 1 and _p = 1").drop("_g", "_p")
 
 
 def scores(points: DataFrame, threshold: float = 0.5, by: str = "plot", pred: str = "pred_id", gt: str = "gt_id") -> DataFrame:

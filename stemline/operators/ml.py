@@ -108,11 +108,11 @@ def set_abstraction(points: DataFrame, scales: list[tuple[float, int, list[list[
 
 def propagate(points: DataFrame, centres: DataFrame, weights: list[list[float]], bias: list[float], radius: float, features: tuple[str, ...] = (), axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
     """(by, key, channels) of ``points``: channels of the three nearest of ``centres`` (by, key, axes, channels) by inverse
-    distance, beside the point's own ``features``, through a layer."""
+    squared distance, beside the point's own ``features``, through a layer."""
     width = len(weights[0]) - len(features)
     names = [f"_c{i}" for i in range(width)]
     wide = centres.select(by, key, *axes, *[F.col("channels")[i].alias(c) for i, c in enumerate(names)])
-    near = neighbors.interpolate(points, wide, radius, 3, tuple(names), axes, by, key)
+    near = neighbors.interpolate(points, wide, radius, 3, tuple(names), axes, by, key, squared=True)
     joined = near.join(points.select(by, key, *features), [by, key]) if features else near
     return joined.select(by, key, F.array(*layer([F.col(c) for c in (*names, *features)], weights, bias)).alias("channels"))
 

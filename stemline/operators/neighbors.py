@@ -8,7 +8,6 @@ on the bin and a residual distance; ``nearest_of`` has no bound and doubles the
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stemline.functions.draws import draw_of
 from stemline.functions.vectors import squared_distance
+from stemline.sources.shared import keep
 
 
 def radius_join(a: DataFrame, b: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
@@ -88,28 +88,20 @@ def finite(points: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     return points.where(reduce(lambda p, q: p & q, [F.abs(F.col(a).cast("double")) < float("inf") for a in axes]))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: the plan of a later round doesn't hold those of the rounds before."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stemline-"))
-    return df.checkpoint()
-
-
 def nearest_of(a: DataFrame, b: DataFrame, k: int, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
     """(by, key, other, d2, rank): the k points of ``b`` nearest to each of ``a``, however far; all of a plot's where it has fewer.
 
     The first search is within ``radius``; points that find too few there search again within twice
     of it, and so on.  Points without a place, and plots without points of ``b``, have no rows."""
     b = finite(b, axes)
-    wanted = _kept(b.groupBy(by).agg(F.least(F.count("*"), F.lit(k)).alias("_k")))
+    wanted = keep(b.groupBy(by).agg(F.least(F.count("*"), F.lit(k)).alias("_k")))
     left = finite(a, axes).join(wanted, by, "left_semi").select(by, key, *axes)
     done = []
     while True:
         near = nearest(radius_join(left, b, radius, axes, by, key), k, [by, key]).join(wanted, by)
         full = near.withColumn("_n", F.max("rank").over(W.partitionBy(by, key))).where("_n = _k").drop("_n", "_k")
-        done.append(_kept(full))
-        left = _kept(left.join(done[-1].where("rank = 1").select(by, key), [by, key], "left_anti"))
+        done.append(keep(full))
+        left = keep(left.join(done[-1].where("rank = 1").select(by, key), [by, key], "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, done)
         radius *= 2
@@ -133,12 +125,14 @@ def vector_knn(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id",
     return d.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "other"))).where(F.col("rank") <= k)
 
 
-def interpolate(uncovered: DataFrame, covered: DataFrame, radius: float, k: int = 3, values: tuple[str, ...] = ("p0", "p1"), axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id") -> DataFrame:
-    """(by, key, values): inverse-distance means over the k nearest covered points, searched from ``radius`` on; weight 1 at distance 0, else 1 / (d + 1e-8)."""
+def interpolate(uncovered: DataFrame, covered: DataFrame, radius: float, k: int = 3, values: tuple[str, ...] = ("p0", "p1"), axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id", squared: bool = False) -> DataFrame:
+    """(by, key, values): weighted means over the k nearest covered points, searched from ``radius`` on: weight 1 at distance 0, else 1 / (d + 1e-8), or ``squared`` 1 / (d**2 + 1e-8) everywhere.
+
+    The one partner of a plot with one covered point is copied, whatever its weight."""
     near = nearest_of(uncovered, covered, k, radius, axes, by, key)
     named = covered.select(by, F.col(key).alias("other"), *values)
     d = F.sqrt("d2")
-    w = F.when(d == 0, 1.0).otherwise(1 / (d + 1e-8))
+    w = 1 / (F.col("d2") + 1e-8) if squared else F.when(d == 0, 1.0).otherwise(1 / (d + 1e-8))
     return near.join(named, [by, "other"]).groupBy(by, key).agg(*[(F.sum(w * F.col(v)) / F.sum(w)).alias(v) for v in values])
 
 

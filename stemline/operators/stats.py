@@ -16,6 +16,10 @@ from stemline.operators.report import METRICS, melt
 from stemline.operators.sampling import bootstrap_index
 
 TINY = 1e-12
+#: Resamples that a task draws at a time.
+PART = 500
+#: The exact sign test keeps 2 ** (n / 2) sums, 128 MB at this n.
+MOST_SIGNS = 48
 NORMAL = NormalDist()
 
 
@@ -34,6 +38,8 @@ def count_flips(d: list[float] | None, alternative: str = "two-sided") -> tuple[
     if d is None or any(x is None for x in d):
         return None, 0
     n, half = len(d), len(d) // 2
+    if n > MOST_SIGNS:
+        raise ValueError(f"the exact sign test takes at most {MOST_SIGNS} differences of a set, not {n}")
 
     def sums(part: list[float]) -> np.ndarray:
         s = np.zeros(1)
@@ -56,7 +62,7 @@ def count_flips(d: list[float] | None, alternative: str = "two-sided") -> tuple[
 def sign_flip_test(diffs: DataFrame, by: list[str], diff: str = "d", order: str = "plot", alternative: str = "two-sided") -> DataFrame:
     """Exact permutation test of the mean difference over all 2**n sign vectors, counted by halves in 2**(n / 2) steps.
 
-    Zero differences stay in.  Means that are equal in theory are compared with a tolerance."""
+    At most MOST_SIGNS differences a set; more raise an error.  Zero differences stay in.  Means that are equal in theory are compared with a tolerance."""
     count = F.udf(lambda d: count_flips(d, alternative), "observed double, n_extreme long")
     sets = diffs.groupBy(*by).agg(_ordered(diff, order).alias("ds")).withColumn("_c", count("ds"))
     return sets.select(*by, F.size("ds").cast("long").alias("n"), "_c.observed", F.expr("shiftleft(1L, size(ds))").alias("n_permutations"), "_c.n_extreme").withColumn("p_value", F.col("n_extreme") / F.col("n_permutations"))
@@ -113,16 +119,23 @@ def paired_table(metrics: DataFrame, values: list[str] = ("f1", "precision", "re
 def bca(sets: DataFrame, by: list[str], n_boot: int = 10_000, level: float = 0.95, values: str = "values", seed: str = "seed") -> DataFrame:
     """(by, observed, ci_lower, ci_upper, n): bias-corrected and accelerated bootstrap of the mean of each array ``values``.
 
-    Draws are rows: draw i of resample b takes a value by a portable index, so no task holds
-    more than a set's values and its means.  One value, or equal ones, are their own interval."""
+    Draws are rows: draw i of resample b takes a value by a portable index.  A set's resamples are dealt to tasks in parts, which hand on
+    one sum each.  Sums are of whole billionths, so they don't depend on an order and equal ones are
+    equal.  One value, or equal ones, are their own interval."""
     v, n = F.col(values), F.size(values)
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
     sets = sets.where(n > 0).withColumn("observed", mean).withColumn("n", n.cast("long")).withColumn("_flat", F.array_max(v) == F.array_min(v))
-    # one row per draw, in generated code; all draws of a set stay in its partition, so they are summed without a shuffle
-    drawn = sets.where(~F.col("_flat")).repartition(*by).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1)))
-    taken = F.element_at(v, bootstrap_index(F.col("_b"), F.col("_i"), n, F.col(seed)) + 1)
-    wide = drawn.select(*by, "observed", "_b", taken.alias("_x")).groupBy(*by, "observed", "_b").agg(F.avg("_x").alias("_mean"))
-    boot = wide.groupBy(*by).agg(F.sort_array(F.collect_list("_mean")).alias("_boot"), F.avg((F.col("_mean") < F.col("observed")).cast("double")).alias("_below"))
+    # whole billionths once per set; then one row per draw, in generated code, summed within its part's task
+    billionths = F.transform(v, lambda x: F.round(x * 1e9).cast("long"))
+    parts = F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(PART))
+    dealt = sets.where(~F.col("_flat")).select(*by, "n", F.col(seed).alias("_seed"), billionths.alias("_v"), F.explode(parts).alias("_from")).repartition(*by, "_from")
+    drawn = dealt.withColumn("_b", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + PART, F.lit(n_boot)) - 1))).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    taken = F.element_at("_v", bootstrap_index(F.col("_b"), F.col("_i"), F.col("n"), F.col("_seed")) + 1)
+    sums = drawn.select(*by, "_from", "n", "_b", taken.alias("_x")).groupBy(*by, "_from", "n", "_b").agg(F.sum("_x").alias("_sum"))
+    total = sets.select(*by, F.aggregate(billionths, F.lit(0).cast("long"), lambda s, x: s + x).alias("_whole"))
+    wide = sums.join(total, by)
+    means = F.sort_array(F.collect_list(F.col("_sum") / F.col("n") / 1e9))
+    boot = wide.groupBy(*by).agg(means.alias("_boot"), F.avg((F.col("_sum") < F.col("_whole")).cast("double")).alias("_below"))
     # leave-one-out means m_i lie at (sum - x_i) / (n - 1); their distance to their mean is (x_i - mean) / (n - 1)
     power = lambda k: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow((x - F.col("observed")) / (n - 1), F.lit(float(k))))
     z = sets.join(boot, by).withColumn("_z0", normal_ppf(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("_below")))))

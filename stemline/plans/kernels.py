@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stemline.config import COMPARISONS, METHODS, Blocks, Config, Terrain, Watershed
 from stemline.functions.guards import clamp
 from stemline.functions.normal import normal_cdf, normal_ppf
-from stemline.operators import features, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, voxel
+from stemline.operators import features, gridsearch, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, voxel
 from stemline.plans import flows
 from stemline.plans.projections import metrics, points, table
 from stemline.plans.registry import LABEL, PRIORITIES, RM, RP, M, P, draw_sql, index_sql, query, r6, rounded
@@ -75,11 +75,15 @@ def height_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # --- smoothing and seeds ---------------------------------------------------------------------------
 
-VOX20 = f"""o AS (SELECT plot, MIN(x) AS x0, MIN(y) AS y0, MIN(z) AS z0 FROM p GROUP BY plot),
-v AS MATERIALIZED (SELECT p.plot, CAST(FLOOR((x - x0) / 20.0) AS INT) AS vi, CAST(FLOOR((y - y0) / 20.0) AS INT) AS vj, CAST(FLOOR((z - z0) / 20.0) AS INT) AS vk, COUNT(*) AS n FROM p JOIN o ON p.plot = o.plot GROUP BY ALL),
+def voxels_sql(size: float) -> str:
+    return f"""o AS (SELECT plot, MIN(x) AS x0, MIN(y) AS y0, MIN(z) AS z0 FROM p GROUP BY plot),
+v AS MATERIALIZED (SELECT p.plot, CAST(FLOOR((x - x0) / {size!r}) AS INT) AS vi, CAST(FLOOR((y - y0) / {size!r}) AS INT) AS vj, CAST(FLOOR((z - z0) / {size!r}) AS INT) AS vk, COUNT(*) AS n FROM p JOIN o ON p.plot = o.plot GROUP BY ALL),
 b AS MATERIALIZED (SELECT plot, MAX(vi) + 1 AS ni, MAX(vj) + 1 AS nj, MAX(vk) + 1 AS nk FROM v GROUP BY plot)"""
 
 
+VOX20 = voxels_sql(20.0)
+
+
 def _voxels(spark: SparkSession, d: str) -> DataFrame:
     return voxel.counts(voxel.voxelise(points(spark, d), 20.0, axes=("x", "y", "z")))
 
@@ -108,59 +112,100 @@ def surface_smoothing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(voxel.smooth(band, 1.0, value="surface", axes=("vi", "vj")), "density").where("density > 0")
 
 
-def peaks_sql(surface: str, accept: str) -> str:
-    """CTEs from ``surface`` (plot, vi, vj, tk, s) to ``markers`` (plot, marker, vi, vj, vk): local maxima in squares of half-width 2, by falling s."""
-    return f"""pk AS MATERIALIZED (SELECT plot, vi, vj, tk, ROW_NUMBER() OVER (PARTITION BY plot ORDER BY s DESC, vi, vj) AS r FROM {surface} t WHERE s > 0 AND {accept} NOT EXISTS (SELECT 1 FROM {surface} h WHERE h.plot = t.plot AND ABS(h.vi - t.vi) <= 2 AND ABS(h.vj - t.vj) <= 2 AND h.s > t.s)),
+def peaks_sql(surface: str, accept: str, d: int = 2) -> str:
+    """CTEs from ``surface`` (plot, vi, vj, tk, s) to ``every`` (plot, m, vi, vj, vk): local maxima in squares of half-width d, by falling s."""
+    return f"""pk AS MATERIALIZED (SELECT plot, vi, vj, tk, ROW_NUMBER() OVER (PARTITION BY plot ORDER BY s DESC, vi, vj) AS r FROM {surface} t WHERE s > 0 AND {accept} NOT EXISTS (SELECT 1 FROM {surface} h WHERE h.plot = t.plot AND ABS(h.vi - t.vi) <= {d} AND ABS(h.vj - t.vj) <= {d} AND h.s > t.s)),
 w(plot, r, taken) AS (SELECT DISTINCT plot, CAST(0 AS BIGINT), CAST([] AS STRUCT(i INT, j INT, k INT)[]) FROM pk UNION ALL
-  SELECT w.plot, w.r + 1, CASE WHEN LEN(LIST_FILTER(taken, lambda x: ABS(x.i - c.vi) <= 2 AND ABS(x.j - c.vj) <= 2)) = 0 THEN LIST_APPEND(taken, {{'i': c.vi, 'j': c.vj, 'k': c.tk}}) ELSE taken END FROM w JOIN pk c ON c.plot = w.plot AND c.r = w.r + 1),
+  SELECT w.plot, w.r + 1, CASE WHEN LEN(LIST_FILTER(taken, lambda x: ABS(x.i - c.vi) <= {d} AND ABS(x.j - c.vj) <= {d})) = 0 THEN LIST_APPEND(taken, {{'i': c.vi, 'j': c.vj, 'k': c.tk}}) ELSE taken END FROM w JOIN pk c ON c.plot = w.plot AND c.r = w.r + 1),
 l AS (SELECT plot, taken FROM w QUALIFY r = MAX(r) OVER (PARTITION BY plot)), u AS (SELECT plot, UNNEST(RANGE(1, LEN(taken) + 1)) AS m, taken FROM l),
 every AS (SELECT plot, m, taken[m].i AS vi, taken[m].j AS vj, taken[m].k AS vk FROM u)"""
 
 
-#: Canopy tops as the surface of seeds.
-CHM_SQL = f"{RP}, {VOX20}, su AS MATERIALIZED (SELECT plot, vi, vj, MAX(vk) AS tk, MAX(vk) * 20.0 AS s FROM v GROUP BY ALL), {peaks_sql('su', 's > 40 AND')}, markers AS MATERIALIZED (SELECT plot, m AS marker, vi, vj, vk FROM every)"
+def markers_sql(seeding: str, size: float, sigma: float, d: int, band: int, height: float) -> str:
+    """CTEs from points p to ``markers`` (plot, marker, vi, vj, vk); density seeding needs the smoothed volume t3 before it."""
+    if seeding == "chm":
+        return f"su AS MATERIALIZED (SELECT plot, vi, vj, MAX(vk) AS tk, MAX(vk) * {size!r} AS s FROM v GROUP BY ALL), {peaks_sql('su', f's > {height!r} AND', d)}, markers AS MATERIALIZED (SELECT plot, m AS marker, vi, vj, vk FROM every)"
+    raised = smoothed_sql("cs", "s", {"vi": "ni", "vj": "nj"}, sigma).replace("t0 ", "r0 ").replace("t1 ", "r1 ").replace("t2 ", "r2 ")
+    return f"""tp AS MATERIALIZED (SELECT plot, vi, vj, MAX(vk) AS tk FROM v GROUP BY ALL),
+cs AS MATERIALIZED (SELECT tp.plot, tp.vi, tp.vj, SUM(ROUND(t3.d, 9)) AS s FROM tp JOIN t3 ON t3.plot = tp.plot AND t3.vi = tp.vi AND t3.vj = tp.vj AND t3.vk BETWEEN GREATEST(tk - {band}, 0) AND tk GROUP BY ALL), {raised},
+su AS MATERIALIZED (SELECT r2.plot, r2.vi, r2.vj, COALESCE(tk, 0) AS tk, ROUND(r2.d, 9) AS s FROM r2 LEFT JOIN tp ON tp.plot = r2.plot AND tp.vi = r2.vi AND tp.vj = r2.vj), {peaks_sql("su", "", d)},
+markers AS MATERIALIZED (SELECT plot, ROW_NUMBER() OVER (PARTITION BY plot ORDER BY m) AS marker, vi, vj, vk FROM every WHERE vk * {size!r} >= {height!r})"""
+
 
+def volume_sql(sigma: float) -> str:
+    return smoothed_sql("v", "n", {"vi": "ni", "vj": "nj", "vk": "nk"}, sigma)
 
-@query(f"{CHM_SQL} SELECT plot, CAST(marker AS INT) AS marker, vi, vj, vk FROM markers")
+
+@query(f"{RP}, {VOX20}, {markers_sql('chm', 20.0, 0.5, 2, 3, 40.0)} SELECT plot, CAST(marker AS INT) AS marker, vi, vj, vk FROM markers")
 def seed_markers(spark: SparkSession, d: str) -> DataFrame:
     p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_crown_radius_m=40.0)
     return segment.seeds(_voxels(spark, d), "chm", p)
 
 
-DENSE_SQL = smoothed_sql("v", "n", {"vi": "ni", "vj": "nj", "vk": "nk"}, 0.5)
-#: The flood voxel by voxel, from ``markers`` and the smoothed volume t3: a state per plot of the queue, what has a label, and the age.
-FLOOD_SQL = f"""vx AS MATERIALIZED (SELECT v.plot, v.vi, v.vj, v.vk, ROUND(t3.d, 9) AS d, ROW_NUMBER() OVER (PARTITION BY v.plot ORDER BY v.vi, v.vj, v.vk) AS id FROM v JOIN t3 ON t3.plot = v.plot AND t3.vi = v.vi AND t3.vj = v.vj AND t3.vk = v.vk),
-nb AS MATERIALIZED (SELECT a.plot, a.id, LIST({{'id': b.id, 'd': b.d}} ORDER BY o.k) AS n FROM vx a JOIN (VALUES (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0, 0, -1), (5, 0, 0, 1)) o(k, di, dj, dk) ON TRUE JOIN vx b ON b.plot = a.plot AND b.vi = a.vi + o.di AND b.vj = a.vj + o.dj AND b.vk = a.vk + o.dk GROUP BY ALL),
-mk AS MATERIALIZED (SELECT vx.plot, vx.id, vx.d, CAST(marker AS BIGINT) AS lab, ROW_NUMBER() OVER (PARTITION BY vx.plot ORDER BY vx.id) - 1 AS age FROM markers m JOIN vx ON vx.plot = m.plot AND vx.vi = m.vi AND vx.vj = m.vj AND vx.vk = m.vk),
-fl(plot, heap, done, labs, age) AS (SELECT plot, LIST({{'nd': -d, 'age': age, 'id': id, 'lab': lab}} ORDER BY age), LIST(id ORDER BY age), LIST(lab ORDER BY age), COUNT(*) FROM mk GROUP BY plot UNION ALL
-  SELECT plot, LIST_CONCAT(LIST_FILTER(heap, lambda x: x.age <> top.age), LIST_TRANSFORM(RANGE(1, LEN(fresh) + 1), lambda i: {{'nd': -fresh[i].d, 'age': age + i - 1, 'id': fresh[i].id, 'lab': top.lab}})),
-    LIST_CONCAT(done, LIST_TRANSFORM(fresh, lambda x: x.id)), LIST_CONCAT(labs, LIST_TRANSFORM(fresh, lambda x: top.lab)), age + LEN(fresh)
-  FROM (SELECT f.plot, heap, done, labs, age, top, LIST_FILTER(COALESCE(nb.n, []), lambda x: NOT LIST_CONTAINS(done, x.id)) AS fresh FROM (SELECT *, LIST_MIN(heap) AS top FROM fl WHERE LEN(heap) > 0) f LEFT JOIN nb ON nb.plot = f.plot AND nb.id = f.top.id)),
-fd AS (SELECT plot, UNNEST(done) AS id, UNNEST(labs) AS lab FROM fl WHERE LEN(heap) = 0),
-pv AS (SELECT p.plot, p.point_id, COALESCE(fd.lab, 0) AS lab FROM p JOIN o ON o.plot = p.plot JOIN vx ON vx.plot = p.plot AND vx.vi = FLOOR((x - x0) / 20.0) AND vx.vj = FLOOR((y - y0) / 20.0) AND vx.vk = FLOOR((z - z0) / 20.0) LEFT JOIN fd ON fd.plot = vx.plot AND fd.id = vx.id)
-SELECT plot, point_id, CAST(CASE WHEN COUNT(*) OVER (PARTITION BY plot, lab) < 5 THEN 0 ELSE lab END AS INT) AS instance_id FROM pv"""
+def forest_sql(size: float) -> str:
+    """CTE ``pv`` (plot, point_id, lab) from ``markers`` and the smoothed volume t3, grown voxel by voxel from all markers at once: of all faces
+    between what has a label and what has none the first is taken, which is the same forest as by rounds of parts."""
+    item = "{'lo': -LEAST(a.d, z.d), 'hi': -GREATEST(a.d, z.d), 'u': LEAST(a.id, z.id), 'v': GREATEST(a.id, z.id), 'to': z.id}"
+    labelled = "LIST_TRANSFORM({list}, lambda x: {{'lo': x.lo, 'hi': x.hi, 'u': x.u, 'v': x.v, 'to': x.to, 'lab': {lab}}})"
+    return f"""vx AS MATERIALIZED (SELECT v.plot, v.vi, v.vj, v.vk, ROUND(t3.d, 9) AS d, ROW_NUMBER() OVER (PARTITION BY v.plot ORDER BY v.vi, v.vj, v.vk) AS id FROM v JOIN t3 ON t3.plot = v.plot AND t3.vi = v.vi AND t3.vj = v.vj AND t3.vk = v.vk),
+nb AS MATERIALIZED (SELECT a.plot, a.id, LIST({item}) AS n FROM vx a JOIN (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) o(di, dj, dk) ON TRUE JOIN vx z ON z.plot = a.plot AND z.vi = a.vi + o.di AND z.vj = a.vj + o.dj AND z.vk = a.vk + o.dk GROUP BY a.plot, a.id),
+mk AS MATERIALIZED (SELECT vx.plot, vx.id, CAST(marker AS BIGINT) AS lab FROM markers m JOIN vx ON vx.plot = m.plot AND vx.vi = m.vi AND vx.vj = m.vj AND vx.vk = m.vk),
+fs AS (SELECT mk.plot, FLATTEN(LIST({labelled.format(list="COALESCE(nb.n, [])", lab="mk.lab")})) AS faces, LIST(mk.id) AS done, LIST(mk.lab) AS labs FROM mk LEFT JOIN nb ON nb.plot = mk.plot AND nb.id = mk.id GROUP BY mk.plot),
+fl(plot, faces, done, labs) AS (SELECT plot, LIST_FILTER(faces, lambda x: NOT LIST_CONTAINS(done, x.to)), done, labs FROM fs UNION ALL
+  SELECT f.plot, LIST_CONCAT(LIST_FILTER(faces, lambda x: x.to <> top.to), LIST_FILTER({labelled.format(list="COALESCE(nb.n, [])", lab="top.lab")}, lambda x: NOT LIST_CONTAINS(done, x.to))), LIST_APPEND(done, top.to), LIST_APPEND(labs, top.lab)
+  FROM (SELECT *, LIST_MIN(faces) AS top FROM fl WHERE LEN(faces) > 0) f LEFT JOIN nb ON nb.plot = f.plot AND nb.id = f.top.to),
+fd AS (SELECT plot, UNNEST(done) AS id, UNNEST(labs) AS lab FROM fl WHERE LEN(faces) = 0),
+pv AS (SELECT p.plot, p.point_id, COALESCE(fd.lab, 0) AS lab FROM p JOIN o ON o.plot = p.plot JOIN vx ON vx.plot = p.plot AND vx.vi = FLOOR((x - x0) / {size!r}) AND vx.vj = FLOOR((y - y0) / {size!r}) AND vx.vk = FLOOR((z - z0) / {size!r}) LEFT JOIN fd ON fd.plot = vx.plot AND fd.id = vx.id)"""
+
 
+def segmentation_sql(seeding: str, size: float = 20.0, sigma: float = 0.5, d: int = 2, band: int = 3, height: float = 40.0, least: int = 5) -> str:
+    return f"""{RP}, {voxels_sql(size)}, {volume_sql(sigma)}, {markers_sql(seeding, size, sigma, d, band, height)}, {forest_sql(size)}
+SELECT plot, point_id, CAST(CASE WHEN COUNT(*) OVER (PARTITION BY plot, lab) < {least} THEN 0 ELSE lab END AS INT) AS instance_id FROM pv"""
 
-@query(f"{CHM_SQL}, {DENSE_SQL}, {FLOOD_SQL}")
+
+@query(segmentation_sql("chm"))
 def segmentation_chm(spark: SparkSession, d: str) -> DataFrame:
     p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_points_per_tree=5, gaussian_sigma=0.5, min_crown_radius_m=40.0)
     return segment.segment(points(spark, d), "chm", p, axes=("x", "y", "z")).select("plot", "point_id", "instance_id")
 
 
-RAISED_SQL = smoothed_sql("cs", "s", {"vi": "ni", "vj": "nj"}, 0.5).replace("t0 ", "r0 ").replace("t1 ", "r1 ").replace("t2 ", "r2 ")
-
-
-@query(
-    f"""{RP}, {VOX20}, {DENSE_SQL}, tp AS MATERIALIZED (SELECT plot, vi, vj, MAX(vk) AS tk FROM v GROUP BY ALL),
-cs AS MATERIALIZED (SELECT tp.plot, tp.vi, tp.vj, SUM(ROUND(t3.d, 9)) AS s FROM tp JOIN t3 ON t3.plot = tp.plot AND t3.vi = tp.vi AND t3.vj = tp.vj AND t3.vk BETWEEN GREATEST(tk - 3, 0) AND tk GROUP BY ALL), {RAISED_SQL},
-su AS MATERIALIZED (SELECT r2.plot, r2.vi, r2.vj, COALESCE(tk, 0) AS tk, ROUND(r2.d, 9) AS s FROM r2 LEFT JOIN tp ON tp.plot = r2.plot AND tp.vi = r2.vi AND tp.vj = r2.vj), {peaks_sql("su", "")},
-markers AS MATERIALIZED (SELECT plot, ROW_NUMBER() OVER (PARTITION BY plot ORDER BY m) AS marker, vi, vj, vk FROM every WHERE vk * 20 >= 40), {FLOOD_SQL}"""
-)
+@query(segmentation_sql("density"))
 def segmentation_density(spark: SparkSession, d: str) -> DataFrame:
     p = Watershed(voxel_size=20.0, min_tree_height=40.0, min_points_per_tree=5, gaussian_sigma=0.5, min_crown_radius_m=40.0, top_band_m=60.0)
     return segment.segment(points(spark, d), "density", p, axes=("x", "y", "z")).select("plot", "point_id", "instance_id")
 
 
+FOUR = {"voxel_size": (20.0, 30.0), "gaussian_sigma": (0.5,), "min_crown_radius_m": (40.0, 80.0), "top_band_m": (60.0,)}
+
+
+def _f1_sql(seeding: str, i: int, c: dict[str, float]) -> str:
+    """F1 per plot of one combination, from whole segmentations of points."""
+    size = c["voxel_size"]
+    found = segmentation_sql(seeding, size, c["gaussian_sigma"], segment.half_width(c["min_crown_radius_m"], size), voxel.band_voxels(c["top_band_m"], size))
+    return f"""SELECT {i} AS combo, plot, CASE WHEN g > 0 AND q > 0 THEN 2.0 * COALESCE(tp, 0) / (g + q) ELSE 0 END AS f1 FROM (
+  WITH s AS MATERIALIZED ({found}), j AS MATERIALIZED (SELECT s.plot, s.instance_id AS pred_id, p.gt_id FROM s JOIN p ON p.plot = s.plot AND p.point_id = s.point_id),
+  c AS (SELECT plot, pred_id, gt_id, COUNT(*) AS n FROM j GROUP BY ALL), a AS (SELECT plot, pred_id, SUM(n) AS n FROM c GROUP BY ALL), b AS (SELECT plot, gt_id, SUM(n) AS n FROM c GROUP BY ALL),
+  r AS (SELECT c.plot, c.pred_id, c.gt_id, c.n / (a.n + b.n - c.n) AS iou FROM c JOIN a ON a.plot = c.plot AND a.pred_id = c.pred_id JOIN b ON b.plot = c.plot AND b.gt_id = c.gt_id WHERE c.pred_id > 0 AND c.gt_id > 0),
+  h AS (SELECT plot, COUNT(*) AS tp FROM (SELECT plot, ROW_NUMBER() OVER (PARTITION BY plot, gt_id ORDER BY iou DESC, pred_id) AS x, ROW_NUMBER() OVER (PARTITION BY plot, pred_id ORDER BY iou DESC, gt_id) AS y FROM r WHERE iou >= 0.5) WHERE x = 1 AND y = 1 GROUP BY plot)
+  SELECT j.plot, COUNT(DISTINCT CASE WHEN gt_id > 0 THEN gt_id END) AS g, COUNT(DISTINCT CASE WHEN pred_id > 0 THEN pred_id END) AS q, MAX(tp) AS tp FROM j LEFT JOIN h ON h.plot = j.plot GROUP BY j.plot)"""
+
+
+def _four_sql() -> str:
+    combos = gridsearch.combinations(FOUR)
+    values = ", ".join(f"('{m}', {i}, {', '.join(repr(v) for v in c.values())})" for m in segment.SEEDINGS for i, c in enumerate(combos))
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS method, combo, f1 FROM ({_f1_sql(m, i, c)})" for m in segment.SEEDINGS for i, c in enumerate(combos))
+    return f"""{P}, f AS MATERIALIZED ({rows}) SELECT v.method, {", ".join(FOUR)}, ROUND(AVG(f1), 6) AS mean_f1, ROUND(STDDEV_POP(f1), 6) AS std_f1, COUNT(f1) AS n_plots
+FROM (VALUES {values}) v(method, combo, {", ".join(FOUR)}) JOIN f ON f.method = v.method AND f.combo = v.combo GROUP BY ALL"""
+
+
+@query(_four_sql())
+def grid_search_four(spark: SparkSession, d: str) -> DataFrame:
+    """Four combinations of both seedings, a grid small enough for its SQL form."""
+    base = Watershed(min_tree_height=40.0, min_points_per_tree=5)
+    found = [gridsearch.summarise(gridsearch.score_plots(points(spark, d), m, FOUR, base, axes=("x", "y", "z")), FOUR).select(F.lit(m).alias("method"), *FOUR, r6("mean_f1"), r6("std_f1"), "n_plots") for m in segment.SEEDINGS]
+    return found[0].unionByName(found[1])
+
+
 # --- features --------------------------------------------------------------------------------------
 
 
@@ -345,7 +390,7 @@ def set_abstraction(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""{ABSTRACT}, nq AS (SELECT u.plot, u.point_id, sa0, sa1, sa2, sb0, (u.x - c.x) ** 2 + (u.y - c.y) ** 2 AS d2 FROM zk u JOIN ab ON ab.plot = u.plot JOIN zk c ON c.plot = ab.plot AND c.point_id = ab.point_id QUALIFY ROW_NUMBER() OVER (PARTITION BY u.plot, u.point_id ORDER BY d2, c.point_id) <= 3),
-nw AS (SELECT *, CASE WHEN d2 = 0 THEN 1.0 ELSE 1 / (SQRT(d2) + 1e-8) END AS w FROM nq), na AS (SELECT plot, point_id, SUM(w * sa0) / SUM(w) AS a0, SUM(w * sa1) / SUM(w) AS a1, SUM(w * sa2) / SUM(w) AS a2, SUM(w * sb0) / SUM(w) AS a3 FROM nw GROUP BY ALL)
+nw AS (SELECT *, 1 / (d2 + 1e-8) AS w FROM nq), na AS (SELECT plot, point_id, SUM(w * sa0) / SUM(w) AS a0, SUM(w * sa1) / SUM(w) AS a1, SUM(w * sa2) / SUM(w) AS a2, SUM(w * sb0) / SUM(w) AS a3 FROM nw GROUP BY ALL)
 SELECT na.plot, na.point_id, {", ".join(f"ROUND({x}, 5) AS c{i}" for i, x in enumerate(_layer_sql(["a0", "a1", "a2", "a3", "zk.z"], W3, B3)))} FROM na JOIN zk ON zk.plot = na.plot AND zk.point_id = na.point_id"""
 )
 def feature_propagation(spark: SparkSession, d: str) -> DataFrame:
@@ -420,9 +465,9 @@ TAIL = stats.NORMAL.inv_cdf(0.025)
     f"""{RM}, u AS (SELECT plot, method, metric, value FROM (SELECT plot, method, {", ".join(f'"{v}"' for v in SCORED)} FROM m) UNPIVOT (value FOR metric IN ({", ".join(f'"{v}"' for v in SCORED)}))),
 pr AS (SELECT UNNEST({[a for a, _ in PAIRED]}) AS a, UNNEST({[b for _, b in PAIRED]}) AS b),
 al AS (SELECT 'method' AS type, method AS label, metric, plot, value FROM u UNION ALL SELECT 'difference', pr.a || ' -> ' || pr.b, 'f1', x.plot, y.value - x.value FROM pr JOIN u x ON x.method = pr.a AND x.metric = 'f1' JOIN u y ON y.method = pr.b AND y.metric = 'f1' AND y.plot = x.plot),
-st AS MATERIALIZED (SELECT pl.type, pl.label, pl.metric, seed, LIST(value ORDER BY plot) AS v, COUNT(*) AS n, AVG(value) AS observed FROM al JOIN {_plan()} ON pl.type = al.type AND pl.label = al.label AND pl.metric = al.metric GROUP BY ALL),
-bt AS MATERIALIZED (SELECT seed, b, AVG(v[1 + {index_sql("seed", "b", "i", "n")}]) AS mean FROM st, (SELECT UNNEST(RANGE(10000)) AS b) t, LATERAL (SELECT UNNEST(RANGE(n)) AS i) w GROUP BY seed, b),
-bs AS MATERIALIZED (SELECT bt.seed, LIST(mean ORDER BY mean) AS boot, GREATEST(1e-6, LEAST(1 - 1e-6, AVG(CASE WHEN mean < observed THEN 1.0 ELSE 0.0 END))) AS below FROM bt JOIN st ON st.seed = bt.seed GROUP BY bt.seed),
+st AS MATERIALIZED (SELECT pl.type, pl.label, pl.metric, seed, LIST(value ORDER BY plot) AS v, COUNT(*) AS n, AVG(value) AS observed, SUM(CAST(ROUND(value * 1e9) AS BIGINT)) AS whole FROM al JOIN {_plan()} ON pl.type = al.type AND pl.label = al.label AND pl.metric = al.metric GROUP BY ALL),
+bt AS MATERIALIZED (SELECT seed, b, SUM(CAST(ROUND(v[1 + {index_sql("seed", "b", "i", "n")}] * 1e9) AS BIGINT)) AS drawn FROM st, (SELECT UNNEST(RANGE(10000)) AS b) t, LATERAL (SELECT UNNEST(RANGE(n)) AS i) w GROUP BY seed, b),
+bs AS MATERIALIZED (SELECT bt.seed, LIST(CAST(drawn AS DOUBLE) / n / 1e9 ORDER BY drawn) AS boot, GREATEST(1e-6, LEAST(1 - 1e-6, AVG(CASE WHEN drawn < whole THEN 1.0 ELSE 0.0 END))) AS below FROM bt JOIN st ON st.seed = bt.seed GROUP BY bt.seed),
 {ppf_ctes("bs", "seed", "below")},
 jk AS (SELECT seed, LIST_SUM(LIST_TRANSFORM(v, lambda x: ((x - observed) / (n - 1)) ** 3)) / (6 * LIST_SUM(LIST_TRANSFORM(v, lambda x: ((x - observed) / (n - 1)) ** 2)) ** 1.5) AS acc FROM st),
 pc AS (SELECT bs.seed, boot, {cdf_sql(f"(z + (z + {TAIL!r}) / (1 - acc * (z + {TAIL!r})))")} * 9999 AS lo, {cdf_sql(f"(z + (z - {TAIL!r}) / (1 - acc * (z - {TAIL!r})))")} * 9999 AS hi FROM bs JOIN quantile ON id = bs.seed JOIN jk ON jk.seed = bs.seed),

@@ -21,12 +21,11 @@ from stemline import config
 from stemline.config import Features
 from stemline.plans.projections import metrics, points, table
 from stemline.plans.registry import M, P, query, r6, rounded
-from stemline.sources import archives, features, las, tables
+from stemline.sources import archives, features, las, shared, tables
 
 
 def folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return f"{shared.folder(spark)}/stored-{uuid.uuid4().hex}"
 
 
 def _files(rows: DataFrame, root: str, name: str, encode: Callable[[pd.DataFrame], bytes]) -> None:

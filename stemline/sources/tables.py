@@ -95,12 +95,13 @@ def upsert_best(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def best_params(rows: DataFrame | None, method: str, base: Watershed = Watershed()) -> Watershed:  # noqa: B008
-    """A method's parameters; the first row wins, what the table lacks comes from ``base``."""
-    found = rows.where(F.col("method") == method).limit(1).collect() if rows is not None else []
+    """A method's parameters: of several rows the one with the greatest mean_f1, then the least parameters; what the table lacks comes from ``base``."""
+    names = [c for c in ("voxel_size", "gaussian_sigma", "min_crown_radius_m", "top_band_m") if rows is not None and c in rows.columns]
+    order = [F.desc_nulls_last("mean_f1")] if rows is not None and "mean_f1" in rows.columns else []
+    found = rows.where(F.col("method") == method).orderBy(*order, *[F.asc_nulls_last(c) for c in names]).limit(1).collect() if rows is not None else []
     if not found:
         raise MissingBestParamsError(f"no best parameters for {method}")
     row = found[0].asDict()
-    names = ("voxel_size", "gaussian_sigma", "min_crown_radius_m", "top_band_m")
     return Watershed(**{**base.__dict__, **{n: float(row[n]) for n in names if row.get(n) is not None}})
 
 

@@ -33,25 +33,11 @@ def test_two_cones_are_two_trees(spark, seeding):
     assert (score.TP, score.FP, score.FN, score.f1) == (2, 0, 0, 1.0)
 
 
-def test_flat_canopy_needs_density_seeds():
-    rng = np.random.default_rng(1)
-    i, j, k, n = [], [], [], []
-    for x in range(30):
-        for y in range(12):
-            i.append(x), j.append(y), k.append(10)
-            n.append(1 + 9 * (abs(x - 6) < 2 and abs(y - 6) < 2) + 9 * (abs(x - 23) < 2 and abs(y - 6) < 2) + rng.integers(0, 1))
-    g = segment.Grid.of(*map(np.array, (i, j, k, n)), 0.5)
+def test_flat_canopy_needs_density_seeds(spark):
+    cells = [(x, y, 10, 1 + 9 * (abs(x - 6) < 2 and abs(y - 6) < 2) + 9 * (abs(x - 23) < 2 and abs(y - 6) < 2)) for x in range(30) for y in range(12)]
     p = Watershed(voxel_size=0.3, min_crown_radius_m=2.4, gaussian_sigma=1.0)
-    seeds = g.seeds("density", p)
-    assert {(6, 6), (23, 6)} <= {s[:2] for s in seeds}
-
-
-def test_flood_stays_in_mask_and_reach():
-    density = np.ones((5, 1, 1), np.float32)
-    mask = np.array([1, 1, 0, 1, 1], bool).reshape(5, 1, 1)
-    markers = np.zeros((5, 1, 1), np.int32)
-    markers[0] = 7
-    assert segment.flood(density, markers, mask).ravel().tolist() == [7, 7, 0, 0, 0]
+    found = segment.seeds(spark.createDataFrame([("A", *c) for c in cells], "plot string, vi int, vj int, vk int, n long"), "density", p).collect()
+    assert {(6, 6), (23, 6)} <= {(r.vi, r.vj) for r in found}
 
 
 def test_no_seeds_and_empty_input(spark):
@@ -150,12 +136,26 @@ def test_scores_of_empty_sides(spark):
     assert matching.set_iou([], []) == 0.0 and matching.set_iou([1, 2], [2, 3]) == 1 / 3
 
 
+def greedy(rows, threshold):
+    """(plot, pred, gt) by falling overlap, one pair after the other."""
+    taken = []
+    for plot, p, g, iou in sorted(rows, key=lambda r: (r[0], -r[3], r[1], r[2])):
+        if iou >= threshold and not any(t[0] == plot and (t[1] == p or t[2] == g) for t in taken):
+            taken.append((plot, p, g))
+    return sorted(taken)
+
+
 def test_relational_matching_equals_greedy(spark):
     rng = np.random.default_rng(3)
     p = points(spark, [(str(rng.integers(3)), int(g) if rng.random() < 0.8 else int(rng.integers(5)), int(g)) for g in rng.integers(0, 5, 600)], "plot pred_id gt_id")
     pairs = matching.overlaps(p)
     key = lambda df: sorted((r.plot, r.pred_id, r.gt_id) for r in df.collect())
-    assert key(matching.matches(pairs, 0.5)) == key(pairs.where("iou >= 0.5").groupBy("plot").applyInPandas(matching._greedy, pairs.schema))
+    rows = [(r.plot, r.pred_id, r.gt_id, r.iou) for r in pairs.collect()]
+    for threshold in (0.5, 0.3, 0.02):
+        assert key(matching.matches(pairs, threshold)) == greedy(rows, threshold)
+    ties = points(spark, [("A", p, g, 0.25) for p in range(1, 7) for g in range(1, 7) if (p + g) % 3] + [("B", 1, 1, 0.4)], "plot pred_id gt_id iou")
+    assert key(matching.matches(ties, 0.2)) == greedy([tuple(r) for r in ties.collect()], 0.2)
+    assert matching.matches(ties, 0.45).count() == 0
 
 
 def test_shapes_of_line_plane_ball():
