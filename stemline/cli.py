@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemline import config
-from stemline.operators import features, labels, ml, report, stats
+from stemline.operators import features, labels, ml, report, stats, trees
 from stemline.plans import flows
 from stemline.sources import features as stored
 from stemline.sources import tables
@@ -51,8 +51,8 @@ def train(spark: SparkSession, a: argparse.Namespace) -> int:
     ready = flows.prepare(load_points(spark, a.points, a.plot), cfg)
     rows = stored.cached(labels.valid(ready), a.features, cfg.features, features.extract).join(ready.select("plot", "point_id", "label"), ["plot", "point_id"])
     model = ml.train_forest(rows, cfg.forest)
-    stored.save_model(model, a.model)
-    stored.importance_table(model, spark).show(10, False)
+    trees.save(model, a.model)
+    trees.importances(trees.load(spark, a.model)).show(10, False)
     return 0
 
 
@@ -60,7 +60,7 @@ def semantic(spark: SparkSession, a: argparse.Namespace) -> int:
     cfg = config.load(a.config) if a.config else config.Config()
     ready = flows.prepare(load_points(spark, a.points, a.plot), cfg)
     rows = stored.cached(labels.valid(ready), a.features, cfg.features, features.extract)
-    pred = ml.predict_forest(stored.load_model(a.model), rows, ready)
+    pred = ml.predict_forest(trees.load(spark, a.model), rows, ready)
     tables.write_predictions(pred.select(F.lit("rf_semantic").alias("method"), "plot", "point_id", "semantic_pred", F.lit(0).alias("instance_id")), a.predictions)
     return 0
 

@@ -50,7 +50,7 @@ class Features:
 @dataclass(frozen=True)
 class Forest:
     trees: int = 200
-    max_depth: int = 30
+    max_depth: int | None = None
     seed: int = 42
     max_samples_per_class: int = 12_000
 

@@ -1,9 +1,8 @@
 """Point classifiers: a random forest on features, and block inference with any scorer.
 
-The deep network of the design can't run here as a whole; its place is a scorer, a function from a
-batch of blocks (n, points, 5) to probabilities (n, points, 2).  ``perceptron_scorer`` is a
-small stand-in that is trained here.  Its two building blocks, set abstraction at several scales and
-feature propagation, are relational, with weights as parameters.
+A scorer is a function from a batch of blocks (n, points, 5) to probabilities (n, points, 2): ``network.scorer`` is the
+hierarchical network, ``perceptron_scorer`` a small one on single points.  The network's two building blocks, set
+abstraction at several scales and feature propagation, are relational here, with weights as parameters.
 """
 
 from __future__ import annotations
@@ -13,39 +12,28 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemline.config import Blocks, Forest
-from stemline.operators import labels, neighbors, sampling, semantic
+from stemline.operators import labels, neighbors, sampling, semantic, trees
 from stemline.operators.features import NAMES
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
 
-def assemble(features: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
-    return VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="error").transform(features)
+def train_forest(features: DataFrame, cfg: Forest = Forest(), names: tuple[str, ...] = NAMES, by: str = "plot") -> DataFrame:  # noqa: B008
+    """The nodes of a forest on at most ``max_samples_per_class`` points of each plot and class, classes weighted to balance.
 
-
-def train_forest(features: DataFrame, cfg: Forest = Forest(), names: tuple[str, ...] = NAMES, by: str = "plot") -> RandomForestClassificationModel:  # noqa: B008
-    """A forest on at most ``max_samples_per_class`` points of each plot and class, classes weighted to balance.
-
-    ``features`` has ``label`` in {0, 1}.  Depth is at most 30, and splits are on binned values."""
+    ``features`` has ``label`` in {0, 1}.  Splits are exact."""
     sample = sampling.cap_per_class(labels.valid(features), cfg.max_samples_per_class, (by, "label"), seed=cfg.seed)
-    weights = semantic.class_weights(sample).select("label", "weight")
-    # one row per class
-    rows = assemble(sample.join(F.broadcast(weights), "label"), names)
-    model = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=cfg.trees, maxDepth=min(cfg.max_depth, 30), featureSubsetStrategy="sqrt", seed=cfg.seed, maxBins=64)
-    return model.fit(rows)
+    keyed = sample.withColumn("_key", F.concat_ws("|", by, "point_id"))
+    return trees.train(keyed, names, cfg.trees, seed=cfg.seed, max_depth=cfg.max_depth, key="_key")
 
 
-def predict_forest(model: RandomForestClassificationModel, features: DataFrame, points: DataFrame, names: tuple[str, ...] = NAMES, by: str = "plot") -> DataFrame:
+def predict_forest(nodes: DataFrame, features: DataFrame, points: DataFrame, names: tuple[str, ...] = NAMES, by: str = "plot") -> DataFrame:
     """(by, point_id, semantic_pred, p0, p1) of all ``points``: -1 and zeros where a point has no features."""
-    out = model.transform(assemble(features, names)).withColumn("_p", vector_to_array("probability"))
-    part = out.select(by, "point_id", F.col("prediction").cast("int").alias("semantic_pred"), F.col("_p")[0].alias("p0"), F.col("_p")[1].alias("p1"))
+    part = trees.predict(nodes, features, names, (by, "point_id"))
     return labels.scatter(points.select(by, "point_id"), part, {"semantic_pred": -1, "p0": 0.0, "p1": 0.0}, (by, "point_id"))
 
 

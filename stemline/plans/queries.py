@@ -600,4 +600,4 @@ def largest_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 # modules that register queries of their own
-from stemline.plans import kernels, networks, stored  # noqa: E402, F401
+from stemline.plans import forests, kernels, networks, stored  # noqa: E402, F401

@@ -1,4 +1,4 @@
-"""Feature tables kept by plot and parameters, and models with their importances."""
+"""Feature tables kept by plot and parameters."""
 
 from __future__ import annotations
 
@@ -7,13 +7,10 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemline.config import Features
-from stemline.operators.features import NAMES
-from stemline.operators.report import importances
 from stemline.sources.tables import exists
 
 
@@ -31,15 +28,3 @@ def cached(points: DataFrame, path: str, cfg: Features, compute: Callable[[DataF
         todo = points.join(sizes.join(stored, [by, "n"], "left_semi").select(by), by, "left_anti")
     compute(todo, cfg).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(where)
     return spark.read.parquet(where).join(sizes.select(by), by, "left_semi")
-
-
-def save_model(model: RandomForestClassificationModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> RandomForestClassificationModel:
-    return RandomForestClassificationModel.load(path)
-
-
-def importance_table(model: RandomForestClassificationModel, spark, names: tuple[str, ...] = NAMES) -> DataFrame:  # noqa: ANN001
-    return importances(list(model.featureImportances.toArray()), list(names), spark)
