@@ -105,3 +105,15 @@ def eigenvalues(cov: DataFrame) -> DataFrame:
     l1 = F.col("_q") + 2 * F.col("_p") * F.cos(angle)
     l3 = F.col("_q") + 2 * F.col("_p") * F.cos(angle + 2 * np.pi / 3)
     return with_.withColumn("l1", l1).withColumn("l3", l3).withColumn("l2", 3 * F.col("_q") - l1 - l3).drop("_q", "_p")
+
+
+def verticality(eigen: DataFrame) -> DataFrame:
+    """``eigen`` with ``verticality``: 1 less the height of the unit vector of the least eigenvalue, in built-in expressions.
+
+    That vector's squared parts are the diagonal of the adjugate of the matrix less the eigenvalue, over its trace.  Where the two least
+    eigenvalues differ by less than a millionth of the greatest, no vector is the normal, and the verticality is 0."""
+    xx, xy, xz, yy, yz, zz = (F.col(f"c{n}") for n in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    a, b, c = xx - F.col("l3"), yy - F.col("l3"), zz - F.col("l3")
+    up, trace = a * b - xy * xy, (a * b - xy * xy) + (b * c - yz * yz) + (a * c - xz * xz)
+    alone = F.col("l2") - F.col("l3") > 1e-6 * F.col("l1")
+    return eigen.withColumn("verticality", F.when(alone, 1 - F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(up, trace))))).otherwise(0.0))

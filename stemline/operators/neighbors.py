@@ -18,7 +18,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemline.functions.draws import draw_of
-from stemline.functions.vectors import squared_distance
 from stemline.sources.shared import keep
 
 
@@ -107,24 +106,6 @@ def nearest_of(a: DataFrame, b: DataFrame, k: int, radius: float, axes: tuple[st
         radius *= 2
 
 
-def vector_knn(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", by: str | None = None, most_bytes: int = 1 << 28) -> DataFrame:
-    """k nearest vectors by squared distance for a stated, small set of queries, within groups if ``by`` is given.
-
-    Without groups the queries go to every task, which their size is checked for; more than ``most_bytes``
-    raises.  Each task keeps k per query before anything is shuffled."""
-    q = queries.select(F.col(key).alias("q"), F.col(vec).alias("_q"), *([by] if by else []))
-    b = base.select(F.col(key).alias("other"), F.col(vec).alias("_b"), *([by] if by else []))
-    if by:
-        pairs = b.join(q, by)
-    else:
-        size = q.agg(F.sum(8 * (F.coalesce(F.size("_q"), F.lit(0)) + 4))).first()[0] or 0
-        if size > most_bytes:
-            raise ValueError(f"{size} bytes of queries are too many for every task; search them in parts or within groups")
-        pairs = b.join(F.broadcast(q))
-    d = pairs.where(F.col("q") != F.col("other")).select("q", "other", squared_distance("_q", "_b").alias("d2"))
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "other"))).where(F.col("rank") <= k)
-
-
 def interpolate(uncovered: DataFrame, covered: DataFrame, radius: float, k: int = 3, values: tuple[str, ...] = ("p0", "p1"), axes: tuple[str, ...] = ("x", "y", "z"), by: str = "plot", key: str = "point_id", squared: bool = False) -> DataFrame:
     """(by, key, values): weighted means over the k nearest covered points, searched from ``radius`` on: weight 1 at distance 0, else 1 / (d + 1e-8), or ``squared`` 1 / (d**2 + 1e-8) everywhere.
 

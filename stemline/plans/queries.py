@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stemline.config import COMPARISONS, METHODS, Watershed
 from stemline.functions.vectors import argmax, squared_distance
-from stemline.operators import features, gridsearch, labels, matching, neighbors, raster, report, sampling, segment, semantic, spatial, stats, voxel
+from stemline.operators import features, gridsearch, labels, matching, neighbors, raster, report, sampling, search, segment, semantic, spatial, stats, voxel
 from stemline.plans.projections import metrics, points, table
 from stemline.plans.registry import LABEL, ORACLE_SQL, PRIORITIES, QUERIES, RM, M, P, draw_sql, query, r6, rounded
 from stemline.sources import tables
@@ -190,6 +190,22 @@ def neighbour_covariance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.covariance(neighbors.knn(p, 5, 4.0, FLAT, tile=25.0), p), *names).withColumns({n: F.col(n) + 0.0 for n in names})
 
 
+EIGEN_SQL = f"""{KNN}, c AS (SELECT k.plot, k.point_id, COUNT(*) AS k, COVAR_POP(o.x, o.x) AS xx, COVAR_POP(o.x, o.y) AS xy, COVAR_POP(o.x, o.z) AS xz, COVAR_POP(o.y, o.y) AS yy, COVAR_POP(o.y, o.z) AS yz, COVAR_POP(o.z, o.z) AS zz FROM k JOIN p o ON k.plot = o.plot AND k.other = o.point_id GROUP BY k.plot, k.point_id HAVING COUNT(*) >= 4),
+q2 AS (SELECT *, (xx + yy + zz) / 3 AS m FROM c), q3 AS (SELECT *, SQRT(((xx - m) ** 2 + (yy - m) ** 2 + (zz - m) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s FROM q2),
+q4 AS (SELECT *, ACOS(GREATEST(-1, LEAST(1, COALESCE(((xx - m) * ((yy - m) * (zz - m) - yz * yz) - xy * (xy * (zz - m) - yz * xz) + xz * (xy * yz - (yy - m) * xz)) / NULLIF(2 * s * s * s, 0), 1)))) / 3 AS phi FROM q3),
+q5 AS (SELECT *, m + 2 * s * COS(phi) AS l1, m + 2 * s * COS(phi + 2 * PI() / 3) AS l3 FROM q4), q6 AS (SELECT *, 3 * m - l1 - l3 AS l2, (xx - l3) * (yy - l3) - xy * xy AS up, (xx - l3) * (yy - l3) - xy * xy + (yy - l3) * (zz - l3) - yz * yz + (xx - l3) * (zz - l3) - xz * xz AS trace FROM q5)
+SELECT plot, point_id, ROUND(l1, 4) + 0.0 AS l1, ROUND(l2, 4) + 0.0 AS l2, ROUND(l3, 4) + 0.0 AS l3, ROUND(CASE WHEN l2 - l3 > 1e-6 * l1 THEN 1 - SQRT(LEAST(1, GREATEST(0, up / trace))) ELSE 0 END, 3) + 0.0 AS verticality FROM q6"""
+
+
+@query(EIGEN_SQL)
+def neighbour_eigen(spark: SparkSession, d: str) -> DataFrame:
+    """Eigenvalues and verticality of every point's neighbourhood of four or five."""
+    p = points(spark, d)
+    found = features.verticality(features.eigenvalues(features.covariance(neighbors.knn(p, 5, 4.0, FLAT, tile=25.0), p).where("k >= 4")))
+    return found.select("plot", "point_id", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("l1", 4), ("l2", 4), ("l3", 4), ("verticality", 3))])
+
+
+
 @query(f"""{P}, c AS (SELECT * FROM p WHERE point_id % 3 = 0), u AS (SELECT * FROM p WHERE point_id % 3 <> 0),
 q AS (SELECT u.plot, u.point_id, (u.x - c.x) * (u.x - c.x) + (u.y - c.y) * (u.y - c.y) AS d2, c.gt_id / 12.0 AS v FROM u JOIN c ON u.plot = c.plot QUALIFY ROW_NUMBER() OVER (PARTITION BY u.plot, u.point_id ORDER BY d2, c.point_id) <= 3),
 w AS (SELECT *, CASE WHEN d2 = 0 THEN 1.0 ELSE 1 / (SQRT(d2) + 1e-8) END AS w FROM q) SELECT plot, point_id, ROUND(SUM(w * v) / SUM(w), 6) AS v FROM w GROUP BY ALL""")
@@ -221,7 +237,7 @@ D2 = "LIST_SUM(LIST_TRANSFORM(LIST_ZIP(q.e, b.embedding), lambda t: (CAST(t[1] A
 @query(f'WITH {EMB_Q}, a AS (SELECT q, b.vec_id AS other, {D2} AS d2 FROM q JOIN embeddings b ON q.q <> b.vec_id) SELECT q, other, ROUND(d2, 6) AS d2, CAST(ROW_NUMBER() OVER (PARTITION BY q ORDER BY d2, other) AS INT) AS "rank" FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY q ORDER BY d2, other) <= 10')
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return rounded(neighbors.vector_knn(e.where("vec_id % 20 = 0"), e, 10), "d2")
+    return rounded(search.vector_knn(e.where("vec_id % 20 = 0"), e, 10), "d2")
 
 
 # --- instance and semantic scores ------------------------------------------------------------------

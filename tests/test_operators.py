@@ -230,13 +230,6 @@ def test_pass_blocks_take_the_least_draws(spark):
         assert r.ids == sorted(sorted(all_ids, key=lambda i: (draws.draw_of(42, r["pass"], r.plot, i), i))[:50])
 
 
-def test_vector_search_checks_its_queries(spark):
-    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
-    assert neighbors.vector_knn(v.limit(3), v, 2).count() == 6
-    with pytest.raises(ValueError, match="too many"):
-        neighbors.vector_knn(v, v, 2, most_bytes=100)
-
-
 def test_forest_and_block_inference(spark):
     rng = np.random.default_rng(7)
     n = 400
