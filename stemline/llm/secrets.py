@@ -16,7 +16,7 @@ rules that all lack trigrams need no index.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -91,19 +91,39 @@ def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end, at, kind>> of a rule's matches: the pieces between matches give the positions."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    lengths = F.transform(whole, F.char_length)
     gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
+    parts = F.zip_with(gaps, F.transform(whole, F.char_length), lambda gap, n: F.struct(n.alias("n"), (gap + n).alias("sum")))
     passed = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.char_length(g) >= rule.least)
-    rows = F.arrays_zip(gaps.alias("gap"), lengths.alias("len"), passed.alias("ok"))
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("got"))
+    # the last gap has no match after it
+    ends = running(F.transform(F.slice(parts, 1, F.size(whole)), lambda p: p["sum"]), lambda x, y: x + y)
+    rows = F.filter(F.arrays_zip(ends.alias("end"), F.transform(whole, F.char_length).alias("n"), passed.alias("ok")), lambda x: x["ok"])
+    found = F.transform(rows, lambda x: F.struct((x["end"] - x["n"]).alias("start"), x["end"].alias("end")))
+    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["pos"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        got = F.when(F.coalesce(x["ok"], F.lit(False)), F.concat(s["got"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(s["got"])
-        return F.struct(end.alias("pos"), got.alias("got"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(rows, empty, step)["got"]).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """The array of ``values`` added up from the first, by doubling: n log n steps for n values, where growing an array takes n squared."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
+    before = lambda s, i, k: F.get(s, i - F.call_function("shiftleft", F.lit(1), k))
+    step = lambda s, k: F.transform(s, lambda x, i: F.coalesce(add(before(s, i, k), x), x))
+    return F.aggregate(F.sequence(F.lit(0), rounds), values, step)
+
+
+def pieces(text: Column, gaps: Column, size: int = 4096) -> Column:
+    """The array of text[a:b] of ``gaps`` (a, b), from chunks of ``size`` characters, so that no piece is sought from the beginning."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def cut(chunks: Column, g: Column) -> Column:
+        first, last = F.floor(g["a"] / size).cast("int"), F.floor((g["b"] - 1) / size).cast("int")
+        of = lambda c: F.substring(F.get(chunks, c), F.greatest(g["a"] - c * size, F.lit(0)) + 1, F.least(g["b"] - c * size, F.lit(size)) - F.greatest(g["a"] - c * size, F.lit(0)))
+        return F.when(g["a"] < g["b"], F.array_join(F.transform(F.sequence(first, last), of), "")).otherwise("")
+
+    return bound(chunks, lambda c: F.transform(gaps, lambda g: cut(c, g)))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of ``value`` as a variable, so that it is found once and not for each element of an array that f works through."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _named(rows: Column, at: int, kind: str) -> Column:
@@ -142,11 +162,13 @@ def candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = BASE + ADDED, found: str = "found") -> DataFrame:
     """``docs`` and a column ``found``: array<struct<start, at, end, kind>> in order of start and rule; it takes the place of one of that name."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    name, hits = fresh_name(docs, "_key", "_hits")
+    name, hits = fresh_name(docs, "_row", "_hits")
     joined = docs.withColumn(hits, F.lit(0))
     if indexed:
-        known = candidates(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), indexed).toDF(name, hits)
-        joined = docs.join(known, docs[key].eqNullSafe(F.col(name)), "left").drop(name)
+        # rows are told apart by a hash of key and text, so that null keys don't meet in one task; rows of equal hashes share candidates, which are verified
+        named = docs.withColumn(name, F.xxhash64(key, text))
+        known = candidates(named.select(F.col(name).alias("key"), F.col(text).alias("text")), indexed).toDF(name, hits)
+        joined = named.join(known, name, "left").drop(name)
     body = text_of(text)
     none = F.array().cast("array<struct<start:int,end:int>>")
     each = []
@@ -161,16 +183,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequen
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = BASE + ADDED, mark: str = "<secret>") -> DataFrame:
     """``docs`` with each maximal covered run of ``text`` replaced by ``mark``; a null text stays null."""
     (found,) = fresh_name(docs, "_found")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["pos"]
-        gap = F.when(fresh, F.concat(s["out"], F.substring(F.col(text), s["pos"] + 1, x["start"] - s["pos"]), F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(x["end"], s["pos"]).alias("pos"), gap.alias("out"))
-
-    end = F.aggregate(found, start, step)
-    clean = F.concat(end["out"], F.substring(F.col(text), end["pos"] + 1, F.char_length(text)))
-    return scan(docs, key, text, rules, found).withColumn(text, F.when(F.size(found) > 0, clean).otherwise(F.col(text))).drop(found)
+    (chunked, upto) = fresh_name(docs, "_chunks", "_upto")
+    farthest = running(F.transform(F.col(found), lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+    spanned = scan(docs, key, text, rules, found).withColumn(upto, farthest)
+    # a run begins where a span starts at or after the end of all before it
+    gap = lambda u: F.transform(found, lambda x, i: F.struct(F.coalesce(F.get(u, i - 1), F.lit(0)).alias("a"), x["start"].alias("b")))
+    gaps = F.filter(bound(F.col(upto), gap), lambda g: g["b"] >= g["a"])
+    tail = F.struct(F.get(F.col(upto), F.size(upto) - 1).alias("a"), F.char_length(text).alias("b"))
+    marked = spanned.withColumn(chunked, F.when(F.size(found) > 0, F.concat(gaps, F.array(tail))))
+    clean = F.array_join(pieces(F.col(text), F.col(chunked)), mark)
+    return marked.withColumn(text, F.when(F.size(found) > 0, clean).otherwise(F.col(text))).drop(found, chunked, upto)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
