@@ -1,9 +1,10 @@
 """Terrain surfaces and heights above ground, all relational: no plot meets one task.
 
-The fill is our own deterministic rule: an empty cell takes the inverse-distance mean of the
+Empty cells are interpolated over the triangles of the filled ones (``triangles.fill``), or by the cheaper
+rule of ``fill``: an empty cell takes the inverse-distance mean of the
 linear interpolations along its row and its column between the nearest filled cells (the nearest
 one alone at the ends), and what then is left takes the nearest filled cell of all, the first in
-(iy, ix) order of equals.  It reproduces planes where a cell is bracketed.
+(iy, ix) order of equals.  Both reproduce planes where a cell is bracketed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemline.functions.guards import clamp
+from stemline.operators import triangles
 from stemline.operators.neighbors import nearest_of
 
 
@@ -107,8 +109,12 @@ def spread(cells: DataFrame, sigma: float, axes: tuple[str, ...], value: str, by
     return out.select(by, *axes, value)
 
 
-def surface(points: DataFrame, resolution: float = 0.5, smooth_window: int = 5, by: str = "plot") -> DataFrame:
-    """One row per cell with the heights at its own and the three next centres, filled and smoothed."""
+#: how empty cells are filled
+FILLS = {"triangles": triangles.fill, "lines": fill}
+
+
+def dense_cells(points: DataFrame, resolution: float = 0.5, by: str = "plot") -> DataFrame:
+    """(by, ix, iy, z) of every cell of every plot's grid, z null where a cell has no ground; a plot without ground raises when it is computed."""
     grid = extents(points, resolution, by)
     ground = ground_cells(points, resolution, by)
     some = ground.groupBy(by).agg(F.count("*").alias("_ground"))
@@ -117,7 +123,12 @@ def surface(points: DataFrame, resolution: float = 0.5, smooth_window: int = 5,
     checked = grid.join(some, by, "left").withColumn("ny", F.when(F.col("_ground").isNull(), missing.cast("long")).otherwise(F.col("ny")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     dense = checked.withColumn("iy", F.explode(upto("ny"))).withColumn("ix", F.explode(upto("nx"))).select(by, "ix", "iy")
-    z = spread(fill(dense.join(ground, [by, "ix", "iy"], "left"), by), smooth_window / 2, ("iy", "ix"), "z", by)
+    return dense.join(ground, [by, "ix", "iy"], "left")
+
+
+def surface(points: DataFrame, resolution: float = 0.5, smooth_window: int = 5, by: str = "plot", gaps: str = "triangles") -> DataFrame:
+    """One row per cell with the heights at its own and the three next centres, filled and smoothed; ``gaps`` names the fill."""
+    z = spread(FILLS[gaps](dense_cells(points, resolution, by), by), smooth_window / 2, ("iy", "ix"), "z", by)
     ahead = lambda v, along, across: F.coalesce(F.lead(v).over(W.partitionBy(by, across).orderBy(along)), F.col(v))
     corners: dict[str, Column] = {"z10": ahead("z", "ix", "iy")}
     out = z.withColumns(corners).withColumns({"z01": ahead("z", "iy", "ix"), "z11": ahead("z10", "iy", "ix")})

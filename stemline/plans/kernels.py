@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stemline.config import COMPARISONS, METHODS, Blocks, Config, Terrain, Watershed
 from stemline.functions.guards import clamp
 from stemline.functions.normal import normal_cdf, normal_ppf
-from stemline.operators import features, gridsearch, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, voxel
+from stemline.operators import features, gridsearch, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, triangles, voxel
 from stemline.plans import flows
 from stemline.plans.projections import metrics, points, table
 from stemline.plans.registry import LABEL, PRIORITIES, RM, RP, M, P, draw_sql, index_sql, query, r6, rounded
@@ -27,19 +27,41 @@ def mirrored(at: str, n: str) -> str:
     return f"CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END"
 
 
-TERRAIN = f"""{P}, e AS MATERIALIZED (SELECT plot, MIN(x) AS x0, MIN(y) AS y0, CAST(GREATEST(CEIL((MAX(x) + 50.0 - MIN(x)) / 50.0) - 1, 1) AS BIGINT) AS nx, CAST(GREATEST(CEIL((MAX(y) + 50.0 - MIN(y)) / 50.0) - 1, 1) AS BIGINT) AS ny FROM p GROUP BY plot),
-g AS MATERIALIZED (SELECT p.plot, CAST(LEAST(GREATEST(FLOOR((x - x0) / 50.0), 0), nx - 1) AS BIGINT) AS ix, CAST(LEAST(GREATEST(FLOOR((y - y0) / 50.0), 0), ny - 1) AS BIGINT) AS iy, MEDIAN(z) AS z FROM p JOIN e ON p.plot = e.plot WHERE classification = 2 GROUP BY ALL),
-c AS MATERIALIZED (SELECT e.plot, i.ix, j.iy FROM e, LATERAL (SELECT UNNEST(RANGE(nx)) AS ix) i, LATERAL (SELECT UNNEST(RANGE(ny)) AS iy) j),
-lx AS (SELECT c.plot, c.ix, c.iy, MAX(CASE WHEN g.ix <= c.ix THEN g.ix END) AS lo, MIN(CASE WHEN g.ix >= c.ix THEN g.ix END) AS hi FROM c JOIN g ON g.plot = c.plot AND g.iy = c.iy GROUP BY ALL),
+def grid_sql(size: float) -> str:
+    return f"""{P}, e AS MATERIALIZED (SELECT plot, MIN(x) AS x0, MIN(y) AS y0, CAST(GREATEST(CEIL((MAX(x) + {size} - MIN(x)) / {size}) - 1, 1) AS BIGINT) AS nx, CAST(GREATEST(CEIL((MAX(y) + {size} - MIN(y)) / {size}) - 1, 1) AS BIGINT) AS ny FROM p GROUP BY plot),
+g AS MATERIALIZED (SELECT p.plot, CAST(LEAST(GREATEST(FLOOR((x - x0) / {size}), 0), nx - 1) AS BIGINT) AS ix, CAST(LEAST(GREATEST(FLOOR((y - y0) / {size}), 0), ny - 1) AS BIGINT) AS iy, MEDIAN(z) AS z FROM p JOIN e ON p.plot = e.plot WHERE classification = 2 GROUP BY ALL),
+c AS MATERIALIZED (SELECT e.plot, i.ix, j.iy FROM e, LATERAL (SELECT UNNEST(RANGE(nx)) AS ix) i, LATERAL (SELECT UNNEST(RANGE(ny)) AS iy) j),"""
+
+
+#: the interpolation along rows and columns
+LINES = """lx AS (SELECT c.plot, c.ix, c.iy, MAX(CASE WHEN g.ix <= c.ix THEN g.ix END) AS lo, MIN(CASE WHEN g.ix >= c.ix THEN g.ix END) AS hi FROM c JOIN g ON g.plot = c.plot AND g.iy = c.iy GROUP BY ALL),
 ly AS (SELECT c.plot, c.ix, c.iy, MAX(CASE WHEN g.iy <= c.iy THEN g.iy END) AS lo, MIN(CASE WHEN g.iy >= c.iy THEN g.iy END) AS hi FROM c JOIN g ON g.plot = c.plot AND g.ix = c.ix GROUP BY ALL),
 vx AS (SELECT l.plot, l.ix, l.iy, CASE WHEN lo = hi THEN a.z WHEN a.z IS NOT NULL AND b.z IS NOT NULL THEN a.z + (b.z - a.z) * (l.ix - lo) / (hi - lo) ELSE COALESCE(a.z, b.z) END AS v, 1 / GREATEST(0.5, LEAST(l.ix - lo, hi - l.ix)) AS w
   FROM lx l LEFT JOIN g a ON a.plot = l.plot AND a.iy = l.iy AND a.ix = lo LEFT JOIN g b ON b.plot = l.plot AND b.iy = l.iy AND b.ix = hi),
 vy AS (SELECT l.plot, l.ix, l.iy, CASE WHEN lo = hi THEN a.z WHEN a.z IS NOT NULL AND b.z IS NOT NULL THEN a.z + (b.z - a.z) * (l.iy - lo) / (hi - lo) ELSE COALESCE(a.z, b.z) END AS v, 1 / GREATEST(0.5, LEAST(l.iy - lo, hi - l.iy)) AS w
   FROM ly l LEFT JOIN g a ON a.plot = l.plot AND a.ix = l.ix AND a.iy = lo LEFT JOIN g b ON b.plot = l.plot AND b.ix = l.ix AND b.iy = hi),
 ff AS (SELECT c.plot, c.ix, c.iy, CASE WHEN g.z IS NOT NULL THEN g.z WHEN vx.w IS NULL AND vy.w IS NULL THEN NULL ELSE (COALESCE(vx.v * vx.w, 0) + COALESCE(vy.v * vy.w, 0)) / (COALESCE(vx.w, 0) + COALESCE(vy.w, 0)) END AS z
-  FROM c LEFT JOIN g ON g.plot = c.plot AND g.ix = c.ix AND g.iy = c.iy LEFT JOIN vx ON vx.plot = c.plot AND vx.ix = c.ix AND vx.iy = c.iy LEFT JOIN vy ON vy.plot = c.plot AND vy.ix = c.ix AND vy.iy = c.iy),
-f AS MATERIALIZED (SELECT plot, ix, iy, z FROM ff WHERE z IS NOT NULL UNION ALL
-  SELECT h.plot, h.ix, h.iy, g.z FROM ff h JOIN g ON g.plot = h.plot WHERE h.z IS NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY h.plot, h.ix, h.iy ORDER BY (g.ix - h.ix) ** 2 + (g.iy - h.iy) ** 2, g.iy, g.ix) = 1),
+  FROM c LEFT JOIN g ON g.plot = c.plot AND g.ix = c.ix AND g.iy = c.iy LEFT JOIN vx ON vx.plot = c.plot AND vx.ix = c.ix AND vx.iy = c.iy LEFT JOIN vy ON vy.plot = c.plot AND vy.ix = c.ix AND vy.iy = c.iy)"""
+
+# An edge (a, b) of the outline of an empty circle's cells, the circle on its left: of the cells to the left none has a lower
+# parameter on the edge's bisector than the circle's, those to the right all have one, none lies between the ends.  With the circle's first cell it makes one triangle.
+TRIANGLES = """th AS (SELECT a.plot, a.ix AS ax, a.iy AS ay, a.z AS az, b.ix AS bx, b.iy AS cy, b.z AS bz, c.ix AS ux, c.iy AS uy, (b.ix - a.ix) * (c.iy - a.iy) - (b.iy - a.iy) * (c.ix - a.ix) AS k, (c.ix - a.ix) * (c.ix - b.ix) + (c.iy - a.iy) * (c.iy - b.iy) AS d
+  FROM g a JOIN g b ON b.plot = a.plot AND (a.ix <> b.ix OR a.iy <> b.iy) JOIN g c ON c.plot = a.plot AND (c.ix <> a.ix OR c.iy <> a.iy) AND (c.ix <> b.ix OR c.iy <> b.iy)),
+ed AS (SELECT plot, ax, ay, bx, cy, ANY_VALUE(az) AS az, ANY_VALUE(bz) AS bz, MIN(CASE WHEN k > 0 THEN {'s': d / k, 'y': uy, 'x': ux} END) AS m, MAX(CASE WHEN k < 0 THEN d / k END) AS r, BOOL_OR(k = 0 AND d < 0) AS cut FROM th GROUP BY plot, ax, ay, bx, cy),
+tr AS MATERIALIZED (SELECT ed.plot, ax, ay, az, bx, cy, bz, g.ix AS lx, g.iy AS ly, g.z AS lz FROM ed JOIN g ON g.plot = ed.plot AND g.ix = m.x AND g.iy = m.y WHERE NOT cut AND (r IS NULL OR r < m.s) AND (m.y < ay OR (m.y = ay AND m.x < ax)) AND (m.y < cy OR (m.y = cy AND m.x < bx))),
+em AS (SELECT c.plot, c.ix, c.iy FROM c ANTI JOIN g ON g.plot = c.plot AND g.ix = c.ix AND g.iy = c.iy),
+wt AS (SELECT em.plot, em.ix, em.iy, az, bz, lz, (bx - em.ix) * (ly - em.iy) - (cy - em.iy) * (lx - em.ix) AS wa, (lx - em.ix) * (ay - em.iy) - (ly - em.iy) * (ax - em.ix) AS wb, (ax - em.ix) * (cy - em.iy) - (ay - em.iy) * (bx - em.ix) AS wl FROM em JOIN tr ON tr.plot = em.plot),
+tv AS (SELECT plot, ix, iy, MIN((wa * az + wb * bz + wl * lz) / (wa + wb + wl)) AS z FROM wt WHERE wa >= 0 AND wb >= 0 AND wl >= 0 GROUP BY ALL),
+ff AS (SELECT c.plot, c.ix, c.iy, COALESCE(g.z, tv.z) AS z FROM c LEFT JOIN g ON g.plot = c.plot AND g.ix = c.ix AND g.iy = c.iy LEFT JOIN tv ON tv.plot = c.plot AND tv.ix = c.ix AND tv.iy = c.iy)"""
+
+NEAREST = """f AS MATERIALIZED (SELECT plot, ix, iy, z FROM ff WHERE z IS NOT NULL UNION ALL
+  SELECT h.plot, h.ix, h.iy, g.z FROM ff h JOIN g ON g.plot = h.plot WHERE h.z IS NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY h.plot, h.ix, h.iy ORDER BY (g.ix - h.ix) ** 2 + (g.iy - h.iy) ** 2, g.iy, g.ix) = 1)"""
+
+
+def terrain_sql(gaps: str) -> str:
+    return f"""{grid_sql(50.0)}
+{gaps},
+{NEAREST},
 s1 AS MATERIALIZED (SELECT c.plot, c.ix, c.iy, SUM(k.w * f.z) AS z FROM c JOIN e ON e.plot = c.plot, {kernel_sql(2.5)} JOIN f ON f.plot = c.plot AND f.ix = c.ix AND f.iy = {mirrored("c.iy + k.o", "e.ny")} GROUP BY ALL),
 s AS MATERIALIZED (SELECT c.plot, c.ix, c.iy, SUM(k.w * f.z) AS z FROM c JOIN e ON e.plot = c.plot, {kernel_sql(2.5)} JOIN s1 f ON f.plot = c.plot AND f.iy = c.iy AND f.ix = {mirrored("c.ix + k.o", "e.nx")} GROUP BY ALL),
 q AS (SELECT p.plot, point_id, classification, gt_id, z, (x - x0) / 50.0 - 0.5 AS fx, (y - y0) / 50.0 - 0.5 AS fy, nx, ny FROM p JOIN e ON p.plot = e.plot),
@@ -49,13 +71,22 @@ hag AS MATERIALIZED (SELECT o.plot, point_id, classification, GREATEST(0, LEAST(
   JOIN s u ON u.plot = o.plot AND u.ix = o.ix AND u.iy = LEAST(o.iy + 1, ny - 1) JOIN s v ON v.plot = o.plot AND v.ix = LEAST(o.ix + 1, nx - 1) AND v.iy = LEAST(o.iy + 1, ny - 1))"""
 
 
+TERRAIN = terrain_sql(TRIANGLES)
+
+
 def _heights(spark: SparkSession, d: str) -> DataFrame:
     return raster.heights(points(spark, d), 50.0, 5, 0.0, 500.0)
 
 
-@query(f"{TERRAIN} SELECT plot, ix, iy, ROUND(z, 6) AS z FROM s")
+@query(f"{terrain_sql(LINES)} SELECT plot, ix, iy, ROUND(z, 6) AS z FROM s")
 def terrain_surface(spark: SparkSession, d: str) -> DataFrame:
-    return raster.surface(points(spark, d), 50.0, 5).select("plot", "ix", "iy", r6("z00", "z"))
+    return raster.surface(points(spark, d), 50.0, 5, gaps="lines").select("plot", "ix", "iy", r6("z00", "z"))
+
+
+@query(f"{grid_sql(5.0)} {TRIANGLES}, {NEAREST} SELECT plot, ix, iy, ROUND(z, 6) AS z FROM f")
+def terrain_triangles(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell of a finer grid, about half of them empty, filled over the triangulation."""
+    return triangles.fill(raster.dense_cells(points(spark, d), 5.0)).select("plot", "ix", "iy", r6("z"))
 
 
 @query(f"{TERRAIN} SELECT plot, point_id, ROUND(CAST(hag AS DOUBLE), 3) AS hag FROM hag")
