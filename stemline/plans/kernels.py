@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stemline.config import COMPARISONS, METHODS, Blocks, Config, Terrain, Watershed
 from stemline.functions.guards import clamp
 from stemline.functions.normal import normal_cdf, normal_ppf
-from stemline.operators import features, gridsearch, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, triangles, voxel
+from stemline.operators import farthest, features, gridsearch, labels, matching, ml, neighbors, raster, report, sampling, segment, semantic, stats, triangles, voxel
 from stemline.plans import flows
 from stemline.plans.projections import metrics, points, table
 from stemline.plans.registry import LABEL, PRIORITIES, RM, RP, M, P, draw_sql, index_sql, query, r6, rounded
@@ -334,6 +334,13 @@ fp(plot, rank, px, py, ids) AS (SELECT plot, CAST(0 AS INT), [x], [y], [point_id
 fs AS MATERIALIZED (SELECT plot, ids FROM fp WHERE rank = 7)"""
 
 
+@query(f"""{FARTHEST.replace("QUALIFY ROW_NUMBER() OVER (PARTITION BY plot ORDER BY " + draw_sql(42, "plot", "point_id") + ", point_id) <= 200", "").replace("rank < 7", "rank < 15").replace("rank = 7", "rank = 15")}
+SELECT plot, CAST(i - 1 AS INT) AS "rank", ids[i] AS point_id FROM (SELECT plot, ids, UNNEST(RANGE(1, 17)) AS i FROM fs)""")
+def farthest_of_plots(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen farthest points of every whole plot, bucket by bucket."""
+    return farthest.farthest_points(points(spark, d), 16, ("x", "y"))
+
+
 def _block(spark: SparkSession, d: str) -> DataFrame:
     return sampling.cap_per_class(points(spark, d), 200, ("plot",))
 
