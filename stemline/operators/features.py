@@ -69,7 +69,7 @@ def extract(points: DataFrame, cfg: Features = Features(), tile: float = 5.0, by
         last = ~itself.any(1)
         itself[last, -1] = True
         others = ids[~itself].reshape(len(own), -1)
-        _, _, dense = grid_neighbours(x, own, cfg.density_radius, 1)
+        _, _, dense = grid_neighbours(x, own, cfg.density_radius, 0)
         hag, light = pdf["hag"].to_numpy(float), pdf["intensity"].to_numpy(float)
         f = np.concatenate([scale(x, hag, light, own, others[:, : cfg.k_small]), scale(x, hag, light, own, others), dense[:, None]], 1)
         out = pd.DataFrame(f.astype(np.float32), columns=list(NAMES))

@@ -47,7 +47,7 @@ def radius_count(points: DataFrame, radius: float, axes: tuple[str, ...] = ("x",
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.flatnonzero(pdf["own"].to_numpy())
-        _, _, within = grid_neighbours(pdf[["x", "y", "z"]].to_numpy(float), own, radius, 1)
+        _, _, within = grid_neighbours(pdf[["x", "y", "z"]].to_numpy(float), own, radius, 0)
         return pdf.loc[pdf["own"], [by, key]].assign(density=within.astype(np.float32))
 
     placed = _placed(points, axes, by, key)
@@ -172,8 +172,12 @@ def tiles(points: DataFrame, size: float, halo: float, kernel: Callable[[pd.Data
     return spread.withColumn("own", own).groupBy(by, "_tx", "_ty").applyInPandas(kernel, schema)
 
 
+#: pairs that a kernel holds at a time
+PAIRS = 1 << 21
+
+
 def grid_neighbours(x: np.ndarray, queries: np.ndarray, radius: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids (q, k), distances (q, k), how many lie within radius) by a hash grid; -1 and inf where there are fewer; self included."""
+    """(ids (q, k), distances (q, k), how many lie within radius) by a hash grid; -1 and inf where there are fewer; self included; ties go to the earlier row."""
     cell = np.floor(x / radius).astype(np.int64)
     cell -= cell.min(0) - 1
     span = cell.max(0) + 2
@@ -181,17 +185,26 @@ def grid_neighbours(x: np.ndarray, queries: np.ndarray, radius: float, k: int) -
     order = np.argsort(code, kind="stable")
     sorted_code = code[order]
     ids, dist, within = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf), np.zeros(len(queries), np.int64)
-    steps = [(i * span[1] + j) * span[2] + l for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1)]  # noqa: E741
-    for c in np.unique(code[queries]):
-        mine = np.flatnonzero(code[queries] == c)
-        lo, hi = np.searchsorted(sorted_code, np.add(steps, c)), np.searchsorted(sorted_code, np.add(steps, c), "right")
-        near = np.sort(np.concatenate([order[a:b] for a, b in zip(lo, hi, strict=True)]))
-        for part in np.array_split(mine, max(1, len(mine) * len(near) // (1 << 22))):
-            d = np.sqrt(((x[queries[part], None, :] - x[None, near, :]) ** 2).sum(2))
-            within[part] = (d <= radius).sum(1)
-            m = min(k, len(near))
-            pick = np.argsort(d, axis=1, kind="stable")[:, :m]
-            got = np.take_along_axis(d, pick, 1)
-            ids[part, :m] = np.where(got <= radius, near[pick], -1)
-            dist[part, :m] = np.where(got <= radius, got, np.inf)
+    # the three cells of a column along z are one range of the sorted codes, so a query has nine ranges
+    column = code[queries][:, None] + np.array([(i * span[1] + j) * span[2] for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    low, high = np.searchsorted(sorted_code, column - 1), np.searchsorted(sorted_code, column + 1, "right")
+    total = np.cumsum((high - low).sum(1))
+    for part in np.split(np.arange(len(queries)), np.unique(np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)))) if len(queries) else []:
+        if not len(part):
+            continue
+        size = (high[part] - low[part]).ravel()
+        start = np.repeat(low[part].ravel() - (np.cumsum(size) - size), size)
+        q, other = np.repeat(part, size.reshape(len(part), -1).sum(1)), order[start + np.arange(size.sum())]
+        d = x[queries[q]] - x[other]
+        d = np.sqrt((d * d).sum(1))
+        near = d <= radius
+        q, other, d = q[near], other[near], d[near]
+        within[part] = np.bincount(q - part[0], minlength=len(part))
+        if not k:
+            continue
+        first = np.lexsort((other, d, q))
+        q, other, d = q[first], other[first], d[first]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        few = rank < k
+        ids[q[few], rank[few]], dist[q[few], rank[few]] = other[few], d[few]
     return ids, dist, within
