@@ -16,17 +16,14 @@ from stemline import config
 from stemline.operators import features, labels, ml, report, stats, trees
 from stemline.plans import flows
 from stemline.sources import features as stored
-from stemline.sources import tables
+from stemline.sources import las, tables
 
 
 def load_points(spark: SparkSession, path: str, plots: list[str] | None = None) -> DataFrame:
     if path.rstrip("/").endswith(".parquet"):
         points = spark.read.parquet(path)
     else:
-        from stemline.sources.las import LasSource
-
-        spark.dataSource.register(LasSource)
-        points = spark.read.format("las").option("path", path).load()
+        return las.load(spark, path, plots or None)
     return points.where(F.col("plot").isin(plots)) if plots else points
 
 

@@ -70,6 +70,14 @@ def las_scan(spark: SparkSession, d: str) -> DataFrame:
     return _two_digits(spark.read.format("las").option("path", root).load())
 
 
+@query(f"SELECT * FROM ({SCANNED}) WHERE plot IN ('SITE__click', 'SITE__view') AND x BETWEEN 20 AND 60 AND y BETWEEN 0 AND 80")
+def las_window(spark: SparkSession, d: str) -> DataFrame:
+    """A window of two clouds, looked up by the headers' boxes."""
+    root = folder(spark)
+    _cloud(spark, d, root)
+    return _two_digits(las.load(spark, root, ["SITE__click", "SITE__view"], {"x": (20, 60), "y": (0, 80)}))
+
+
 @query(SCANNED)
 def las_scan_by_spark(spark: SparkSession, d: str) -> DataFrame:
     """The same clouds through Spark's reader of any file system."""

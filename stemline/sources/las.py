@@ -1,10 +1,16 @@
 """A reader of LAS point clouds as a Spark data source, after the public LAS 1.2-1.4 specification.
 
 Uncompressed files with point formats 0 to 10; the extra dimension ``treeID`` gives
-``tree_id``.  Each file is one or more ranges of points, so a large file is read by many tasks.
+``tree_id``.  Each file is one or more ranges of bytes, so a large file is read by many tasks; the driver only lists
+files, headers are read by the tasks.
 
     spark.dataSource.register(LasSource)
     spark.read.format("las").option("path", folder).load()
+    load(spark, folder, plots=["SITE__one"], box={"x": (10, 20)})
+
+``load`` hands plots and a box to the files: those of other plots are not listed, those whose header has another box are
+not read, and other points leave no task.  These are options and not filters that Spark pushes, because Spark 4.1 keeps what was
+pushed with the source: a second query of the same DataFrame then misses the rows that the first had no use for.
 
 This source opens files by path on the executors: the folder must be one that they share.
 ``scan`` reads any other file system through Spark's own reader, a file of at most 2 GB per task.
@@ -13,6 +19,7 @@ This source opens files by path on the executors: the folder must be one that th
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -22,7 +29,9 @@ from typing import BinaryIO
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -32,7 +41,8 @@ from stemline.schema import POINTS
 EXTRA_TYPES = {1: "u1", 2: "i1", 3: "<u2", 4: "<i2", 5: "<u4", 6: "<i4", 7: "<u8", 8: "<i8", 9: "<f4", 10: "<f8"}
 #: Record bytes of each point format.
 FORMAT_BYTES = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
-RANGE = 1 << 19
+#: points that a batch holds, bytes that a task reads
+RANGE, BYTES = 1 << 19, 1 << 24
 
 
 @dataclass
@@ -44,6 +54,8 @@ class Header:
     scale: tuple[float, ...]
     shift: tuple[float, ...]
     tree: tuple[int, str] | None
+    #: least and greatest place of each axis; None where the file doesn't say
+    box: tuple[tuple[float, float], ...] | None = None
 
 
 def header(path: str) -> Header:
@@ -61,6 +73,9 @@ def _header(f: BinaryIO, path: str) -> Header:
     if h[25] >= 4:
         count = struct.unpack_from("<Q", h, 247)[0] or count
     scale, shift = struct.unpack_from("<3d", h, 131), struct.unpack_from("<3d", h, 155)
+    bounds = struct.unpack_from("<6d", h, 179)
+    # written as greatest and least of each axis; some writers leave them out
+    box = tuple((bounds[2 * i + 1], bounds[2 * i]) for i in range(3)) if any(bounds) else None
     f.seek(size)
     tree, at = None, FORMAT_BYTES[kind]
     for _ in range(n_vlr):
@@ -76,7 +91,7 @@ def _header(f: BinaryIO, path: str) -> Header:
                     at += np.dtype(EXTRA_TYPES[code]).itemsize
                 else:
                     at += body[i + 3]
-    return Header(offset, kind, record, count, scale, shift, tree)
+    return Header(offset, kind, record, count, scale, shift, tree, box)
 
 
 def read(path: str, first: int, last: int) -> dict[str, np.ndarray]:
@@ -109,8 +124,10 @@ def encode(points: pd.DataFrame, scale: float = 0.01) -> bytes:
     struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(vlr), 1, 0, 24, len(points))
     struct.pack_into("<3d", head, 131, scale, scale, scale)
     rows = np.zeros(len(points), np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("light", "<u2"), ("flags", "u1"), ("code", "u1"), ("rest", "V4"), ("tree", "<u4")]))
-    for a in "xyz":
+    for i, a in enumerate("xyz"):
         rows[a] = np.rint(points[a].to_numpy() / scale)
+        if len(points):
+            struct.pack_into("<2d", head, 179 + 16 * i, rows[a].max() * scale, rows[a].min() * scale)
     rows["light"], rows["code"], rows["tree"] = points["intensity"], points["classification"], points["tree_id"]
     rows["flags"] = points["return_number"].to_numpy() | points["number_of_returns"].to_numpy() << 3
     return bytes(head) + vlr + rows.tobytes()
@@ -133,34 +150,53 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.las") -> DataFrame:
     return found.select("path", "content").mapInArrow(one, POINTS)
 
 
-def _rows(path: str, first: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _keys(path: str) -> tuple[str, str]:
+    """(institution, plot) of a file."""
     folder, stem = os.path.basename(os.path.dirname(path)), os.path.splitext(os.path.basename(path))[0]
+    return folder, f"{folder}__{stem}"
+
+
+def _rows(path: str, first: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    folder, plot = _keys(path)
     n = len(columns["x"])
-    rows = {"plot": pa.array([f"{folder}__{stem}"] * n), "institution": pa.array([folder] * n), "point_id": pa.array(np.arange(first, first + n))}
+    rows = {"plot": pa.array([plot] * n), "institution": pa.array([folder] * n), "point_id": pa.array(np.arange(first, first + n))}
     rows |= {k: pa.array(v) for k, v in columns.items()}
     return pa.RecordBatch.from_pydict({k: rows[k] for k in POINTS.names})
 
 
 @dataclass
 class Part(InputPartition):
+    """The points whose records begin in a range of a file's bytes."""
+
     path: str
     first: int
     last: int
 
 
 class LasReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root.removeprefix("file://")
+    def __init__(self, root: str, plots: list[str] | None = None, box: dict[str, tuple[float, float]] | None = None):
+        self.root, self.plots, self.box = root.removeprefix("file://"), plots, box or {}
 
     def partitions(self) -> list[Part]:
         if os.path.isfile(self.root):
             paths = [self.root]
         else:
             paths = sorted(os.path.join(d, n) for d, _, names in os.walk(self.root) for n in names if n.lower().endswith(".las"))
-        return [Part(p, a, min(a + RANGE, n)) for p in paths for n in [header(p).count] for a in range(0, n, RANGE)]
-
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        yield _rows(partition.path, partition.first, read(partition.path, partition.first, partition.last))
+        wanted = [p for p in paths if self.plots is None or _keys(p)[1] in self.plots]
+        return [Part(p, a, min(a + BYTES, n)) for p in wanted for n in [os.path.getsize(p)] for a in range(0, n, BYTES)]
+
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark makes of no parts
+            return
+        h = header(partition.path)
+        if h.box and any(low - h.scale[i] > self.box[a][1] or high + h.scale[i] < self.box[a][0] for i, (a, (low, high)) in enumerate(zip("xyz", h.box, strict=True)) if a in self.box):
+            return
+        record = lambda at: min(max(-((h.offset - at) // h.record), 0), h.count)
+        for first in range(record(partition.first), record(partition.last), RANGE):
+            rows = _rows(partition.path, first, read(partition.path, first, min(first + RANGE, record(partition.last))))
+            for a, (low, high) in self.box.items():
+                rows = rows.filter(pc.and_(pc.greater_equal(rows.column(a), low), pc.less_equal(rows.column(a), high)))
+            yield rows
 
 
 class LasSource(DataSource):
@@ -172,4 +208,21 @@ class LasSource(DataSource):
         return POINTS
 
     def reader(self, schema: StructType) -> LasReader:
-        return LasReader(self.options["path"])
+        plots, box = (json.loads(self.options.get(name, "null")) for name in ("plots", "box"))
+        return LasReader(self.options["path"], plots, box)
+
+
+def load(spark: SparkSession, root: str, plots: list[str] | None = None, box: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The points below a folder, of some plots or within a box (axis: least, greatest, both included).
+
+    Files of other file systems come through Spark's reader, whole."""
+    if "://" in root and not root.startswith("file://"):
+        points = scan(spark, root)
+    else:
+        spark.dataSource.register(LasSource)
+        points = spark.read.format("las").option("path", root).option("plots", json.dumps(plots)).option("box", json.dumps(box)).load()
+    if plots is not None:
+        points = points.where(F.col("plot").isin(plots))
+    for axis, (low, high) in (box or {}).items():
+        points = points.where(F.col(axis).between(low, high))
+    return points

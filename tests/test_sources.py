@@ -44,6 +44,28 @@ def test_las_source(spark, tmp_path):
         las.header(str(tmp_path / "bad.las"))
 
 
+def test_las_ranges_plots_and_boxes(spark, tmp_path, monkeypatch):
+    (tmp_path / "SITE").mkdir()
+    for name, shift in (("near", 0.0), ("far", 1000.0)):
+        pdf = pd.DataFrame({"x": shift + np.arange(50), "y": 0.0, "z": 1.0, "intensity": 1.0, "classification": 2, "tree_id": np.arange(50), "return_number": 1, "number_of_returns": 1})
+        (tmp_path / "SITE" / f"{name}.las").write_bytes(las.encode(pdf))
+    (tmp_path / "SITE" / "bare.las").write_bytes(las_bytes())  # no box in its header, x from 100
+    monkeypatch.setattr(las, "BYTES", 100)
+    reader = las.LasReader(str(tmp_path))
+    ids = [i for part in reader.partitions() if "near" in part.path for batch in reader.read(part) for i in batch.column("point_id").to_pylist()]
+    assert ids == list(range(50))
+    reader = las.LasReader(f"file://{tmp_path}", ["SITE__far", "SITE__near"], {"x": (1010, 1012)})
+    parts = reader.partitions()
+    assert {part.path.rsplit("/")[-1] for part in parts} == {"far.las", "near.las"}
+    read = [(part.path, batch.column("x").to_pylist()) for part in parts for batch in reader.read(part) if batch.num_rows]
+    assert {path.rsplit("/")[-1] for path, _ in read} == {"far.las"} and sorted(x for _, xs in read for x in xs) == [1010.0, 1011.0, 1012.0]
+    root = str(tmp_path)
+    cloud, window = las.load(spark, root), las.load(spark, root, box={"x": (1010, 1012)})
+    assert (window.count(), cloud.count(), cloud.where("x IN (3, 1003)").count(), window.join(cloud, ["plot", "point_id"]).count()) == (3, 107, 2, 3)
+    assert las.load(spark, root, ["SITE__bare"], {"x": (101, 102.5)}).count() == 2
+    assert las.load(spark, root, []).count() == 0 and las.load(spark, root, ["none"]).count() == 0
+
+
 def test_las_by_spark_and_round_trip(spark, tmp_path):
     (tmp_path / "SITE").mkdir()
     pdf = pd.DataFrame({"x": [1.5, -2.25], "y": [0.0, 3.0], "z": [7.01, 8.0], "intensity": [3.0, 4.0], "classification": [2, 5], "tree_id": [0, 9], "return_number": [1, 2], "number_of_returns": [2, 2]})
