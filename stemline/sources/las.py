@@ -9,8 +9,8 @@ files, headers are read by the tasks.
     load(spark, folder, plots=["SITE__one"], box={"x": (10, 20)})
 
 ``load`` hands plots and a box to the files: those of other plots are not listed, those whose header has another box are
-not read, and other points leave no task.  These are options and not filters that Spark pushes, because Spark 4.1 keeps what was
-pushed with the source: a second query of the same DataFrame then misses the rows that the first had no use for.
+not read, and other points leave no task.  These are options and not filters that Spark pushes, because Spark 4.1 seems to keep what was
+pushed with the source: in a test, a later query of the same DataFrame lost rows.
 
 This source opens files by path on the executors: the folder must be one that they share.
 ``scan`` reads any other file system through Spark's own reader, a file of at most 2 GB per task.
