@@ -3,7 +3,9 @@
 Each round points every node at its least smaller neighbour, shortens these pointers,
 merges nodes into what they point at and drops the links that have become loops.  Links
 shrink geometrically; nothing is collected, and a hub only ever takes part through joins
-and minima that are combined before they are shuffled.
+and minima that are combined before they are shuffled.  Pointers compress so well that millions
+of them are small enough on disk to be broadcast, which would pass them whole through the driver;
+so all joins are by sorting.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         for _ in range(2):
             up = cut(up)
             next_up = up.select(F.col("u").alias("r"), F.col("r").alias("rr"))
-            up = up.join(next_up, "r", "left").select("u", F.coalesce("rr", "r").alias("r"))
+            up = up.join(next_up.hint("merge"), "r", "left").select("u", F.coalesce("rr", "r").alias("r"))
         up = cut(up)
         if roots is None:
             roots = up.select(F.col("u").alias("id"), F.col("r").alias("root"))
         else:
-            moved = roots.join(up.select(F.col("u").alias("root"), "r"), "root", "left").select("id", F.coalesce("r", "root").alias("root"))
+            moved = roots.join(up.select(F.col("u").alias("root"), "r").hint("merge"), "root", "left").select("id", F.coalesce("r", "root").alias("root"))
             roots = cut(moved.unionByName(up.select(F.col("u").alias("id"), F.col("r").alias("root"))))
         to = up.select(F.col("u").alias("v"), F.col("r").alias("rv"))
-        moved = left.join(up, "u").join(to, "v", "left").select(*ordered(F.col("r"), F.coalesce("rv", "v"))).where("u <> v").distinct()
+        moved = left.join(up.hint("merge"), "u").join(to.hint("merge"), "v", "left").select(*ordered(F.col("r"), F.coalesce("rv", "v"))).where("u <> v").distinct()
         left, done = cut(moved), left
         drop(done)
     if roots is None:

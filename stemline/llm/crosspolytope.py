@@ -14,6 +14,10 @@ threshold, the hardest, with probability 1e-8, by the miss rate of simulated pai
 Equal vectors of one label form one class with a count, so copies never meet in pairs;
 links are counted between classes and weighted by their sizes.
 
+Nothing that grows with the input passes through the driver: joins are by sorting, since tables of
+numbers are small enough on disk to be broadcast long before they are in memory, and the simulated
+pairs are made in blocks whatever the vectors' length.
+
 Defined results: a null label, a null, empty or zero vector, and one with null or non-finite
 components link with nothing; vectors of different lengths never link; repeated keys are
 separate rows; rows with a null key link like others, and a component's id is the least key that
@@ -34,7 +38,7 @@ from stemline.llm.components import components
 from stemline.llm.scratch import cut, drop
 from stemline.llm.textvec import mix
 
-SEED, MISSED, TRIALS = 77, 1e-8, 2000
+SEED, MISSED, TRIALS, BLOCK = 77, 1e-8, 2000, 1 << 19
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -93,11 +97,14 @@ def matrix(column: pa.Array) -> np.ndarray:
 def miss_rate(d: int, hashes: int, least: float) -> float:
     """How often a pair of cosine ``least`` meets in no bucket of one table, in simulated pairs; never under 0.02."""
     rng = np.random.default_rng([SEED, d, hashes])
-    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, TRIALS, d)))
-    z -= (z * x).sum(1, keepdims=True) * x
-    y = least * x + math.sqrt(max(0.0, 1 - least**2)) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    (a, pa), (b, pb) = (keys(v, 2, hashes) for v in (x, y))
-    hit = (a == b) | (pa == b[:, :, None]).any(2) | (pb == a[:, :, None]).any(2)
+    hits, per = [], max(1, BLOCK // d)
+    for i in range(0, TRIALS, per):
+        x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, min(per, TRIALS - i), d)))
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = least * x + math.sqrt(max(0.0, 1 - least**2)) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        (a, pa), (b, pb) = (keys(v, 2, hashes) for v in (x, y))
+        hits.append((a == b) | (pa == b[:, :, None]).any(2) | (pb == a[:, :, None]).any(2))
+    hit = np.concatenate(hits)
     return max(0.02, 1 - float(hit.mean()) + 2 * float(hit.std()) / math.sqrt(hit.size))
 
 
@@ -119,16 +126,16 @@ def _hash(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
             lengths = np.asarray(batch.column(1).value_lengths())
             for d in np.unique(lengths):
                 whole = batch.filter(pa.array(lengths == d))
-                for a in range(0, len(whole), 2048):
-                    part = whole.slice(a, 2048)
+                for a in range(0, len(whole), per := max(1, min(2048, BLOCK // int(d)))):
+                    part = whole.slice(a, per)
                     x = matrix(part.column(1))
                     x = x / np.abs(x).max(1, keepdims=True)
                     own, probes = keys(x / np.linalg.norm(x, axis=1, keepdims=True), tables, hashes)
-                    n, per = len(part), tables * (1 + hashes)
+                    n, each = len(part), tables * (1 + hashes)
                     group = mix(np.asarray(part.column(2)).astype(np.int64).view(np.uint64) + np.uint64(d))
                     code = mix(np.concatenate([own, probes.reshape(n, -1)], 1) ^ group[:, None]).view(np.int64).ravel()
-                    at = pa.array(np.repeat(np.arange(n), per))
-                    probe = np.tile(np.arange(per) >= tables, n)
+                    at = pa.array(np.repeat(np.arange(n), each))
+                    probe = np.tile(np.arange(each) >= tables, n)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(code), pa.array(probe)], names=["id", "code", "probe"])
 
     return classes.select("id", "vec", F.xxhash64("label")).mapInArrow(run, "id long, code long, probe boolean")
@@ -138,14 +145,14 @@ def candidates(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
     """(a, b), a < b: the pairs of classes that meet in a bucket, each once."""
     hashed = cut(_hash(classes, tables, hashes))
     own = hashed.where(~F.col("probe")).select(F.col("id").alias("x"), "code")
-    pairs = own.join(hashed.withColumnRenamed("id", "y"), "code").where(F.when(F.col("probe"), F.col("x") != F.col("y")).otherwise(F.col("x") < F.col("y")))
+    pairs = own.join(hashed.withColumnRenamed("id", "y").hint("merge"), "code").where(F.when(F.col("probe"), F.col("x") != F.col("y")).otherwise(F.col("x") < F.col("y")))
     found = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     drop(hashed)
     return found
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("vec").alias(f"v{x}"))
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"), F.col("vec").alias(f"v{x}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("la") == F.col("lb")) & (F.size("va") == F.size("vb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +183,14 @@ def cluster(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", lab
     roots = components(links)
 
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beyond = ways.join(classes.select(F.col("id").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("beyond"))
+    beyond = ways.join(classes.select(F.col("id").alias("b"), "size").hint("merge"), "b").groupBy("a").agg(F.sum("size").alias("beyond"))
     rooted = (
-        classes.join(beyond, classes["id"] == beyond["a"], "left")
-        .join(roots, "id", "left")
+        classes.join(beyond.hint("merge"), classes["id"] == beyond["a"], "left")
+        .join(roots.hint("merge"), "id", "left")
         .select("label", "vec", "least", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
     )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("label", "vec", "n_links", "component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")).hint("merge"), "root").select("label", "vec", "n_links", "component")
     component = F.coalesce("component", "key")
-    return rows.join(named, ["label", "vec"], "left").select(
+    return rows.join(named.hint("merge"), ["label", "vec"], "left").select(
         F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept")
     )

@@ -274,6 +274,35 @@ def test_candidates_grow_with_the_links(spark):
     assert large[0] > small[0] and large[1] > small[1]
 
 
+def test_vectors_are_not_broadcast_through_the_driver(spark, monkeypatch):
+    from stemline.llm import components
+
+    plans = []
+
+    def seen(df, cut=crosspolytope.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(crosspolytope, "cut", seen)
+    monkeypatch.setattr(components, "cut", seen)
+    # a chain, whose components take rounds
+    u, v = np.linalg.qr(np.random.default_rng(8).normal(size=(64, 2)))[0].T
+    rows = [(i, (np.cos(i / 6) * u + np.sin(i / 6) * v).tolist(), 1) for i in range(30)]
+    df = crosspolytope.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert sum(r["kept"] for r in df.collect()) == 1 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_simulated_pairs_of_long_vectors_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    rate = crosspolytope.miss_rate(4096, 1, 0.98)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and 0.02 <= rate < 0.9
+
+
 def test_hadamard_is_orthogonal():
     h = crosspolytope.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, 16 * np.eye(16))
