@@ -69,6 +69,29 @@ def test_scores_equal_brute_force(spark, order, share, frame, documents):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == base[k][:3] and r["base_score"] == pytest.approx(base[k][3], rel=1e-9)
 
 
+@pytest.mark.parametrize(("order", "often"), [(4, 40), (4, 1 << 20), (3, 3000)])
+def test_contexts_are_all_kept(spark, order, often, frame):
+    # each context of three or four bytes is rarer than one in 32,768 predictions, but for the first ones of a text
+    rng = np.random.default_rng(7)
+    texts = {k: "".join(chr(c) for c in rng.integers(32, 127, 2500)) for k in range(40)}
+    texts |= {k + 100: texts[k][:900] + texts[k + 1][:900] for k in range(20)} | {-1: None, -2: "Zürich 🎉 " * 3}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)
+    got, want = frame(ppm.evaluate(df, order=order, often=often)), brute_ppm(texts, order, 1 << 60)
+    assert any(map(out_of_training, texts))
+    for k in texts:
+        assert got.loc[k, "score"] == pytest.approx(want[k], rel=1e-9)
+
+
+def test_places_hold_the_most_frequent():
+    keys = np.random.default_rng(2).permutation(1 << 16)[:30000].astype(np.int64)
+    places = ppm.Places(keys, keys * 0.5)
+    value, missed = places.find(np.arange(1 << 16))
+    held = np.ones(1 << 16, bool)
+    held[missed] = False
+    assert set(np.flatnonzero(held)) <= set(keys.tolist()) and held.sum() > 0.98 * len(keys) and (value == np.where(held, np.arange(1 << 16) * 0.5, 0)).all()
+    assert held[keys[0]] and len(ppm.Places(keys[:0], np.zeros(0)).find(keys)[1]) == len(keys)
+
+
 def test_probabilities_add_up_to_one(documents):
     x = np.frombuffer(b"\xff\xff" + b"abracadabra, abracadabra" + b"\xff", np.uint8).astype(np.int64)
     trie = ppm.Trie.of_pairs(x[:-2] << 8 | x[1:-1], x[2:], np.ones(len(x) - 2, np.int64))
