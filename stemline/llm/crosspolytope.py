@@ -187,9 +187,11 @@ def cluster(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", lab
     rooted = (
         classes.join(beyond.hint("merge"), classes["id"] == beyond["a"], "left")
         .join(roots.hint("merge"), "id", "left")
-        .select("label", "vec", "least", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
+        .select("label", "vec", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
     )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")).hint("merge"), "root").select("label", "vec", "n_links", "component")
+    # written, so that the join can split a large component's rows among tasks
+    firsts = cut(classes.select("id", "least").join(roots.hint("merge"), "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("component")))
+    named = rooted.join(firsts.hint("merge"), "root").select("label", "vec", "n_links", "component")
     component = F.coalesce("component", "key")
     return rows.join(named.hint("merge"), ["label", "vec"], "left").select(
         F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept")
